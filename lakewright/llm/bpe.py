@@ -14,7 +14,7 @@ from lakewright.llm.chunks import ChunkCache
 from lakewright.llm.common import pick
 
 #: Entries that a worker keeps: chunks with their ids, transitions of the transducer.
-CHUNKS, TRANSITIONS = 600_000, 1_500_000
+CHUNKS, TRANSITIONS = 120_000, 350_000
 #: Ids that the streaming decoder takes at a time.
 DECODE_BLOCK = 4096
 

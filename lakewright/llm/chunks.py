@@ -11,13 +11,16 @@ from collections.abc import Callable
 
 
 class ChunkCache:
-    """Values by chunk, for many texts. At most limit chunks are kept; then it starts anew."""
+    """Values by chunk, for many texts. Two generations of at most limit chunks: what isn't met again goes with the older."""
 
     def __init__(self, limit: int):
-        self.limit, self.known = limit, {}
+        self.limit, self.known, self.older = limit, {}, {}
 
     def values(self, text: str, make: Callable[[list[str]], list]) -> list | None:
-        """The values of the text's chunks in order; None if the text can't be split this way. make gets chunks not seen yet."""
+        """The values of the text's chunks in order; None if the text can't be split this way.
+
+        make gets the chunks not seen yet; all but the text's first begin with a blank.
+        """
         first, *rest = text.split(" ")
         if (first and first[-1].isspace() and rest) or not all(rest):
             return None
@@ -27,16 +30,18 @@ class ChunkCache:
             chunks.insert(0, first)
         found = list(map(known.get, chunks))
         if None in found:
-            new = list({c: None for c, v in zip(chunks, found) if v is None})
-            last = chunks[-1]
-            for c in new:
+            older, new, last = self.older, [], chunks[-1]
+            for c in dict.fromkeys(c for c, v in zip(chunks, found) if v is None):
+                if (v := older.get(c)) is not None:
+                    known[c] = v
                 # inside, white space must not stand next to the space that splits
-                if c[0] == " " and c[1].isspace() or c[-1].isspace() and c != last:
+                elif c[0] == " " and c[1].isspace() or c[-1].isspace() and c != last:
                     return None
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for c, v in zip(new, make(new)):
-                known[c] = v
+                else:
+                    new.append(c)
+            if new:
+                known.update(zip(new, make(new)))
             found = list(map(known.__getitem__, chunks))
+            if len(known) > self.limit:
+                self.older, self.known = known, {}
         return found
