@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import bpe, embeddings, license_rules, mixing, quality_rules, simhash, token_files
+from lakewright.llm import bpe, embeddings, language, license_rules, mixing, quality_cnn, quality_rules, simhash, suffix_dedup, token_files
 from lakewright.llm.sql import MIXING_SQL, QUALITY_RULES_SQL
 from lakewright.session import table
 
@@ -19,6 +19,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,18 +53,25 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_language": op2_language,
         "op3_simhash": op3_simhash,
         "op4_license_scan": op4_license_scan,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_mixing": op7_mixing,
         "op8_token_files": op8_token_files,
+        "op9_quality_cnn": op9_quality_cnn,
         "op10_quality_rules": op10_quality_rules,
     }
 
