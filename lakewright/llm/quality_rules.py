@@ -142,9 +142,11 @@ def judge(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS, h
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, without their boilerplate lines, in the columns of docs."""
+    """The documents that are kept, without their boilerplate lines, in the columns of docs; n_chars follows the text."""
     found = judge(docs).filter("kept")
-    return found.select(*[(F.col("clean_text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    changed = ~F.col("clean_text").eqNullSafe(F.col("text"))
+    new = {"text": F.col("clean_text"), "n_chars": F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from lakewright.llm import bpe, embeddings, language, license_rules, mixing, quality_cnn, quality_rules, simhash, suffix_dedup, token_files
@@ -73,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op8_token_files": op8_token_files,
         "op9_quality_cnn": op9_quality_cnn,
         "op10_quality_rules": op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
