@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark removes a query's shuffle files when the query has ended, not when the driver collects its garbage.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_dir: str | None = None
 
 
@@ -43,11 +46,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     This cuts lineage in a way that survives lost executors, and gives the planner a measured size, so that it
-    broadcasts a side only below spark.sql.autoBroadcastJoinThreshold.
+    broadcasts a side only below spark.sql.autoBroadcastJoinThreshold. Shuffle files of the step go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if was is None else spark.conf.set(_DROP_SHUFFLES, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
