@@ -125,66 +125,120 @@ def _runs_of(left: pa.Table, skip: set[tuple[int, int]]) -> Iterator[tuple[int,
             yield d, c, data, runs
 
 
-def _shared_names(docs: DataFrame, copies: DataFrame, shards: int) -> DataFrame:
-    """(block, shard, lows): names of anchors that stand in two documents at least, for each block that holds them.
+def _by_shard(block: int, names: list[np.ndarray], owners: list[np.ndarray], shards: int) -> pa.Table:
+    """A row for each shard of a block's names: each name once, in 32 bits besides the shard, and whether several owners have it."""
+    rows: list[tuple] = []
+    if names:
+        n, o = np.concatenate(names), np.concatenate(owners)
+        order = np.lexsort((o, n))
+        n, o = n[order], o[order]
+        heads = np.flatnonzero(np.r_[True, n[1:] != n[:-1]]) if len(n) else np.zeros(0, np.int64)
+        several = (np.maximum.reduceat(o, heads) != o[heads]) if len(n) else np.zeros(0, bool)
+        n = n[heads]
+        shard = _shard(n, shards)
+        order = np.argsort(shard, kind="stable")
+        n, several, shard = n[order], several[order], shard[order]
+        which, starts = np.unique(shard, return_index=True)
+        for s, a, b in zip(which.tolist(), starts, np.r_[starts[1:], len(n)]):
+            rows.append((s, n[a:b].astype("<u4").tobytes(), np.packbits(several[a:b]).tobytes()))
+    return pa.Table.from_arrays([pa.array([block] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "shard", "lows", "several"])
+
+
+def _shard(names: np.ndarray, shards: int) -> np.ndarray:
+    return ((names >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+def _wanted(right: pa.Table) -> np.ndarray:
+    """The shared names that a block got back, as shard and low bits."""
+    got = [np.frombuffer(low, "<u4").astype(np.uint64) | np.uint64(s) << np.uint64(32) for s, low in zip(right.column("shard").to_pylist(), right.column("lows").to_pylist()) if low is not None]
+    return np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
+
+
+def _is_wanted(names: np.ndarray, want: np.ndarray, shards: int) -> np.ndarray:
+    short = (_shard(names, shards).astype(np.uint64) << np.uint64(32)) | (names & np.uint64(0xFFFFFFFF))
+    return want[np.minimum(np.searchsorted(want, short), len(want) - 1)] == short if len(want) else np.zeros(len(names), bool)
+
 
-    A block sends each name once, in 32 bits besides the shard, so a very common anchor weighs no more than another. Names
-    that agree by chance are sorted out later.
+def _shared(named: DataFrame) -> DataFrame:
+    """(block, shard, lows): those names that two documents have at least, for each block that has them.
+
+    A block sends each name once, so a very common one weighs no more than another. Names that agree by chance are
+    sorted out later.
     """
-    shift = np.uint64(64 - max(1, (shards - 1).bit_length()))
+
+    def find(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        blocks = table.column("block").to_pylist()
+        lows = [np.frombuffer(x, "<u4") for x in table.column("lows").to_pylist()]
+        several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)) for x, y in zip(table.column("several").to_pylist(), lows)]
+        ends = np.cumsum([len(x) for x in lows])
+        _, which, counts = np.unique(np.concatenate(lows), return_inverse=True, return_counts=True)
+        shared = counts > 1
+        shared[which[np.concatenate(several).astype(bool)]] = True
+        kept = [x[keep].astype("<u4").tobytes() for x, keep in zip(lows, np.split(shared[which], ends[:-1]))]
+        return pa.Table.from_arrays([pa.array(blocks, pa.int32()), pa.array([int(key[0].as_py())] * len(blocks), pa.int32()), pa.array(kept, pa.binary())], ["block", "shard", "lows"])
+
+    return named.groupBy("shard").applyInArrow(find, "block int, shard int, lows binary").filter(F.length("lows") > 0)
+
+
+def _shared_names(docs: DataFrame, copies: DataFrame, shards: int) -> DataFrame:
+    """Names of anchors that stand in two documents at least, for each block."""
 
     def name_block(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         names, own, no, before = [], [], 0, None
         for d, c, _, runs in _runs_of(left, _copies(right)):
             no += (d, c) != before
             before = (d, c)
-            u = np.unique(runs[0])
-            names.append(u)
-            own.append(np.full(len(u), no))
-        rows: list[tuple] = []
-        if names:
-            n, o = np.concatenate(names), np.concatenate(own)
-            order = np.lexsort((o, n))
-            n, o = n[order], o[order]
-            head = np.r_[True, n[1:] != n[:-1]]
-            several = np.maximum.reduceat(o, np.flatnonzero(head)) != o[head]
-            n = n[head]
-            shard = ((n >> shift) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            n, several, shard = n[order], several[order], shard[order]
-            for s, a, b in zip(*np.unique(shard, return_index=True), np.r_[np.unique(shard, return_index=True)[1][1:], len(n)]):
-                rows.append((int(s), n[a:b].astype("<u4").tobytes(), np.packbits(several[a:b]).tobytes()))
-        return pa.Table.from_arrays([pa.array([int(key[0].as_py())] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "shard", "lows", "several"])
-
-    named = docs.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(name_block, "block int, shard int, lows binary, several binary")
+            names.append(np.unique(runs[0]))
+            own.append(np.full(len(names[-1]), no))
+        return _by_shard(int(key[0].as_py()), names, own, shards)
 
-    def find(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        blocks = table.column("block").to_pylist()
-        lows = [np.frombuffer(x, "<u4") for x in table.column("lows").to_pylist()]
-        several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)).astype(bool) for x, y in zip(table.column("several").to_pylist(), lows)]
-        values, counts = np.unique(np.concatenate(lows), return_counts=True)
-        shared = np.union1d(values[counts > 1], np.concatenate([x[y] for x, y in zip(lows, several)]))
-        kept = [np.intersect1d(x, shared).astype("<u4").tobytes() for x in lows]
-        return pa.Table.from_arrays([pa.array(blocks, pa.int32()), pa.array([int(key[0].as_py())] * len(blocks), pa.int32()), pa.array(kept, pa.binary())], ["block", "shard", "lows"])
+    return _shared(docs.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(name_block, "block int, shard int, lows binary, several binary"))
 
-    return named.groupBy("shard").applyInArrow(find, "block int, shard int, lows binary").filter(F.length("lows") > 0)
+
+def _strings_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each string of each run (its span's substrings of LENGTH), and the run's position in the table."""
+    spans = table.column("span").to_pylist()
+    sizes = np.array([len(x) for x in spans], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    n = sizes - LENGTH + 1
+    run = np.repeat(np.arange(len(spans)), n)
+    place = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + starts[run]
+    if not len(run):
+        return np.zeros(0, np.uint64), run
+    return _mix(_grams(_LETTER[np.frombuffer(b"".join(spans), np.uint8)], LENGTH))[place], run
+
+
+def _shared_strings(runs: DataFrame, shards: int) -> DataFrame:
+    """(d, c, name, string, s) for the strings of these runs that two documents have at least."""
+
+    def name_block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        hashes, run = _strings_of(table)
+        return _by_shard(int(key[0].as_py()), [hashes], [table.column("d").to_numpy()[run]], shards)
+
+    names = _shared(runs.groupBy("block").applyInArrow(name_block, "block int, shard int, lows binary, several binary"))
+
+    def pick_block(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes, run = _strings_of(left)
+        hit = np.flatnonzero(_is_wanted(hashes, _wanted(right), shards))
+        first = np.searchsorted(run, run[hit])
+        of = {k: left.column(k).to_numpy()[run[hit]] for k in ("d", "c", "name", "first")}
+        return pa.Table.from_arrays([pa.array(of["d"]), pa.array(of["c"]), pa.array(of["name"]), pa.array(hashes[hit].view(np.int64)), pa.array(of["first"] + hit - first)], ["d", "c", "name", "string", "s"])
+
+    return runs.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(pick_block, "d long, c long, name long, string long, s long")
 
 
 def _shared_runs(docs: DataFrame, copies: DataFrame, names: DataFrame, shards: int) -> DataFrame:
     """The runs of all documents whose anchors are shared: d, c, name, content, first, last, at (of the anchor in the run), span."""
-    shift = np.uint64(64 - max(1, (shards - 1).bit_length()))
     replies = names.select("block", F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("c"), "shard", "lows")
     right = copies.unionByName(replies)
 
     def run_block(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted = [np.frombuffer(low, "<u4").astype(np.uint64) | np.uint64(s) << np.uint64(32) for s, low in zip(right.column("shard").to_pylist(), right.column("lows").to_pylist()) if low is not None]
-        want = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
+        want = _wanted(right)
         cols: list[list[np.ndarray]] = [[] for _ in range(7)]
         spans: list[bytes] = []
         if len(want):
             for d, c, data, (name, content, first, last, at) in _runs_of(left, _copies(right)):
-                short = (((name >> shift) % np.uint64(shards)) << np.uint64(32)) | (name & np.uint64(0xFFFFFFFF))
-                hit = np.flatnonzero(want[np.minimum(np.searchsorted(want, short), len(want) - 1)] == short)
+                hit = np.flatnonzero(_is_wanted(name, want, shards))
                 for k, v in enumerate((np.full(len(hit), d), np.full(len(hit), c), name[hit].view(np.int64), content[hit].view(np.int64), first[hit], last[hit], at[hit] - first[hit])):
                     cols[k].append(v.astype(np.int64))
                 spans += [data[a : b + LENGTH] for a, b in zip(first[hit].tolist(), last[hit].tolist())]
@@ -218,12 +272,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     classes = materialize(runs.groupBy(F.col("name").alias("_name"), F.col("content").alias("_content")).agg(F.min("d").alias("least")), "run-classes")
     mixed = classes.groupBy(F.col("_name").alias("_mixed")).agg((F.min("_content") != F.max("_content")).alias("mixed")).filter("mixed").select("_mixed")
-    both = runs.join(classes, (F.col("name") == F.col("_name")) & (F.col("content") == F.col("_content")))
-    whole = both.filter("least < d").select("d", "c", F.col("first").alias("s"), (F.col("last") + LENGTH).alias("e"))
-    rest = both.filter("least = d").select("d", "c", "name", "first", "last", "span")
-    rest = rest.join(mixed, F.col("name") == F.col("_mixed"), "left_semi")
-    each = rest.select("d", "c", "name", "first", "span", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") - F.col("first"))).alias("i"))
-    strings = materialize(each.select("d", "c", "name", (F.col("first") + F.col("i")).alias("s"), F.xxhash64(F.substring("span", (F.col("i") + 1).cast("int"), F.lit(LENGTH))).alias("string")), "strings")
+    open_ = materialize(classes.join(mixed, F.col("_name") == F.col("_mixed"), "left_semi"), "open-classes")
+    same = lambda other: (F.col("name") == other["_name"]) & (F.col("content") == other["_content"])
+    rest = materialize(runs.join(open_, same(open_) & (F.col("d") == open_["least"])).select("d", "c", "name", "first", "last", "span"), "open-runs")
+    whole = runs.select("d", "c", "name", "content", "first", "last").join(classes, same(classes)).filter("least < d").select("d", "c", F.col("first").alias("s"), (F.col("last") + LENGTH).alias("e"))
+    strings = materialize(_shared_strings(rest.withColumn("block", block), shards), "strings")
     least = strings.groupBy(F.col("name").alias("_name"), F.col("string").alias("_string")).agg(F.min("d").alias("least"))
     single = strings.join(least, (F.col("name") == F.col("_name")) & (F.col("string") == F.col("_string"))).filter("least < d").select("d", "c", "s", (F.col("s") + LENGTH).alias("e"))
     all_ = whole.unionByName(single).unionByName(copied.select("d", "c", F.lit(0).cast("long").alias("s"), F.col("n").alias("e")))
