@@ -26,13 +26,20 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """Imports the modules that register queries."""
+    from lakewright.plans import aggregates, documents, joins, scans, search, sheets, states, windows  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _queries["f6_hybrid_search"](spark, sf_dir)
+    return queries()["f6_hybrid_search"](spark, sf_dir)
