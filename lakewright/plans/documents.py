@@ -1 +1,106 @@
-"""Queries: documents."""
+"""Queries: documents and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakewright.functions import text as T
+from lakewright.operators.chunking import chunks
+from lakewright.operators.relational import merge_by_file
+from lakewright.plans.catalog import register
+from lakewright.session import table
+
+NORMAL_SQL = r"regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g')"
+FLAT_SQL = r"trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))"
+
+
+@register("e1_normalise", f"SELECT doc_id, md5({NORMAL_SQL}) AS digest, length({NORMAL_SQL})::BIGINT AS n FROM documents")
+def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.normalise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("digest"), F.length(t).cast("long").alias("n"))
+
+
+@register("e2_length_cap", "SELECT doc_id, md5(left(text, 2000)) AS digest, length(text) > 2000 AS cut FROM documents")
+def length_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.left("text", F.lit(2000))).alias("digest"), (F.length("text") > 2000).alias("cut"))
+
+
+@register("e3_chunks", rf"""
+WITH RECURSIVE n AS (SELECT doc_id, {NORMAL_SQL} AS t FROM documents),
+c AS (
+  SELECT doc_id, t, 0 AS no, 0 AS s, 0 AS e FROM n WHERE length(t) > 0
+  UNION ALL
+  SELECT doc_id, t, no + 1, ns, CASE WHEN ns + 2400 >= length(t) THEN length(t) ELSE ns + coalesce(
+    CASE WHEN length(w) - strpos(reverse(w), chr(10)) > 1560 AND strpos(w, chr(10)) > 0 THEN length(w) - strpos(reverse(w), chr(10)) + 1 END,
+    CASE WHEN length(regexp_extract(w, '(?s)^.*[.!?。！？][ \t\n]')) > 1680 THEN length(regexp_extract(w, '(?s)^.*[.!?。！？][ \t\n]')) END, 2400) END
+  FROM (SELECT *, substring(t, ns + 1, 2400) AS w FROM (SELECT *, CASE WHEN no = 0 THEN 0 ELSE greatest(e - 260, s + 1) END AS ns FROM c WHERE no = 0 OR e < length(t))))
+SELECT doc_id, no::BIGINT AS no, s::BIGINT AS start, md5(substring(t, s + 1, e - s)) AS digest FROM c WHERE no > 0""")
+def chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("text"))
+    return chunks(d).select("doc_id", "no", "start", F.md5("chunk").alias("digest"))
+
+
+@register("e10_excerpt", f"SELECT doc_id, md5(CASE WHEN hit IS NULL THEN left(f, 900) ELSE substring(f, greatest(hit - 260, 1), hit - greatest(hit - 260, 1) + 900) END) AS digest FROM (SELECT doc_id, f, least(nullif(strpos(lower(f), 'license'), 0), nullif(strpos(lower(f), 'tion.'), 0)) AS hit FROM (SELECT doc_id, {FLAT_SQL} AS f FROM documents))")
+def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.excerpt(F.col("text"), ["license", "tion."])).alias("digest"))
+
+
+@register("e13_summary", f"SELECT doc_id, left({FLAT_SQL}, 180) AS summary FROM documents")
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.left(T.collapsed(F.col("text")), F.lit(T.SUMMARY)).alias("summary"))
+
+
+HTML_SQL = r"""replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+ '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
+ '(?i)</(p|div|section|article|header|footer|li|tr|h[1-6])>|<br\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
+ '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''')"""
+
+
+@register("e6_html_text", f"SELECT page_id, md5(left({HTML_SQL}, 250000)) AS digest FROM pages")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_html(F.col("html"))).alias("digest"))
+
+
+URL_SQL = r"""lower(regexp_extract(b, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(b, '^[A-Za-z]+://([^/?]*)', 1)), ':(80|443)$', '') || regexp_replace(regexp_extract(b, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '')
+ || CASE WHEN regexp_extract(b, '\?(.*)$', 1) = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(regexp_extract(b, '\?(.*)$', 1), '&')), '&') END"""
+
+
+@register("e11_canonical_url", f"SELECT page_id, {URL_SQL} AS url FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages)")
+def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("url"))
+
+
+@register("e29_mojibake", "SELECT doc_id, (3 * (length(text) - length(replace(text, chr(65533), ''))) + 2 * len(regexp_extract_all(text, '[ÃÂ][\\x{80}-\\x{BF}]')))::BIGINT AS score FROM documents")
+def mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", (3 * (F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit("")))) + 2 * F.regexp_count(t, F.lit("[ÃÂ][\\x{80}-\\x{BF}]"))).cast("long").alias("score"))
+
+
+@register("e30_slug", r"SELECT page_id, left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug FROM pages")
+def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.left(F.regexp_replace(F.regexp_replace(F.lower("url"), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(80)).alias("slug"))
+
+
+@register("e31_first_rule", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)steel') THEN 'steel' WHEN regexp_matches(p_type, '(?i)brass|copper') THEN 'metal' ELSE 'other' END AS class FROM part")
+def first_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_type").rlike("(?i)steel"), "steel").when(F.col("p_type").rlike("(?i)brass|copper"), "metal").otherwise("other").alias("class"))
+
+
+@register("e34_citation", "SELECT doc_id, concat_ws(' · ', source, lang, 'chunk ' || (doc_id % 5 + 1) || '/5') AS citation FROM documents")
+def citation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" · ", "source", "lang", F.concat(F.lit("chunk "), (F.col("doc_id") % 5 + 1).cast("string"), F.lit("/5"))).alias("citation"))
+
+
+@register("d20_repeated_lines", "WITH l AS (SELECT DISTINCT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1) SELECT source, line, count(*) AS n FROM l JOIN n USING (source) WHERE trim(line) <> '' GROUP BY source, line, docs HAVING count(*) > 0.1 * docs AND docs >= 3")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    lines = d.select("source", "doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).filter("trim(line) <> ''").groupBy("source", "line").agg(F.count("*").alias("n"))
+    docs = d.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("docs"))
+    return lines.join(docs, F.col("source") == F.col("_s")).filter("n > 0.1 * docs AND docs >= 3").select("source", "line", "n")
+
+
+@register("l1_merge_by_file", "SELECT doc_id, source, 'old' AS version FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0) UNION ALL SELECT doc_id, source, 'new' FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0")
+def merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return merge_by_file(d.withColumn("version", F.lit("old")), d.filter("source IN ('src1', 'src2') AND doc_id % 2 = 0").withColumn("version", F.lit("new")), "source")

@@ -1 +1,64 @@
-"""Queries: states."""
+"""Queries: state transitions of tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lakewright.plans.catalog import register
+from lakewright.session import table
+
+
+@register("l3_delete_by_key", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").filter("quality = 0"), "doc_id", "left_anti")
+
+
+@register("l4_cascade_delete", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'))")
+def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'")
+    orders = table(spark, sf_dir, "orders").join(gone, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("l_orderkey", "l_linenumber")
+
+
+@register("l8_append_if_absent", "SELECT event_id, user_id FROM events WHERE event_type = 'view' UNION ALL SELECT min(event_id), user_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'view') GROUP BY user_id")
+def append_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    now = e.filter("event_type = 'view'").select("event_id", "user_id")
+    new = e.filter("event_type = 'click'").join(now, "user_id", "left_anti").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    return now.unionByName(new)
+
+
+@register("l9_claim", "WITH c AS (SELECT event_id FROM events WHERE event_type = 'view' ORDER BY ts, event_id LIMIT 3) SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM c) THEN 'running' ELSE 'queued' END AS status, CASE WHEN event_id IN (SELECT event_id FROM c) THEN 1 ELSE 0 END AS attempts FROM events WHERE event_type = 'view'")
+def claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = table(spark, sf_dir, "events").filter("event_type = 'view'").select("event_id", "ts")
+    taken = ready.orderBy("ts", "event_id").limit(3).select(F.col("event_id").alias("_id"))
+    hit = F.col("_id").isNotNull()
+    return ready.join(F.broadcast(taken), F.col("event_id") == F.col("_id"), "left").select("event_id", F.when(hit, "running").otherwise("queued").alias("status"), F.when(hit, 1).otherwise(0).alias("attempts"))
+
+
+@register("l12_retry_backoff", "SELECT event_id, CASE WHEN a < 5 THEN 'queued' ELSE 'failed' END AS status, CASE WHEN a < 5 THEN least(120.0, 10 * pow(2.0, a - 1)) END AS wait FROM (SELECT event_id, user_id % 7 + 1 AS a FROM events WHERE event_type = 'error')")
+def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", (F.col("user_id") % 7 + 1).alias("a"))
+    return e.select("event_id", F.when(F.col("a") < 5, "queued").otherwise("failed").alias("status"), F.when(F.col("a") < 5, F.least(F.lit(120.0), 10 * F.pow(F.lit(2.0), F.col("a") - 1))).alias("wait"))
+
+
+@register("l15_coalesce_update", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN 'X' END, o_orderstatus) AS status FROM orders")
+def coalesce_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.when(F.col("o_orderkey") % 4 == 0, "X"), F.col("o_orderstatus")).alias("status"))
+
+
+@register("l20_snapshot_sync", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'insert' WHEN b.doc_id IS NULL THEN 'delete' WHEN a.n <> b.n THEN 'update' ELSE 'keep' END AS change FROM (SELECT doc_id, n_chars AS n FROM documents WHERE doc_id % 3 <> 0) a FULL OUTER JOIN (SELECT doc_id, n_chars + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n FROM documents WHERE doc_id % 4 <> 0) b ON a.doc_id = b.doc_id")
+def snapshot_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    old = d.filter("doc_id % 3 <> 0").select("doc_id", F.col("n_chars").alias("o"))
+    new = d.filter("doc_id % 4 <> 0").select("doc_id", (F.col("n_chars") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("n"))
+    change = F.when(F.col("o").isNull(), "insert").when(F.col("n").isNull(), "delete").when(F.col("o") != F.col("n"), "update").otherwise("keep")
+    return old.join(new, "doc_id", "full_outer").select("doc_id", change.alias("change"))
+
+
+@register("l21_unique_names", "SELECT p_partkey, CASE WHEN n = 1 THEN lower(p_brand) ELSE lower(p_brand) || ' ' || n END AS name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS n FROM part)")
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy(F.lower("p_brand")).orderBy("p_partkey"))
+    d = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("b"), n.alias("n"))
+    return d.select("p_partkey", F.when(F.col("n") == 1, F.col("b")).otherwise(F.concat("b", F.lit(" "), F.col("n").cast("string"))).alias("name"))

@@ -1 +1,73 @@
-"""Queries: windows."""
+"""Queries: latest rows, turns, runs, budgets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lakewright.operators.relational import latest_per
+from lakewright.plans.catalog import register
+from lakewright.session import table
+from lakewright.streaming.timeline import deltas, run_states, turns
+
+
+@register("i1_latest_per_scope", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return latest_per(d, ["o_custkey"], F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).select("o_custkey", "o_orderkey")
+
+
+@register("i2_last_row", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def last_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"))
+
+
+@register("i3_keep_first", "SELECT min(doc_id) AS doc_id, md5(text) AS digest FROM documents GROUP BY text")
+def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@register("i5_turns", "SELECT conv_id, n AS turn_no, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS records FROM (SELECT *, (sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS n FROM conversations) WHERE n > 0 GROUP BY conv_id, n")
+def turn_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns(table(spark, sf_dir, "conversations"))
+
+
+@register("i6_next_user_input", "SELECT conv_id, turn, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_user FROM conversations")
+def next_user_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.min(F.when(F.col("role") == "user", F.col("turn"))).over(w).alias("next_user"))
+
+
+@register("i9_open_runs", "SELECT user_id, max(event_id) AS run FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY user_id")
+def open_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.filter("event_type = 'signup'").join(e.filter("event_type = 'purchase'"), "user_id", "left_anti").groupBy("user_id").agg(F.max("event_id").alias("run"))
+
+
+@register("i10_carried_run", "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM events")
+def carried_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("run"))
+
+
+@register("i15_budgeted_eviction", "SELECT source, doc_id FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS used FROM documents WHERE doc_id >= 100) WHERE used <= 20000")
+def eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("source").orderBy(F.col("doc_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "documents").filter("doc_id >= 100").select("source", "doc_id", F.sum("n_chars").over(w).alias("used")).filter("used <= 20000").select("source", "doc_id")
+
+
+@register("i16_offsets", "SELECT l_orderkey, l_linenumber, round(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) AS start FROM lineitem")
+def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, -1)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.coalesce(F.sum("l_quantity").over(w), F.lit(0)), 2).cast("double").alias("start"))
+
+
+@register("m4_delta_accumulation", "SELECT conv_id, turn, md5(string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS digest FROM conversations WHERE role = 'assistant'")
+def accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
+    return deltas(d, ["conv_id"], "turn", "text").select("conv_id", "turn", F.md5("running").alias("digest"))
+
+
+@register("m9_run_status", "SELECT user_id, arg_max(CASE event_type WHEN 'signup' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END, event_id) FILTER (event_type IN ('signup', 'purchase', 'error')) AS status, max(event_id) FILTER (event_type IN ('signup', 'purchase', 'error')) AS seq FROM events WHERE event_type IN ('signup', 'purchase', 'error') GROUP BY user_id")
+def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_states(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"))
