@@ -22,12 +22,14 @@ from lakewright.session import materialize
 #: A file image starts with this; then width, documents, ids, ids a block.
 MAGIC, HEAD = b"LWTOK1\0\0", struct.Struct("<8sIIQI")
 #: Ids of one block (whole bytes at any width), ids after which an image is closed, chunks that a worker keeps.
-BLOCK, IMAGE_IDS, CHUNKS = 4096, 500_000, 300_000
+BLOCK, IMAGE_IDS, CHUNKS = 4096, 500_000, 600_000
 END = 0
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
-    """width bits for each id, lowest bit first; the tail is filled with zero bits."""
+    """width bits for each id, lowest bit first; the tail is filled with zero bits. Whole bytes are copied as such."""
+    if width % 8 == 0:
+        return np.ascontiguousarray(ids.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)[:, : width // 8]).tobytes()
     out = bytearray()
     step = BLOCK * 16
     for at in range(0, len(ids), step):
@@ -37,6 +39,10 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 
 
 def unpack(data: bytes, width: int, count: int) -> np.ndarray:
+    if width % 8 == 0:
+        wide = np.zeros((count, 4), np.uint8)
+        wide[:, : width // 8] = np.frombuffer(data, np.uint8, count * width // 8).reshape(count, -1)
+        return wide.view("<u4").reshape(-1)
     bits = np.unpackbits(np.frombuffer(data, np.uint8), count=count * width, bitorder="little").reshape(count, width)
     out = np.zeros(count, np.uint32)
     for k in range(width):
