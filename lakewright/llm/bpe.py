@@ -14,7 +14,9 @@ from lakewright.llm.chunks import ChunkCache
 from lakewright.llm.common import pick
 
 #: Entries that a worker keeps: chunks with their ids, transitions of the transducer.
-CHUNKS, TRANSITIONS = 120_000, 350_000
+CHUNKS, TRANSITIONS = 250_000, 500_000
+#: Up to so many bytes are gone through without making transitions, where one is missing for the first time.
+AHEAD = 64
 #: Ids that the streaming decoder takes at a time.
 DECODE_BLOCK = 4096
 
@@ -62,6 +64,7 @@ class Transducer:
         self.states: list[tuple[int, Hypotheses]] = []
         self.final: list[tuple[int, ...]] = []
         self.move: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.missed: set[int] = set()
         self._intern((-1, ((self.ROOT, ()),)))
 
     def _intern(self, state: tuple[int, Hypotheses]) -> int:
@@ -141,13 +144,38 @@ class Transducer:
         self.move[no << 8 | byte] = found = (to, out)
         return found
 
+    def _ahead(self, no: int, data: bytes) -> tuple[int, ...]:
+        """The tokens that are left to put out after the rest of the data, from a state; no states are made."""
+        last, open_ = self.states[no]
+        child, token_at, pairs = self.child, self.token_at, self.pairs
+        for byte in data:
+            reached, ended = [], None
+            for node, tail in open_:
+                if (to := child.get(node << 8 | byte)) is None:
+                    continue
+                token = token_at[to]
+                reached.append((to, tail))
+                if token >= 0 and ended is None:
+                    before = tail[-1] if tail else last
+                    if before < 0 or (pairs[before, token] if (before, token) in pairs else self.stable(before, token)):
+                        ended = (*tail, token)
+            reached.append((self.ROOT, ended))
+            open_ = reached
+        return open_[-1][1]
+
     def encode(self, data: bytes) -> list[int]:
-        if len(self.move) > self.limit:
-            self.move.clear()
+        """Along known transitions; a missing one is made when it is missed again, so that rare data make few."""
+        if len(self.move) > self.limit or len(self.missed) > self.limit:
             self._reset()
         no, out, move = 0, [], self.move
-        for byte in data:
-            no, tokens = move.get(no << 8 | byte) or self._step(no, byte)
+        for i, byte in enumerate(data):
+            if (found := move.get(no << 8 | byte)) is None:
+                if len(data) - i <= AHEAD and (key := no << 8 | byte) not in self.missed:
+                    self.missed.add(key)
+                    out += self._ahead(no, data[i:])
+                    return out
+                found = self._step(no, byte)
+            no, tokens = found
             if tokens:
                 out += tokens
         out += self.final[no]
