@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+#: Longer chunks are not kept: a text without blanks is one chunk.
+LONG = 64
+
 
 class ChunkCache:
     """Values by chunk, for many texts. Two generations of at most limit chunks: what isn't met again goes with the older."""
@@ -42,6 +45,9 @@ class ChunkCache:
             if new:
                 known.update(zip(new, make(new)))
             found = list(map(known.__getitem__, chunks))
+            for c in new:
+                if len(c) > LONG:
+                    del known[c]
             if len(known) > self.limit:
                 self.older, self.known = known, {}
         return found
