@@ -6,23 +6,21 @@ import base64
 import codecs
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakewright.llm.chunks import ChunkCache
+from lakewright.llm.chunks import LONG, ChunkCache
 from lakewright.llm.common import pick
 
-#: Entries that a worker keeps: chunks with their ids, transitions of the transducer.
-CHUNKS, TRANSITIONS = 250_000, 500_000
-#: Up to so many bytes are gone through without making transitions, where one is missing for the first time.
-AHEAD = 64
+#: Entries that a worker keeps: chunks and matches with their ids, pairs of tokens, transitions of the transducer.
+CHUNKS, PAIRS, TRANSITIONS = 250_000, 1_000_000, 500_000
+#: Longer matches are put out in steps of so many bytes.
+STEP = 4096
 #: Ids that the streaming decoder takes at a time.
 DECODE_BLOCK = 4096
 
-Hypotheses = tuple[tuple[int, tuple[int, ...]], ...]
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     """A tiktoken file: a line for each token, base64 and rank."""
     with open(path, "rb") as f:
@@ -33,26 +31,30 @@ class Transducer:
     """Turns bytes into the ids that merging lowest ranks first gives, left to right.
 
     A sequence of tokens is the result of merging iff each two neighbours are the result for their own bytes. So the last
-    token of each prefix's result follows from the results of shorter prefixes. A state holds, for each place where a
-    token that is still open may have begun, the node of the token tree that it has reached, and the tokens between the
-    last place on which all agree and that place. Once all agree on a token it is put out: after as many bytes as
-    the longest open token, at most. States and transitions are made when first met.
+    token of each prefix's result follows from the results of shorter prefixes. A state is the set of the token tree's
+    nodes that the tokens still open have reached; it tells which tokens end here, longest first. The first that is
+    stable beside the last token of the prefix before it is this prefix's last token; just one is, so if no longer one is,
+    the single byte's token is. These last tokens are registers of
+    the walk, not part of the state, so states are few. Only the registers of open tokens' beginnings matter for what
+    follows, so tokens on which all those agree are put out. States and transitions are made when first met.
     """
 
     ROOT = 0
 
-    def __init__(self, ranks: dict[bytes, int], transitions: int = TRANSITIONS):
-        self.ranks, self.limit = ranks, transitions
+    def __init__(self, ranks: dict[bytes, int], transitions: int = TRANSITIONS, pairs: int = PAIRS):
+        self.ranks, self.limit, self.pair_limit = ranks, transitions, pairs
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.length = {i: len(t) for t, i in ranks.items()}
         self.child: dict[int, int] = {}
-        self.token_at = [-1]
+        self.token_at, self.depth = [-1], [0]
         for token, rank in ranks.items():
             node = self.ROOT
-            for b in token:
+            for depth, b in enumerate(token, 1):
                 key = node << 8 | b
                 if (to := self.child.get(key)) is None:
                     to = self.child[key] = len(self.token_at)
                     self.token_at.append(-1)
+                    self.depth.append(depth)
                 node = to
             self.token_at[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
@@ -60,20 +62,28 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.ids: dict[tuple[int, Hypotheses], int] = {}
-        self.states: list[tuple[int, Hypotheses]] = []
-        self.final: list[tuple[int, ...]] = []
-        self.move: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.missed: set[int] = set()
-        self._intern((-1, ((self.ROOT, ()),)))
-
-    def _intern(self, state: tuple[int, Hypotheses]) -> int:
-        if (no := self.ids.get(state)) is None:
-            no = self.ids[state] = len(self.states)
-            self.states.append(state)
-            self.final.append(state[1][-1][1])
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.open: list[tuple[int, ...]] = []
+        self.ends: list[tuple[tuple[int, int], ...]] = []
+        self.single: list[int] = []
+        self.move: dict[int, int] = {}
+        self._intern((self.ROOT,))
+
+    def _intern(self, nodes: tuple[int, ...]) -> int:
+        if (no := self.numbers.get(nodes)) is None:
+            no = self.numbers[nodes] = len(self.open)
+            self.open.append(nodes)
+            ends = [(t, self.length[t]) for n in nodes if (t := self.token_at[n]) >= 0]
+            self.ends.append(tuple(ends[:-1]))
+            self.single.append(ends[-1][0] if ends else -1)
         return no
 
+    def _step(self, no: int, byte: int) -> int:
+        """Nodes stand in order of where their tokens began; a token may begin anew after each byte."""
+        reached = [to for n in self.open[no] if (to := self.child.get(n << 8 | byte)) is not None]
+        self.move[no << 8 | byte] = to = self._intern((*reached, self.ROOT))
+        return to
+
     def merge(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first; for short data such as one token."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -103,7 +113,8 @@ class Transducer:
         if (known := self.pairs.get((a, b))) is not None:
             return known
         left, right, below, bytes_of, answer = a, b, 1 << 60, self.bytes_of, True
-        while True:
+        # nothing stands before a text's first token
+        while a >= 0:
             across = self.ranks.get(bytes_of[left] + bytes_of[right])
             # ranks alike on both sides: the left one merges first
             if across is not None and across < below:
@@ -116,70 +127,52 @@ class Transducer:
                 below, left = left, lh[1]
             else:
                 below, right = right + 1, rh[0]
-        if len(self.pairs) > self.limit:
+        if len(self.pairs) > self.pair_limit:
             self.pairs.clear()
         self.pairs[a, b] = answer
         return answer
 
-    def _step(self, no: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, open_ = self.states[no]
-        reached, ended = [], None
-        for node, tail in open_:
-            if (to := self.child.get(node << 8 | byte)) is None:
-                continue
-            token = self.token_at[to]
-            reached.append((to, tail))
-            if token >= 0 and ended is None:
-                before = tail[-1] if tail else last
-                if before < 0 or self.stable(before, token):
-                    ended = (*tail, token)
-        reached.append((self.ROOT, ended))
-        shared = 0
-        tails = [t for _, t in reached]
-        shortest = min(map(len, tails))
-        while shared < shortest and all(t[shared] == ended[shared] for t in tails):
-            shared += 1
-        out = ended[:shared]
-        to = self._intern((out[-1] if out else last, tuple((n, t[shared:]) for n, t in reached)))
-        self.move[no << 8 | byte] = found = (to, out)
-        return found
-
-    def _ahead(self, no: int, data: bytes) -> tuple[int, ...]:
-        """The tokens that are left to put out after the rest of the data, from a state; no states are made."""
-        last, open_ = self.states[no]
-        child, token_at, pairs = self.child, self.token_at, self.pairs
-        for byte in data:
-            reached, ended = [], None
-            for node, tail in open_:
-                if (to := child.get(node << 8 | byte)) is None:
-                    continue
-                token = token_at[to]
-                reached.append((to, tail))
-                if token >= 0 and ended is None:
-                    before = tail[-1] if tail else last
-                    if before < 0 or (pairs[before, token] if (before, token) in pairs else self.stable(before, token)):
-                        ended = (*tail, token)
-            reached.append((self.ROOT, ended))
-            open_ = reached
-        return open_[-1][1]
+    def _agreed(self, no: int, last: list[int]) -> int:
+        """The furthest place at which the results of all prefixes before open tokens have a token's end in common."""
+        places = {len(last) - 1 - self.depth[n] for n in self.open[no]}
+        while len(places) > 1:
+            p = max(places)
+            places.remove(p)
+            places.add(p - self.length[last[p]])
+        return places.pop()
+
+    def _trace(self, last: list[int], end: int) -> list[int]:
+        out = []
+        while end:
+            out.append(last[end])
+            end -= self.length[last[end]]
+        out.reverse()
+        return out
 
     def encode(self, data: bytes) -> list[int]:
-        """Along known transitions; a missing one is made when it is missed again, so that rare data make few."""
-        if len(self.move) > self.limit or len(self.missed) > self.limit:
+        if len(self.move) > self.limit:
             self._reset()
-        no, out, move = 0, [], self.move
-        for i, byte in enumerate(data):
-            if (found := move.get(no << 8 | byte)) is None:
-                if len(data) - i <= AHEAD and (key := no << 8 | byte) not in self.missed:
-                    self.missed.add(key)
-                    out += self._ahead(no, data[i:])
-                    return out
-                found = self._step(no, byte)
-            no, tokens = found
-            if tokens:
-                out += tokens
-        out += self.final[no]
-        return out
+        no, last, out = 0, [-1], []
+        move, ends, single, known = self.move, self.ends, self.single, self.pairs.get
+        for at in range(0, len(data), STEP):
+            if at:
+                done = self._agreed(no, last)
+                out += self._trace(last, done)
+                # the token that ends there stays as the one before
+                last = last[done:]
+            for byte in data[at : at + STEP]:
+                key = no << 8 | byte
+                no = move[key] if key in move else self._step(no, byte)
+                for token, length in ends[no]:
+                    before = last[-length]
+                    if (fits := known((before, token))) is None:
+                        fits = self.stable(before, token)
+                    if fits:
+                        last.append(token)
+                        break
+                else:
+                    last.append(single[no])
+        return out + self._trace(last, len(last) - 1)
 
 
 class Codec:
@@ -192,16 +185,24 @@ class Codec:
         self.bytes_of = self.transducer.bytes_of
         self.pattern = regex.compile(pattern)
         self.cache = ChunkCache(CHUNKS)
+        self.matches: dict[str, list[int]] = {}
 
     def _of(self, text: str) -> list[int]:
         out: list[int] = []
-        for piece in self.pattern.findall(text):
-            out += self.transducer.encode(piece.encode())
+        known = self.matches
+        for match in self.pattern.findall(text):
+            if (ids := known.get(match)) is None:
+                ids = self.transducer.encode(match.encode())
+                if len(match) <= LONG:
+                    known[match] = ids
+            out += ids
+        if len(known) > CHUNKS:
+            known.clear()
         return out
 
     def encode(self, text: str) -> list[int]:
         found = self.cache.values(text, lambda chunks: [tuple(self._of(c)) for c in chunks])
-        return self._of(text) if found is None else [i for ids in found for i in ids]
+        return self._of(text) if found is None else list(chain.from_iterable(found))
 
     def decode(self, ids: list[int]) -> Iterator[str]:
         """The text in pieces; a character that is cut by a block's end comes with the next block."""

@@ -9,6 +9,7 @@ import pytest
 from cases import documents, nothing
 
 from lakewright.llm import bpe, token_files
+from lakewright.llm.chunks import LONG
 from lakewright.session import table
 
 TINY = "/root/testdata/sf0.001"
@@ -44,6 +45,22 @@ def test_transducer_is_the_library(library):
         assert own.encode(t) == library.encode_ordinary(t), t
 
 
+def test_long_matches_are_put_out_in_steps(library, monkeypatch):
+    monkeypatch.setattr(bpe, "STEP", 7)
+    own = bpe.Transducer(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), pairs=500)
+    rng = random.Random(2)
+    parts = "tion er eau ment ou the ing é a s 日 aa".split()
+    for _ in range(400):
+        word = "".join(rng.choice(parts) for _ in range(rng.randint(1, 60)))
+        assert own.encode(word.encode()) == library._encode_single_piece(word.encode()), word
+
+
+def test_long_chunks_are_not_kept():
+    own = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    own.encode("x" * 5000 + " y")
+    assert max(map(len, [*own.cache.known, *own.matches])) <= LONG
+
+
 def test_chunked_encoder_is_the_library(tokenizer):
     own = token_files.Encoder(P.path("byte_bpe_50k.json"))
     own.cache.limit = 50
