@@ -10,7 +10,7 @@ from lakewright.llm.common import let, pick
 #: Phrases of the base count with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Licence families: label, keyword that a text must hold, pattern of the name in lower-case words.
+#: Licence families: label, keyword that each match of the pattern holds from a word's start, pattern of the name in lower-case words.
 FAMILIES = (
     ("mit", "mit", "mit"),
     ("mit-0", "mit", "mit 0"),
@@ -24,7 +24,7 @@ FAMILIES = (
     ("gpl-3.0", "gpl", "(?:gnu )?gpl ?v?(?:ersion)? ?3(?: 0)?"),
     ("gpl-3.0", "general", "(?:gnu )?general public license (?:v|version) ?3"),
     ("lgpl", "lgpl", "(?:gnu )?lgpl(?: v?[23](?: [01])?)?"),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public"),
+    ("lgpl", "general", "(?:gnu )?(?:lesser|library) general public"),
     ("agpl", "agpl", "(?:gnu )?agpl(?: v?3(?: 0)?)?"),
     ("agpl", "affero", "(?:gnu )?affero general public"),
     ("bsd", "bsd", "bsd"),
@@ -44,8 +44,8 @@ FAMILIES = (
     ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] [05])?"),
     ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] [05])?"),
     ("cc-by", "creative", "creative commons attribution"),
-    ("cc-by-sa", "sharealike", "creative commons attribution share ?alike"),
-    ("cc-by-nc", "noncommercial", "creative commons attribution non ?commercial"),
+    ("cc-by-sa", "attribution", "creative commons attribution share ?alike"),
+    ("cc-by-nc", "attribution", "creative commons attribution non ?commercial"),
     ("isc", "isc", "isc"),
     ("zlib", "zlib", "zlib(?: libpng)?"),
     ("boost", "boost", "boost software"),
@@ -66,11 +66,58 @@ FORMS = (
     (2, 0.7, "(?:licen[cs]e|licensing) (?:is |type )?(?:the )?", ""),
     (1, 0.6, "(?:the )?", " licen[cs]e(?: agreement| terms| text)?"),
 )
+#: Sentences of licence bodies, which name no licence: label, pattern. A literal head of some words comes first.
+BODIES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of (?:this|the) software(?: and associated documentation files)?"),
+    ("mit", "the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("mit-0", "permission is hereby granted free of charge to any person obtaining a copy of this software (?:[^ ]+ ){1,60}?furnished to do so the software is provided as is"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("gpl", "this program is free software(?: you can redistribute it and or modify it)?"),
+    ("gpl-3.0", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed preamble the gnu general public license is a free copyleft license"),
+    ("gpl-2.0", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "the licenses for most software and other practical works are designed to take away your freedom to share and change the works"),
+    ("lgpl", "this library is free software(?: you can redistribute it and or modify it)?"),
+    ("lgpl", "a program that contains no derivative of any portion of the library but is designed to work with the library"),
+    ("agpl", "your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted(?: provided that the following conditions are met)?"),
+    ("bsd-3-clause", "neither the name of (?:[^ ]+ ){1,20}?(?:nor the names? of (?:its|their|any|other) contributors )?may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("isc", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", "the origin of this software must not be misrepresented"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "you just do what the fuck you want to"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public"),
+    ("epl", "the accompanying program is provided under the terms of this eclipse public"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("python", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("ofl", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders"),
+)
+BODY_PRIORITY, BODY_SURE = 3, 0.9
+
+
+def head(pattern: str) -> str:
+    """The literal words that a body's pattern begins with."""
+    literal = pattern.split("?")[0].split("(")[0]
+    return literal if literal == pattern else literal.rpartition(" ")[0]
+
+
 #: All rules, in order (a longer label is a more specific licence and comes first): label, keyword, priority, confidence, pattern over a text of lower-case words with blanks around each.
-RULES = tuple((label, key, priority, sure, f"(?<= ){before}{name}{after}(?= )") for priority, sure, before, after in FORMS for label, key, name in sorted(FAMILIES, key=lambda f: -len(f[0])))
+RULES = tuple((label, key, priority, sure, f"(?<= ){before}{name}{after}(?= )") for priority, sure, before, after in FORMS for label, key, name in sorted(FAMILIES, key=lambda f: -len(f[0]))) + tuple(
+    (label, head(body), BODY_PRIORITY, BODY_SURE, f"(?<= ){body}(?= )") for label, body in BODIES
+)
 
-#: A text is searched if it holds some rule's keyword as a word; every rule's pattern holds its keyword.
-GATE = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted({key for _, key, _ in FAMILIES})) + ")(?![A-Za-z0-9])"
+#: Keywords that patterns also take as the start of a longer word (gplv2).
+JOINED = ("gpl",)
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A text is searched if it holds some family's keyword, as a word or for JOINED as a word's start, or the first words of some body.
+GATE = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted({key + ("" if key in JOINED else "(?![A-Za-z0-9])") for _, key, _ in FAMILIES} | {SEPARATORS.join(head(body).split(" ")[:4]) for _, body in BODIES})) + ")"
 
 
 def _lower(text: Column) -> Column:
@@ -133,11 +180,11 @@ def detections(padded: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): the contract's columns and detections.
 
-    Only texts that hold a keyword of some rule are searched. Null text: no words. Null doc_id, repeated rows: each row
+    Only texts that pass the gate are searched. Null text: no words. Null doc_id, repeated rows: each row
     its result. Empty table: no rows.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    apart = F.trim(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
+    apart = F.trim(F.regexp_replace(t, SEPARATORS, " "))
     d = pick(docs, "doc_id", "text").select("doc_id", F.when(t.rlike(GATE), F.concat(F.lit(" "), _lower(apart), F.lit(" "))).alias("padded"), F.when(apart == "", 0).otherwise(_blanks(apart) + 1).cast("long").alias("n_words"))
 
     def starts(w: Column, phrase: str) -> Column:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -27,3 +28,65 @@ def test_base_columns(spark, make):
     got = license_rules.contract(d).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got), key=repr) == sorted(want, key=repr)
     assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
+
+
+def sample(rng, parsed):
+    """A string that the parsed pattern matches, lookarounds left out."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "NOT_LITERAL":
+            out += "x"
+        elif name == "IN":
+            out += "x" if str(arg[0][0]) == "NEGATE" else rng.choice([chr(c) for k, v in arg for c in (range(v[0], v[1] + 1) if str(k) == "RANGE" else [v])])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = arg
+            out += "".join(sample(rng, inner) for _ in range(rng.randint(least, min(int(most), least + 3))))
+        elif name == "SUBPATTERN":
+            out += sample(rng, arg[-1])
+        elif name == "BRANCH":
+            out += sample(rng, rng.choice(arg[1]))
+        else:
+            assert name == "ASSERT", name
+    return out
+
+
+def signatures():
+    rng = random.Random(4)
+    return [(rule, {sample(rng, re._parser.parse(rule[4])) for _ in range(12)}) for rule in license_rules.RULES]
+
+
+def test_each_match_passes_the_gate_and_holds_its_keyword():
+    for (_, key, _, _, pattern), samples in signatures():
+        for s in samples:
+            assert re.search(pattern, f" {s} ") and key in s and re.search(license_rules.GATE, s.upper().replace(" ", "\n-")), (key, s)
+
+
+def test_gated_results_are_the_ungated(spark, monkeypatch):
+    texts = [f"a text, {s}." for _, samples in signatures() for s in sorted(samples)[:2]] + ["Released under GPLv2.", "Creative Commons Attribution Share Alike license", "GNU Library General Public License", "nothing here", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gated = sorted(map(tuple, license_rules.contract(d).collect()))
+    monkeypatch.setattr(license_rules, "GATE", "^")
+    monkeypatch.setattr(license_rules, "RULES", tuple((label, "", *rest) for label, _, *rest in license_rules.RULES))
+    assert gated == sorted(map(tuple, license_rules.contract(d).collect()))
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("Released under GPLv2.", "gpl-2.0"),
+        ("License: GPL3", "gpl-3.0"),
+        ("Creative Commons Attribution Share Alike license", "cc-by-sa"),
+        ("Creative Commons Attribution Non-Commercial License", "cc-by-nc"),
+        ("GNU Library General Public License", "gpl,lgpl"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files", "mit"),
+        ("Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that", "bsd"),
+        ("Neither the name of the Example Corp. nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-clause"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ],
+)
+def test_names_and_bodies(spark, text, labels):
+    assert license_rules.contract(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
