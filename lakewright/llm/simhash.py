@@ -7,8 +7,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lakewright.llm.common import pick
 from lakewright.llm.components import components, merge_labels
@@ -156,9 +157,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs with the fingerprint of each row as _fp."""
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*names, "_fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are near-duplicates of one with a smaller doc_id; a repeated doc_id stays once, null ids stay."""
-    found = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    one = docs.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    kept = one.filter("_rank = 1 OR doc_id IS NULL").join(found, F.col("doc_id") == F.col("_keep"), "left").filter("_keep IS NOT NULL OR doc_id IS NULL")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with exactly one row of each component of near-duplicates, whatever the rows' ids.
+
+    It is the row with the smallest doc_id (null counts as largest), of these the one with the smallest text hash. Rows
+    with the same doc_id and other texts are rows like any other. A row's key is its place in the written step.
+    """
+    marked = materialize(_marked(docs), "marked")
+    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    keyed = marked.select("_fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), *place).alias("_key"))
+    # the least row of each fingerprint first, so that no join has a row for each copy
+    best = materialize(keyed.groupBy(F.col("_fp").alias("fp")).agg(F.min("_key").alias("_key")), "nodes")
+    roots = components(near_pairs(best.select("fp")))
+    placed = best.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "_key")
+    kept = materialize(placed.groupBy("root").agg(F.min("_key").alias("_key")).select(F.col("_key._file").alias("_f"), F.col("_key._row").alias("_r")), "kept")
+    rows = marked.select(*[F.col(f"`{c}`") for c in docs.columns], *place)
+    return rows.join(kept, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

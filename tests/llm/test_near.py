@@ -94,6 +94,24 @@ def test_deduplicate_keeps_one_of_each(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.deduplicate(documents(spark)).select("doc_id").collect())
 
 
+def test_deduplicate_decides_by_row(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("red", "green", "blue"))
+    rows = [(1, one), (2, one), (2, two), (2, three), (3, three), (None, "lone text of no id"), (None, "lone text of no id"), (None, two), (4, one), (4, one), (None, None), (5, "")]
+    kept = sorted(map(tuple, simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert kept == sorted([(1, one), (2, two), (2, three), (None, "lone text of no id"), (5, "")], key=repr)
+
+
+@pytest.mark.parametrize("make", [documents, nothing])
+def test_deduplicate_leaves_one_row_of_each_component(spark, make):
+    d = make(spark)
+    rows = [r.text for r in d.select("text").collect()]
+    prints = [brute_print(t) for t in rows]
+    comp = classes(list(range(len(rows))), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    got = simhash.deduplicate(d)
+    assert got.columns == d.columns
+    assert sorted(comp[rows.index(r.text)] for r in got.collect()) == sorted(set(comp))
+
+
 def brute_vectors(rows):
     def ok(v):
         return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
