@@ -32,11 +32,13 @@ def get_session(app: str = "lakewright", cores: int | None = None, shuffle_parti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (local runs) a temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else a temporary folder, with a local master only."""
     global _local_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _local_dir is None or not os.path.isdir(_local_dir):
         _local_dir = tempfile.mkdtemp(prefix="lakewright-")
     return f"file://{_local_dir}"

@@ -11,8 +11,6 @@ for p in (ROOT, os.path.join(ROOT, "tests")):
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
-TINY, SMALL = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -1,7 +1,7 @@
 import __spark_entry__ as entry
 import oracle
 import pytest
-from conftest import SMALL, TINY
+from paths import SMALL, TINY
 
 from lakewright.plans import catalog
 
