@@ -8,16 +8,17 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakewright.llm.chunks import LONG, ChunkCache
+from lakewright.llm.chunks import LONG, ChunkCache, groups
 from lakewright.llm.common import pick
 
-#: Entries that a worker keeps: chunks and matches with their ids, pairs of tokens, transitions of the transducer.
-CHUNKS, PAIRS, TRANSITIONS = 250_000, 1_000_000, 500_000
-#: Longer matches are put out in steps of so many bytes.
-STEP = 4096
+#: Entries that a worker keeps: chunks and matches with their ids (some 250 bytes each), pairs of tokens, transitions of the transducer.
+CHUNKS, MATCHES, PAIRS, TRANSITIONS = 250_000, 100_000, 250_000, 150_000
+#: After so many bytes of a match those tokens leave on which all open places agree.
+STEP = 64
 #: Ids that the streaming decoder takes at a time.
 DECODE_BLOCK = 4096
 
@@ -84,16 +85,6 @@ class Transducer:
         self.move[no << 8 | byte] = to = self._intern((*reached, self.ROOT))
         return to
 
-    def merge(self, data: bytes) -> list[int]:
-        """Plain merging, lowest rank first; for short data such as one token."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
-
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens of which the token is merged last; None for a byte."""
         if token not in self.halves:
@@ -196,13 +187,13 @@ class Codec:
                 if len(match) <= LONG:
                     known[match] = ids
             out += ids
-        if len(known) > CHUNKS:
-            known.clear()
+            if len(known) > MATCHES:
+                known.clear()
         return out
 
-    def encode(self, text: str) -> list[int]:
-        found = self.cache.values(text, lambda chunks: [tuple(self._of(c)) for c in chunks])
-        return self._of(text) if found is None else list(chain.from_iterable(found))
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        found = self.cache.values(texts, lambda chunks: [tuple(self._of(c)) for c in chunks])
+        return [self._of(t) if v is None else list(chain.from_iterable(v)) for t, v in zip(texts, found)]
 
     def decode(self, ids: list[int]) -> Iterator[str]:
         """The text in pieces; a character that is cut by a block's end comes with the next block."""
@@ -225,30 +216,30 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fals
     """One row per row of docs (doc_id, text): n_tokens, ids_sha256, decoded_sha256; with_ids also the ids.
 
     Null and empty texts have no ids. Rows stay where they are: nothing is shuffled, repeated rows and ids don't matter,
-    and an empty table gives no rows. A worker keeps the ids of recent chunks, and transitions, up to fixed numbers.
+    and an empty table gives no rows. A worker keeps the ids of recent chunks, and transitions, up to fixed numbers. Rows
+    leave it in slices of bounded size; a very long text is a slice of its own.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         decimal = {i: str(i) for i in own.bytes_of}
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
         for batch in batches:
-            counts, sums, back, kept = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = own.encode(text or "")
-                digest = hashlib.sha256()
-                for piece in own.decode(ids):
-                    digest.update(piece.encode())
-                counts.append(len(ids))
-                sums.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                back.append(digest.hexdigest())
-                if with_ids:
-                    kept.append(ids)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            at = 0
+            for texts in groups(text or "" for text in batch.column(1).to_pylist()):
+                counts, sums, back, kept = [], [], [], []
+                for ids in own.encode(texts):
+                    digest = hashlib.sha256()
+                    for piece in own.decode(ids):
+                        digest.update(piece.encode())
+                    counts.append(len(ids))
+                    sums.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                    back.append(digest.hexdigest())
+                    if with_ids:
+                        kept.append(np.array(ids, np.int32))
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())]
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, names)
 
     return pick(docs, "doc_id", "text").mapInArrow(run, schema)

@@ -7,10 +7,26 @@ depend on what lies outside. Texts with other white space next to a space are sp
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 #: Longer chunks are not kept: a text without blanks is one chunk.
 LONG = 64
+#: Texts are looked at together up to so many, or so many characters.
+TEXTS, CHARACTERS = 256, 1_000_000
+
+
+def groups(texts: Iterable[str]) -> Iterator[list[str]]:
+    """The texts in order, in lists of bounded size; a longer text is a list of its own."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        if held and (len(held) == TEXTS or size + len(t) > CHARACTERS):
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
 
 
 class ChunkCache:
@@ -19,35 +35,34 @@ class ChunkCache:
     def __init__(self, limit: int):
         self.limit, self.known, self.older = limit, {}, {}
 
-    def values(self, text: str, make: Callable[[list[str]], list]) -> list | None:
-        """The values of the text's chunks in order; None if the text can't be split this way.
+    def values(self, texts: list[str], make: Callable[[list[str]], list]) -> list[list | None]:
+        """For each text the values of its chunks in order, or None if it can't be split this way.
 
-        make gets the chunks not seen yet; all but the text's first begin with a blank.
+        make gets the chunks that aren't known, of all texts at once; all but a text's first begin with a blank. They are
+        kept without that blank, a text's first chunk with one, so that the two don't meet.
         """
-        first, *rest = text.split(" ")
-        if (first and first[-1].isspace() and rest) or not all(rest):
-            return None
-        known = self.known
-        chunks = [" " + w for w in rest]
-        if first:
-            chunks.insert(0, first)
-        found = list(map(known.get, chunks))
-        if None in found:
-            older, new, last = self.older, [], chunks[-1]
-            for c in dict.fromkeys(c for c, v in zip(chunks, found) if v is None):
-                if (v := older.get(c)) is not None:
-                    known[c] = v
-                # inside, white space must not stand next to the space that splits
-                elif c[0] == " " and c[1].isspace() or c[-1].isspace() and c != last:
-                    return None
-                else:
-                    new.append(c)
-            if new:
-                known.update(zip(new, make(new)))
-            found = list(map(known.__getitem__, chunks))
-            for c in new:
-                if len(c) > LONG:
-                    del known[c]
-            if len(known) > self.limit:
-                self.older, self.known = known, {}
-        return found
+        known, older, parts, new = self.known, self.older, [], set()
+        for text in texts:
+            first, *rest = text.split(" ")
+            if (first and first[-1].isspace() and rest) or not all(rest):
+                parts.append(None)
+                continue
+            if first:
+                rest.insert(0, " " + first)
+            parts.append(rest)
+            new |= set(rest).difference(known)
+        ask = []
+        for c in sorted(new):
+            if (v := older.get(c)) is not None:
+                known[c] = v
+            # next to the space that splits there must be no other white space
+            elif c[0] == " " or not c[0].isspace():
+                ask.append(c)
+        known.update(zip(ask, make([c[1:] if c[0] == " " else " " + c for c in ask])))
+        found = [None if rest is None else list(map(known.get, rest)) for rest in parts]
+        for c in ask:
+            if len(c) > LONG:
+                del known[c]
+        if len(known) > self.limit:
+            self.older, self.known = known, {}
+        return [None if v is None or None in v else v for v in found]

@@ -5,31 +5,36 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewright.llm.chunks import ChunkCache
+from lakewright.llm.chunks import LONG, ChunkCache, groups
 from lakewright.llm.common import pick
 from lakewright.session import materialize
 
 #: A file image starts with this; then width, documents, ids, ids a block.
 MAGIC, HEAD = b"LWTOK1\0\0", struct.Struct("<8sIIQI")
 #: Ids of one block (whole bytes at any width), ids after which an image is closed, chunks that a worker keeps.
-BLOCK, IMAGE_IDS, CHUNKS = 4096, 500_000, 600_000
+BLOCK, IMAGE_IDS, CHUNKS = 4096, 500_000, 800_000
 END = 0
+#: Marks that may stand behind a word, and how byte-level vocabularies spell bytes that don't print.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """width bits for each id, lowest bit first; the tail is filled with zero bits. Whole bytes are copied as such."""
+    if width == 8 * ids.itemsize:
+        return ids.tobytes()
+    ids = ids.astype("<u4", copy=False)
     if width % 8 == 0:
-        return np.ascontiguousarray(ids.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)[:, : width // 8]).tobytes()
+        return np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4)[:, : width // 8]).tobytes()
     out = bytearray()
     step = BLOCK * 16
     for at in range(0, len(ids), step):
@@ -99,34 +104,82 @@ class Image:
 
 
 class Encoder:
-    """The tokenizers library with a memory of recent chunks; texts that can't be cut into chunks go to it whole."""
+    """The tokenizers library, as it is loaded, with a memory of recent chunks; texts that can't be cut into chunks go to it whole.
+
+    An added token holds no blank, so it lies inside one chunk, and the library finds it there as in the whole text.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.width = max(1, (self.library.get_vocab_size() - 1).bit_length())
+        self.code = "<u2" if self.width <= 16 else "<u4"
         self.cache = ChunkCache(CHUNKS)
-        # in a byte-level vocabulary each character of a token stands for one byte
+        self.model, self.marks = self.library.model, {}
+        # the model's own memory of 10,000 words helps none of the words that come here, each being new
+        self.model._resize_cache(0)
+        # in a byte-level vocabulary each character of a token stands for one byte; an added token is spelt as it is
         vocab = self.library.get_vocab()
         self.bytes_in = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.bytes_in[i] = len(token)
+        for i, token in self.library.get_added_tokens_decoder().items():
+            if " " in token.content or token.lstrip or token.rstrip or token.single_word:
+                raise ValueError(f"added token {i} may reach over chunks")
+            self.bytes_in[i] = len(token.content.encode())
 
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        # the batch call leaves out the offsets, which nobody asks for
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.code)
 
-    def _of(self, chunks: list[str]) -> list[bytes]:
-        """Encodes the chunks as one text and cuts the ids where the chunks' bytes end."""
-        data = self._whole("".join(chunks))
-        ends = np.searchsorted(np.cumsum(self.bytes_in[np.frombuffer(data, np.uint32)]), np.cumsum([len(c.encode()) for c in chunks])) + 1
-        return [data[4 * a : 4 * b] for a, b in pairwise([0, *ends.tolist()])]
+    def _word(self, blank: str, word: str) -> bytes:
+        """The ids of a word of letters, which the pre-tokeniser leaves whole, from the library's model."""
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(SPELT)
+        ids = [t.id for t in self.model.tokenize(blank + spelt)]
+        return struct.pack(f"<{len(ids)}{'H' if self.width <= 16 else 'I'}", *ids)
 
-    def encode(self, text: str) -> bytes:
-        found = self.cache.values(text, self._of)
-        return self._whole(text) if found is None else b"".join(found)
+    def _of(self, chunks: list[str]) -> list[bytes]:
+        """Letters with or without marks behind them go to the model, word and marks each by itself, as the pre-tokeniser
+        splits them; the other chunks go to the library as one text, whose ids are cut where the chunks' bytes end."""
+        out: list[bytes] = []
+        others, known, older, marks = [], self.cache.known, self.cache.older, self.marks
+        for c in chunks:
+            blank, body = ("Ġ", c[1:]) if c[0] == " " else ("", c)
+            word = body.rstrip(MARKS)
+            if not (word.isalpha() and (word.isascii() or max(word) < "\u0250")):
+                # without a blank before it, a text's first chunk would run into the one before
+                out.append(b"" if blank else self._whole(c).tobytes())
+                if blank:
+                    others.append(c)
+                continue
+            tail = body[len(word) :]
+            ids = (known.get(word) or older.get(word)) if blank and tail else None
+            if ids is None:
+                ids = self._word(blank, word)
+                if blank and tail and len(word) <= LONG:
+                    known[word] = ids
+            if tail:
+                if (more := marks.get(tail)) is None:
+                    more = self._whole(tail).tobytes()
+                    if len(tail) <= LONG and len(marks) < CHUNKS:
+                        marks[tail] = more
+                ids += more
+            out.append(ids)
+        if others:
+            ids = self._whole("".join(others))
+            data, size = ids.tobytes(), ids.itemsize
+            lengths = list(map(len, map(str.encode, others)))
+            ends = (np.searchsorted(np.cumsum(self.bytes_in[ids]), np.cumsum(lengths)) + 1) * size
+            found = iter([data[a:b] for a, b in pairwise([0, *ends.tolist()])])
+            out = [x or next(found) for x in out]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text in little-endian integers of self.code."""
+        found = self.cache.values(texts, self._of)
+        return [self._whole(t).tobytes() if v is None else b"".join(v) for t, v in zip(texts, found)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -138,48 +191,98 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
+    """doc_id, tie (the text's hash) and ids (packed, with the end id) for each row of docs, written once; texts stay where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        last = np.array([end], own.code).tobytes()
+        for batch in batches:
+            at = 0
+            for texts in groups(text or "" for text in batch.column(1).to_pylist()):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x + last for x in own.encode(texts)], pa.binary())], ["doc_id", "tie", "ids"])
+
+    d = pick(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    return materialize(d.mapInArrow(run, "doc_id long, tie long, ids binary"), "encoded")
+
+
 def write_tokens(docs: DataFrame, path: str, end: int = END) -> tuple[DataFrame, DataFrame]:
     """Writes all documents' ids as file images in the shared folder, in order of doc_id; gives the images and their index.
 
-    Documents are dealt by ranges of doc_id and sorted there (null ids first; repeated ids by text), encoded once, and
-    closed into images of about IMAGE_IDS ids. A long document is an image of its own. Images: part, seq, n_ids, n_docs, image.
-    Index: part, seq, start: how many ids stand before the image, from one sum for each image.
+    Texts are encoded where they lie; what is dealt by ranges of doc_id (null ids first; repeated ids by the text's hash, so
+    that rows of one id may be split) are the ids in 16 or 32 bits. They are sorted there and closed into images of about
+    IMAGE_IDS ids. A long document is an image of its own. Images: part, seq, n_ids, n_docs, first_id, last_id (null with
+    null ids in the image), image. Index: part, seq, start, n_ids, first_id, last_id; start is how many ids stand before
+    the image, from one sum for each image.
     """
-    end_bytes = np.array([end], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
-        lengths: list[int] = []
         held: list[bytes] = []
         count = 0
 
         def image() -> pa.RecordBatch:
-            data = write_image(keys, lengths, np.frombuffer(b"".join(held), np.uint32), own.width)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([count], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_ids", "n_docs", "image"])
+            data = write_image(keys, [len(x) // wide for x in held], np.frombuffer(b"".join(held), own.code), own.width)
+            ends = [None, None] if None in keys else [keys[0], keys[-1]]
+            row = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([count], pa.int64()), pa.array([len(keys)], pa.int64()), *(pa.array([k], pa.int64()) for k in ends), pa.array([data], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, ["part", "seq", "n_ids", "n_docs", "first_id", "last_id", "image"])
 
+        wide = np.dtype(own.code).itemsize
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = own.encode(text or "") + end_bytes
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys.append(key)
                 held.append(data)
-                lengths.append(len(data) // 4)
-                count += len(data) // 4
+                count += len(data) // wide
                 if count >= IMAGE_IDS:
                     yield image()
-                    keys, lengths, held, count, seq = [], [], [], 0, seq + 1
+                    keys, held, count, seq = [], [], 0, seq + 1
         if keys:
             yield image()
 
-    d = pick(docs, "doc_id", "text")
+    d = encoded(docs, path, end)
     n = max(1, d.rdd.getNumPartitions(), int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    images = materialize(ordered.mapInArrow(run, "part int, seq int, n_ids long, n_docs long, image binary"), "token-images")
+    ordered = d.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    images = materialize(ordered.mapInArrow(run, "part int, seq int, n_ids long, n_docs long, first_id long, last_id long, image binary"), "token-images")
     sums = images.groupBy("part").agg(F.sum("n_ids").alias("_ids"))
     before = sums.select(F.col("part").alias("_part"), (F.sum("_ids").over(Window.orderBy("part")) - F.col("_ids")).alias("_before"))
     own_start = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    index = images.select("part", "seq", own_start.alias("_own")).join(before, F.col("part") == F.col("_part")).select("part", "seq", (F.col("_before") + F.col("_own")).alias("start"))
-    return images, materialize(index, "token-index")
+    index = images.select("part", "seq", "n_ids", "first_id", "last_id", own_start.alias("_own")).join(before, F.col("part") == F.col("_part"))
+    return images, materialize(index.select("part", "seq", (F.col("_before") + F.col("_own")).alias("start"), "n_ids", "first_id", "last_id"), "token-index")
+
+
+def _images_with(images: DataFrame, index: DataFrame, holds: Column) -> DataFrame:
+    """start and image of those images whose index row meets the condition."""
+    some = index.filter(holds).select(F.col("part").alias("_p"), F.col("seq").alias("_s"), "start")
+    return images.select("part", "seq", "image").join(some, (F.col("part") == F.col("_p")) & (F.col("seq") == F.col("_s"))).select("start", "image")
+
+
+def read_range(images: DataFrame, index: DataFrame, start: int, count: int) -> DataFrame:
+    """(at, ids): the ids at global places start to start + count - 1, in slices; only the blocks that hold them are unpacked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                image = Image(data)
+                a, b = max(start, begin), min(start + count, begin + image.n_ids)
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([image.ids(a - begin, b - a).astype(np.int32)], pa.list_(pa.int32()))], ["at", "ids"])
+
+    return _images_with(images, index, (F.col("start") < start + count) & (F.col("start") + F.col("n_ids") > start)).mapInArrow(run, "at long, ids array<int>")
+
+
+def read_document(images: DataFrame, index: DataFrame, doc_id: int) -> DataFrame:
+    """(at, ids) for each row that was written under this doc_id, with its end id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                image = Image(data)
+                hits = [i for i, k in enumerate(image.keys) if k == doc_id]
+                yield pa.RecordBatch.from_arrays([pa.array([begin + int(image.starts[i]) for i in hits], pa.int64()), pa.array([image.document(i).astype(np.int32) for i in hits], pa.list_(pa.int32()))], ["at", "ids"])
+
+    return _images_with(images, index, F.col("first_id").isNull() | F.lit(doc_id).between(F.col("first_id"), F.col("last_id"))).mapInArrow(run, "at long, ids array<int>")
 
 
 def read_tokens(images: DataFrame, index: DataFrame) -> DataFrame:
@@ -194,10 +297,10 @@ def read_tokens(images: DataFrame, index: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(memoryview(ids[at[i] : at[i + 1]]).cast("B")) for i in range(image.n_docs)]
                 yield pa.RecordBatch.from_arrays([pa.array(image.keys, pa.int64()), pa.array(at[:-1] + start, pa.int64()), pa.array(image.lengths.astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    own = images.select("part", "seq", "image").join(index.select(F.col("part").alias("_p"), F.col("seq").alias("_s"), "start"), (F.col("part") == F.col("_p")) & (F.col("seq") == F.col("_s")))
-    return own.select("start", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _images_with(images, index, F.lit(True)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str) -> DataFrame:
-    """The contract's rows. Null text: only the end id. Repeated rows each have their place. Empty table: no rows."""
+    """The contract's rows. Null text: only the end id. Repeated rows each have their place. A very long text is an image
+    of its own, held whole by one worker at a time. Empty table: no rows."""
     return read_tokens(*write_tokens(docs, path))

@@ -27,14 +27,12 @@ def library():
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 def texts():
     rng = random.Random(1)
-    odd = ["", " ", "\n", "a \nb", "x a\n a\n", "tab\tx", "don't I'll x's", "<|endoftext|> x", "é ü  ñ", "日本語 テスト", "a" * 2000]
+    odd = ["", " ", "\n", "a \nb", "x a\n a\n", "tab\tx", "don't I'll x's", "<|endoftext|> x", "a<|endoftext|>b c", "x <|endoftext|>", "x  <|endoftext|> \n<|endoftext|><|endoftext|> y", "<|endoftext| > <|endoftext|>.", "é ü  ñ", "日本語 テスト", "a" * 2000]
     return odd + ["".join(rng.choice(" \n\tab1'sé.!　\xa0Zll") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
 
 
@@ -42,7 +40,8 @@ def test_transducer_is_the_library(library):
     own = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     own.transducer.limit = 5000  # so that it starts anew in between
     for t in texts():
-        assert own.encode(t) == library.encode_ordinary(t), t
+        assert own.encode([t]) == [library.encode_ordinary(t)], t
+    assert bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode(texts()) == [library.encode_ordinary(t) for t in texts()]
 
 
 def test_long_matches_are_put_out_in_steps(library, monkeypatch):
@@ -57,7 +56,7 @@ def test_long_matches_are_put_out_in_steps(library, monkeypatch):
 
 def test_long_chunks_are_not_kept():
     own = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    own.encode("x" * 5000 + " y")
+    own.encode(["x" * 5000 + " y"])
     assert max(map(len, [*own.cache.known, *own.matches])) <= LONG
 
 
@@ -65,7 +64,10 @@ def test_chunked_encoder_is_the_library(tokenizer):
     own = token_files.Encoder(P.path("byte_bpe_50k.json"))
     own.cache.limit = 50
     for t in texts():
-        assert np.frombuffer(own.encode(t), np.uint32).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+        assert np.frombuffer(own.encode([t])[0], own.code).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    fresh = token_files.Encoder(P.path("byte_bpe_50k.json"))
+    for t, ids in zip(texts(), fresh.encode(texts())):
+        assert np.frombuffer(ids, own.code).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def bpe_rows(rows, library):
@@ -85,7 +87,7 @@ def test_bpe_rows(spark, library):
 def test_decoding_is_streamed():
     own = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     text = "日本語é" * 9000
-    pieces = list(own.decode(own.encode(text)))
+    pieces = list(own.decode(own.encode([text])[0]))
     assert len(pieces) > 2 and "".join(pieces) == text
 
 
@@ -99,8 +101,25 @@ def test_packing_round_trip():
         assert (image.ids(4090, 20) == ids[4090:4110]).all() and len(image.ids(5, 0)) == 0
 
 
+def test_files_are_read_by_place_and_by_document(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "IMAGE_IDS", 3000)
+    d = table(spark, TINY, "documents")
+    images, index = token_files.write_tokens(d, P.path("byte_bpe_50k.json"))
+    rows = sorted((r.doc_id, r.text) for r in d.select("doc_id", "text").collect())
+    each = [tokenizer.encode(t, add_special_tokens=False).ids + [0] for _, t in rows]
+    ids = [i for x in each for i in x]
+    for start, count in ((0, 10), (2990, 5000), (len(ids) - 7, 100)):
+        got = sorted(map(tuple, token_files.read_range(images, index, start, count).collect()))
+        assert got[0][0] == start and [i for _, x in got for i in x] == ids[start : start + count]
+    starts = np.cumsum([0, *map(len, each)])
+    for i in (0, 57, len(rows) - 1):
+        assert token_files.read_document(images, index, rows[i][0]).collect() == [(starts[i], each[i])]
+    assert token_files.read_document(images, index, 1 << 40).collect() == []
+
+
 def test_token_files(spark, tokenizer):
-    for d in (documents(spark), table(spark, TINY, "documents"), nothing(spark)):
+    special = spark.createDataFrame([(1, "<|endoftext|> x"), (2, "a<|endoftext|>")], "doc_id long, text string")
+    for d in (documents(spark), table(spark, TINY, "documents"), nothing(spark), special):
         rows = sorted([(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()], key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
         want, at = [], 0
         for key, t in rows:
