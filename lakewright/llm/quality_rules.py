@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakewright.llm.common import BLANK, let, pick, same
 from lakewright.session import materialize
 
-#: A line is boilerplate of its host if it stands in more different texts than both limits allow.
+#: A line is boilerplate of its host if it stands in more documents than both limits allow.
 MIN_DOCS, HOST_SHARE = 20, 0.1
 #: A document is depleted if less than this share of its words' characters stays after boilerplate goes.
 KEEP_SHARE = 0.5
@@ -90,55 +90,53 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
-    """(host, line) of every boilerplate line; line is the hash of the normalised line, host may be null.
+def line_hashes(text: Column) -> Column:
+    return F.transform(word_lines(text), lambda x: F.xxhash64(normal_line(x)))
 
-    docs: host, text. A text that a host has several times counts once, so that copies don't make their own lines boilerplate.
+
+def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, once_per_text: bool = False) -> DataFrame:
+    """(host, lines): the hashes of each host's boilerplate lines, for hosts that have some; host may be null.
+
+    docs: doc_id, host, text. Documents are counted by doc_id; with once_per_text copies of a text count once. A line of
+    which copies are counted weighs one row for each document, and a (host, line) pair is summed up before the shuffle. A
+    host has at most mean lines a document / host_share boilerplate lines, however many documents it has.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.array_distinct(F.transform(word_lines(t), lambda x: F.xxhash64(normal_line(x))))
-    texts = docs.select("host", F.xxhash64("text").alias("content"), lines.alias("lines"))
-    totals = texts.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    unit = F.xxhash64("text") if once_per_text else F.col("doc_id")
+    each = docs.select("host", unit.alias("unit"), F.array_distinct(line_hashes(t)).alias("lines"))
+    totals = each.select("host", "unit").distinct().groupBy("host").agg(F.count("*").alias("units"))
     often = (
-        texts.select("host", "content", F.explode("lines").alias("line"))
+        each.select("host", "unit", F.explode("lines").alias("line"))
         .distinct()
         .groupBy("host", "line")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") > min_docs)
     )
-    return often.join(totals, same(often, totals, "host")).filter(F.col("n") > host_share * F.col("texts")).select(often["host"], "line", "n")
-
-
-def line_hits(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """For each different (doc_id, content) that holds boilerplate lines: those lines' hashes and their words' characters.
+    bad = often.join(totals, same(often, totals, "host")).filter(F.col("n") > host_share * F.col("units"))
+    return bad.groupBy(often["host"]).agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
-    docs: doc_id, host, text. The set of boilerplate lines is joined in whichever way its size allows.
-    """
-    t = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.transform(word_lines(t), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.length(F.regexp_replace(x, BLANK + "+", "")).alias("chars")))
-    each = docs.select("doc_id", F.xxhash64("text").alias("content"), "host", lines.alias("lines")).dropDuplicates(["doc_id", "content", "host"])
-    each = each.select("doc_id", "content", "host", F.explode("lines").alias("x")).select("doc_id", "content", "host", F.col("x.line").alias("line"), F.col("x.chars").alias("chars"))
-    hit = each.join(bad.select(F.col("host").alias("_host"), F.col("line").alias("_line")), F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")))
-    return hit.groupBy("doc_id", "content", "host").agg(F.sum("chars").cast("long").alias("removed_chars"), F.collect_set("line").alias("bad_lines"))
 
-
-def judge(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+def judge(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, keep_share: float = KEEP_SHARE, once_per_text: bool = False) -> DataFrame:
     """One row per row of docs (doc_id, text and the host column): its measures, removed_chars and the verdict kept.
 
     Null texts count as empty and are not kept. A null host is a host of its own, a null doc_id an id of its own. Repeated
-    rows each get their row. An empty table gives no rows. Also: clean_text, the text without its boilerplate lines (the
+    rows each get their row; they are one document. A very long text is judged whole, in time in proportion to it (its
+    words are sorted once). An empty table gives no rows. Also: clean_text, the text without its boilerplate lines (the
     very text where it has none), and row, a struct of the columns of docs; columns that aren't used cost nothing.
+
+    Each row meets its host's boilerplate lines, so nothing is summed up again by document. Those are few: Spark
+    broadcasts them while they are below its threshold, else it joins by host and splits a hot one.
     """
-    d = docs.select("doc_id", F.col("text").alias("text"), F.col(host_col).cast("string").alias("host"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    bad = materialize(boilerplate(d, min_docs, host_share), "boilerplate")
-    hits = materialize(line_hits(d, bad), "line-hits").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "content", "host", "removed_chars", "bad_lines")])
-    measured = measures(d.withColumn("content", F.xxhash64("text")))
-    out = measured.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("content") == F.col("_content")) & F.col("host").eqNullSafe(F.col("_host")), "left")
-    out = out.withColumn("removed_chars", F.coalesce("_removed_chars", F.lit(0).cast("long")))
+    d = docs.select("doc_id", F.col("text").alias("text"), F.col(host_col).cast("string").alias("host"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    bad = materialize(boilerplate(d, min_docs, host_share, once_per_text), "boilerplate").select(F.col("host").alias("_host"), F.col("lines").alias("_bad"))
+    out = measures(d.join(bad, F.col("host").eqNullSafe(F.col("_host")), "left"))
+    is_bad = lambda x: x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("_bad", F.xxhash64(normal_line(x)))
+    hit = F.filter(F.split("text", "\n"), is_bad)
+    removed = F.when(F.col("_bad").isNotNull(), F.length(F.regexp_replace(F.array_join(hit, ""), BLANK + "+", "")).cast("long"))
+    out = out.withColumn("removed_chars", F.coalesce(removed, F.lit(0).cast("long")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("word_chars") - F.col("removed_chars") >= keep_share * F.col("word_chars")))
-    stays = lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("_bad_lines", F.xxhash64(normal_line(x))))
-    out = out.withColumn("clean_text", F.when(F.col("_bad_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), stays), "\n")))
-    return out.drop("_doc_id", "_content", "_host", "_removed_chars", "_bad_lines", "content")
+    out = out.withColumn("clean_text", F.when(F.coalesce(F.col("removed_chars") > 0, F.lit(False)), F.array_join(F.filter(F.split("text", "\n"), lambda x: ~is_bad(x)), "\n")).otherwise(F.col("text")))
+    return out.drop("_host", "_bad")
 
 
 def clean(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ FROM summed
 """
 
 QUALITY_RULES_SQL = rf"""
-WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, text, source AS host FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, source AS host FROM documents),
 w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
 pos AS (
   SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
@@ -42,14 +42,15 @@ pos AS (
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM pos) WHERE n > 1),
 rep AS (SELECT rid, count(DISTINCT i + k)::BIGINT AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
 lines AS (
-  SELECT rid, host, text, l, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS norm,
+  SELECT rid, host, doc_id, l, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS norm,
          length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AS chars
-  FROM (SELECT rid, host, text, unnest(string_split(t, chr(10))) AS l FROM docs)
+  FROM (SELECT rid, host, doc_id, unnest(string_split(t, chr(10))) AS l FROM docs)
   WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, (count(*) - count(DISTINCT l))::BIGINT AS n FROM lines GROUP BY rid),
-totals AS (SELECT host, count(DISTINCT text) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) AS n FROM docs GROUP BY host),
+totals AS (SELECT host, count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS n FROM docs GROUP BY host),
 bad AS (
-  SELECT l.host, l.norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM lines GROUP BY host, norm) l
+  SELECT l.host, l.norm FROM (
+    SELECT host, norm, count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS n FROM lines GROUP BY host, norm) l
   JOIN totals t ON l.host IS NOT DISTINCT FROM t.host
   WHERE l.n > {MIN_DOCS} AND l.n > {HOST_SHARE} * t.n),
 gone AS (

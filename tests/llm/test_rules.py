@@ -1,10 +1,13 @@
 import random
 import re
 
+import duckdb
+import oracle
+import pyarrow as pa
 import pytest
 from cases import documents, nothing
 
-from lakewright.llm import license_rules
+from lakewright.llm import license_rules, mixing, quality_rules, sql
 from lakewright.session import table
 
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -90,3 +93,32 @@ def test_gated_results_are_the_ungated(spark, monkeypatch):
 )
 def test_names_and_bodies(spark, text, labels):
     assert license_rules.contract(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
+
+
+def boilerplate_rows(spark):
+    """A host whose documents share lines, copies among them; one host is null, some ids are null or repeat."""
+    rng = random.Random(6)
+    line = lambda n: " ".join(rng.choice("abcdefghij") * 3 for _ in range(n))
+    shared = ["Home | About  us", "home | about us ", "Terms of use", "Copyright 2020 Example"]
+    rows = [(i % 140 if i % 50 else None, "\n".join([rng.choice(shared), line(rng.choice([3, 60])), rng.choice(shared + ["", " ", line(4)]), line(2)]), "en", rng.choice(["a", "b", None])) for i in range(400)]
+    rows += [(1000 + i, "one copied line of words\n" + "another copied line " * 20, "en", "c") for i in range(60)] + [(2000 + i, line(70), "en", "c") for i in range(300)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+@pytest.mark.parametrize("make", [boilerplate_rows, documents, nothing])
+def test_sql_operators_on_edge_rows(spark, make):
+    d = make(spark)
+    con = duckdb.connect()
+    con.register("documents", pa.table({c: pa.array([r[c] for r in d.collect()], pa.int64() if c == "doc_id" else pa.string()) for c in ("doc_id", "text", "lang", "source")}))
+    assert oracle.compare(mixing.mixture(d), con, sql.MIXING_SQL) == ""
+    assert oracle.compare(quality_rules.verdicts(d), con, sql.QUALITY_RULES_SQL) == ""
+
+
+def test_boilerplate_counts_documents(spark):
+    rows = [(i, "same line here\n" + f"own {i} " * 40, "h") for i in range(30)] + [(100 + i, f"other {i} words " * 30 + "\nsame copy", "h") for i in range(3)] * 20
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in quality_rules.judge(d).collect()}
+    assert found[0].clean_text == "own 0 " * 40 and found[100].removed_chars == 0
+    copies = spark.createDataFrame([(i, "a copied line\n" + "w " * 60, "h") for i in range(40)], "doc_id long, text string, source string")
+    assert {r.removed_chars for r in quality_rules.judge(copies).collect()} == {71}
+    assert {r.removed_chars for r in quality_rules.judge(copies, once_per_text=True).collect()} == {0}
