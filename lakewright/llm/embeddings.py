@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,8 @@ from lakewright.session import materialize
 THRESHOLD = 0.9
 #: About so many vectors make a tile; at most so many pivots are drawn.
 TILE, PIVOTS = 2048, 4096
+#: Tiles are put into about so many blocks, until a block would hold more than so many bytes in double precision; bytes of a tile at most.
+BLOCKS, BLOCK_BYTES, TILE_BYTES = 8, 64_000_000, 16_000_000
 #: Above this share of possible pairs a tile pair is recomputed as a whole.
 DENSE = 0.02
 SLACK = 1e-9
@@ -44,10 +46,13 @@ def possible(a: tuple, b: tuple, threshold: float) -> np.ndarray:
     return near >= threshold - 1e-5
 
 
-def links(u: np.ndarray, v: np.ndarray | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i in u, j in v) of all pairs with a cosine of at least the threshold in double precision; with v None, pairs i < j in u."""
-    a = quantise(u)
-    b = a if v is None else quantise(v)
+def links(u: np.ndarray, v: np.ndarray | None, threshold: float = THRESHOLD, a: tuple | None = None, b: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i in u, j in v) of all pairs with a cosine of at least the threshold in double precision; with v None, pairs i < j in u.
+
+    a, b: u and v quantised, where that has been done.
+    """
+    a = a or quantise(u)
+    b = a if v is None else b or quantise(v)
     other = u if v is None else v
     maybe = possible(a, b, threshold)
     if v is None:
@@ -68,98 +73,154 @@ def _valid(e: F.Column) -> F.Column:
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, pivots: int = PIVOTS) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding: array of float or double).
 
-    Each vector belongs to the nearest of a bounded number of drawn pivots; cells are cut into tiles of about the same
-    size, so that a large group of like vectors is spread. Two cells meet unless the angle between their pivots exceeds
-    both radii and the threshold's angle together, which loses no pair. Tiles that meet are compared by int8 products.
+    Equal vectors are compared as one, which counts for all of them. Each different vector belongs to the nearest of a
+    bounded number of drawn pivots; cells are cut into tiles of about the same size, so that a large group of like vectors
+    is spread. Two cells meet unless the angle between their pivots exceeds both radii and the threshold's angle
+    together, which loses no pair. Tiles that meet are compared by int8 products.
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; so do vectors of
     different lengths with each other. Repeated rows are vectors of their own that link; a null vec_id counts as larger
-    than any other. Empty table: no rows.
+    than any other. A very long vector makes its tiles smaller. Empty table: no rows.
     """
-    spark = vectors.sparkSession
-    kind = vectors.schema["embedding"].dataType.elementType
-    code = "<f4" if isinstance(kind, T.FloatType) else "<f8"
-    base = materialize(pick(vectors, "vec_id", "embedding").withColumn("embedding", F.col("embedding").cast("array<double>") if code == "<f8" else F.col("embedding")).withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    good = base.filter(_valid(F.col("embedding"))).withColumn("dim", F.size("embedding"))
+    placed = _placed(_written(pick(vectors, "vec_id", "embedding")), threshold, tile, pivots)
+    firsts = placed.groupBy(F.col("root").alias("_root")).agg(F.min("vec_id").alias("component_id"))
+    out = placed.join(firsts, F.col("root") == F.col("_root"))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _written(vectors: DataFrame) -> DataFrame:
+    """vectors' rows as row, with vec_id, embedding, and a number uid for each row, which stays with it once it is written."""
+    row = F.struct(*[F.col(f"`{c}`") for c in vectors.columns])
+    return materialize(vectors.select(F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding"), row.alias("row"), F.monotonically_increasing_id().alias("uid")), "vectors")
+
+
+def _placed(base: DataFrame, threshold: float, tile: int, pivots: int) -> DataFrame:
+    """vec_id, uid, n_links and root (the component's smallest uid among its different vectors) for each row of base."""
+    spark = base.sparkSession
+    code = "<f4" if isinstance(base.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+    keyed = base.select("vec_id", "uid", F.when(_valid(F.col("embedding")), F.col("embedding")).alias("embedding"))
+    # 128 bits of hash stand for a vector; a vector that links with nothing has none
+    keys = [F.when(F.col("embedding").isNotNull(), F.xxhash64(F.lit(k), "embedding")).alias(f"h{k}") for k in (1, 2)]
+    keyed = keyed.select("vec_id", "uid", "embedding", *keys)
+    grouped = keyed.filter("embedding IS NOT NULL").groupBy("h1", "h2").agg(F.min("uid").alias("rep"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding"))
+    good = materialize(grouped.withColumn("dim", F.size("embedding")), "different")
     counts = {r["dim"]: r["n"] for r in good.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    tiles = None
+    found = None
     for dim, n in sorted(counts.items()):
-        one = _tiles(good.filter(F.col("dim") == dim), dim, n, threshold, tile, pivots, code)
-        tiles = one if tiles is None else tiles.unionByName(one)
-    if tiles is None:
-        links_of = spark.createDataFrame([], "uid long, n long, root long")
-    else:
-        met = tiles.groupBy("pair").agg(F.collect_list(F.struct("side", "uids", "data")).alias("sides"))
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for sides in batch.column(0).to_pylist():
-                    sides.sort(key=lambda s: s["side"])
-                    ids = [np.array(s["uids"], np.int64) for s in sides]
-                    units = [unit(np.frombuffer(s["data"], code).reshape(len(k), -1)) for s, k in zip(sides, ids)]
-                    i, j = links(units[0], units[1] if len(units) > 1 else None, threshold)
-                    all_ids = np.concatenate(ids)
-                    if len(units) > 1:
-                        j = j + len(ids[0])
-                    n = np.bincount(i, minlength=len(all_ids)) + np.bincount(j, minlength=len(all_ids))
-                    root = merge_labels(np.arange(len(all_ids)), i, j)
-                    some = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(all_ids[some]), pa.array(n[some].astype(np.int64)), pa.array(all_ids[root[some]])], ["uid", "n", "root"])
-
-        links_of = materialize(met.select("sides").mapInArrow(compare, "uid long, n long, root long"), "vector-links")
+        one = _links(good.filter(F.col("dim") == dim), dim, n, threshold, min(tile, max(1, TILE_BYTES // (8 * dim))), pivots, code)
+        found = one if found is None else found.unionByName(one)
+    links_of = materialize(found if found is not None else spark.createDataFrame([], "uid long, n long, root long"), "vector-links")
     roots = components(links_of.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     sums = links_of.groupBy(F.col("uid").alias("_u")).agg(F.sum("n").alias("n"))
-    placed = base.select("vec_id", "uid").join(sums, F.col("uid") == F.col("_u"), "left").join(roots, F.col("uid") == F.col("node"), "left")
-    placed = materialize(placed.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "uid").alias("root")), "placed")
-    firsts = placed.groupBy(F.col("root").alias("_root")).agg(F.min("vec_id").alias("component_id"))
-    out = placed.join(firsts, F.col("root") == F.col("_root"))
-    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    reps = good.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rep", "copies")
+    reps = reps.join(sums, F.col("rep") == F.col("_u"), "left").join(roots, F.col("rep") == F.col("node"), "left")
+    reps = materialize(reps.select("_h1", "_h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("root")), "classes")
+    out = keyed.select("vec_id", "uid", "h1", "h2").join(reps, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
+    return materialize(out.select("vec_id", "uid", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "uid").alias("root")), "placed")
+
 
+def _links(good: DataFrame, dim: int, n: int, threshold: float, tile: int, pivots: int, code: str) -> DataFrame:
+    """(uid, n, root) for different vectors of one length: how many rows they link with in a pair of blocks, and to which uid.
 
-def _tiles(good: DataFrame, dim: int, n: int, threshold: float, tile: int, pivots: int, code: str) -> DataFrame:
-    """A row for each tile and tile pair that it takes part in: pair, side, uids, data."""
+    Tiles are put into blocks of neighbouring cells. A task compares two blocks, so a vector is sent to as many tasks as
+    there are blocks with cells that its block's cells meet, not to as many as there are tiles. Blocks grow with the table
+    from n / BLOCKS vectors to what BLOCK_BYTES hold.
+    """
+    spark = good.sparkSession
     k = min(pivots, -(-n // tile))
-    drawn = good.orderBy(F.xxhash64("uid"), "uid").limit(k).select("embedding").collect()
+    drawn = good.orderBy(F.xxhash64("rep"), "rep").limit(k).select("embedding").collect()
     pivot = unit(np.array([r[0] for r in drawn]))
+    # cells in order of the pivots' main direction, so that blocks are of neighbouring cells
+    pivot = pivot[np.argsort((pivot - pivot.mean(axis=0)) @ np.linalg.svd(pivot - pivot.mean(axis=0), full_matrices=False)[2][0], kind="stable")]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             near = unit(x) @ pivot.T
             cell = near.argmax(axis=1)
             data = x.astype(code)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(np.arccos(np.clip(near[np.arange(len(cell)), cell], -1, 1))), pa.array([r.tobytes() for r in data], pa.binary())], ["uid", "cell", "angle", "data"])
-
-    placed = materialize(good.select("uid", "embedding").mapInArrow(assign, "uid long, cell int, angle double, data binary"), "cells")
-    stats = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(np.arccos(np.clip(near[np.arange(len(cell)), cell], -1, 1))), pa.array([r.tobytes() for r in data], pa.binary())], ["uid", "copies", "cell", "angle", "data"])
+
+    cells = materialize(good.select("rep", "copies", "embedding").mapInArrow(assign, "uid long, copies long, cell int, angle double, data binary"), "cells")
+    stats = {r["cell"]: (r["n"], r["radius"]) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
+    size, radius = np.zeros(len(pivot), np.int64), np.full(len(pivot), -10.0)
+    for c, (m, r) in stats.items():
+        size[c], radius[c] = m, r
+    start = np.cumsum(size) - size
+    block = max(tile, min(-(-n // BLOCKS), max(1, BLOCK_BYTES // (8 * dim))))
+    last = (n - 1) // block
     limit = np.arccos(min(1.0, max(-1.0, threshold))) + SLACK
-    cells = sorted(stats)
-    radius = np.array([stats[c][1] for c in cells])
-    between = np.arccos(np.clip(pivot[cells] @ pivot[cells].T, -1, 1))
-    meets = between <= radius[:, None] + radius[None, :] + limit
-    # a bounded table: for each cell its tiles and the cells that it meets
-    table = good.sparkSession.createDataFrame([(int(c), -(-stats[c][0] // tile), [(int(cells[j]), -(-stats[cells[j]][0] // tile)) for j in np.flatnonzero(meets[i])]) for i, c in enumerate(cells)], "_cell int, tiles int, met array<struct<c:int,n:int>>")
-    small = F.broadcast(table)
-    salted = placed.join(small.select("_cell", "tiles"), F.col("cell") == F.col("_cell")).withColumn("part", F.pmod(F.xxhash64("uid"), "tiles").cast("int"))
-    packed = salted.groupBy("cell", "part").agg(F.collect_list(F.struct("uid", "data")).alias("rows"))
-    packed = packed.select("cell", "part", F.transform("rows", lambda r: r["uid"]).alias("uids"), F.transform("rows", lambda r: r["data"]).alias("parts"))
+
+    def meets(c: int) -> np.ndarray:
+        return np.arccos(np.clip(pivot @ pivot[c], -1, 1)) <= radius + radius[c] + limit
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each block the blocks from it on with a cell that one of its cells meets, as seen from either."""
+        end = start + size
+        for batch in batches:
+            for a in batch.column(0).to_pylist():
+                own = np.flatnonzero((size > 0) & (start < (a + 1) * block) & (end > a * block))
+                met = np.zeros(len(pivot), bool)
+                for c in own:
+                    met |= meets(c)
+                hit = np.zeros(last + 2, np.int64)
+                for c in np.flatnonzero(met & (size > 0)):
+                    hit[start[c] // block] += 1
+                    hit[(end[c] - 1) // block + 1] -= 1
+                others = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
+                others = others[others >= a]
+                me, it = np.full(len(others), a), others
+                twice = it[it > a]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([me, twice])), pa.array(np.concatenate([me, np.full(len(twice), a)])), pa.array(np.concatenate([it, twice]))], ["_block", "a", "b"])
+
+    # a cell's tiles lie side by side in the order of cells: where a tile begins tells its block
+    table = spark.createDataFrame([(c, -(-m // tile), int(start[c]), m) for c, (m, _) in stats.items()], "_cell int, tiles int, start long, size long")
+    salted = cells.join(table, F.col("cell") == F.col("_cell")).withColumn("part", F.pmod(F.xxhash64("uid"), "tiles").cast("int"))
+    salted = salted.withColumn("block", F.floor((F.col("start") + F.floor(F.col("part") * F.col("size") / F.col("tiles"))) / F.lit(block)).cast("long"))
+    packed = salted.groupBy("block", "cell", "part").agg(F.collect_list(F.struct("uid", "copies", "data")).alias("rows"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [b"".join(p) for p in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(blobs, pa.binary())], ["cell", "part", "uids", "data"])
+            rows = batch.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array([[r[f] for r in x] for x in rows], pa.list_(pa.int64())) for f in ("uid", "copies")), pa.array([b"".join(r["data"] for r in x) for x in rows], pa.binary())],
+                ["block", "cell", "uids", "copies", "data"],
+            )
+
+    tiles = materialize(packed.select("block", "cell", "rows").mapInArrow(join, "block long, cell int, uids array<long>, copies array<long>, data binary"), "tiles")
+    met = tiles.join(spark.range(last + 1).mapInArrow(pairs, "_block long, a long, b long"), F.col("block") == F.col("_block"))
+
+    def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        a, b = (x.as_py() for x in key)
+        blocks, of_cell = rows.column("block").to_pylist(), rows.column("cell").to_pylist()
+        ids = [np.array(x, np.int64) for x in rows.column("uids").to_pylist()]
+        copies = [np.array(x, np.float64) for x in rows.column("copies").to_pylist()]
+        units = [unit(np.frombuffer(d, code).reshape(len(k), -1)) for d, k in zip(rows.column("data").to_pylist(), ids)]
+        small = [quantise(u) for u in units]
+        begin = np.cumsum([0, *map(len, ids)])
+        n_of, label = np.zeros(begin[-1]), np.arange(begin[-1])
+        for s in range(len(ids)):
+            if blocks[s] != a:
+                continue
+            near = meets(of_cell[s])
+            for t in range(len(ids)):
+                if blocks[t] != b or (a == b and t < s) or not near[of_cell[t]]:
+                    continue
+                i, j = links(units[s], None if s == t else units[t], threshold, small[s], small[t])
+                if len(i):
+                    n_of[begin[s] : begin[s + 1]] += np.bincount(i, copies[t][j], minlength=len(ids[s]))
+                    n_of[begin[t] : begin[t + 1]] += np.bincount(j, copies[s][i], minlength=len(ids[t]))
+                    label = merge_labels(label, begin[s] + i, begin[t] + j)
+        every, some = np.concatenate(ids), np.flatnonzero(n_of)
+        return pa.Table.from_arrays([pa.array(every[some]), pa.array(n_of[some].astype(np.int64)), pa.array(every[label[some]])], ["uid", "n", "root"])
 
-    packed = materialize(packed.mapInArrow(join, "cell int, part int, uids array<long>, data binary"), "tiles")
-    peers = F.flatten(F.transform("met", lambda m: F.transform(F.sequence(F.lit(0), m["n"] - 1), lambda p: F.struct(m["c"].alias("c"), p.alias("p")))))
-    met = packed.join(small.select("_cell", "met"), F.col("cell") == F.col("_cell")).select("cell", "part", "uids", "data", F.explode(peers).alias("peer"))
-    me, it = F.struct(F.col("cell").alias("c"), F.col("part").alias("p")), F.col("peer")
-    named = lambda s: F.concat_ws(".", s["c"], s["p"])
-    return met.select(F.concat_ws("/", F.lit(dim), named(F.least(me, it)), named(F.greatest(me, it))).alias("pair"), (me > it).cast("int").alias("side"), "uids", "data")
+    return met.select("a", "b", "block", "cell", "uids", "copies", "data").groupBy("a", "b").applyInArrow(compare, "uid long, n long, root long")
 
 
 def deduplicate(vectors: DataFrame) -> DataFrame:
-    """The rows of vectors that are kept: the smallest vec_id of each component."""
-    keep = near_duplicates(vectors).filter("kept").select(F.col("vec_id").alias("_keep")).distinct()
-    one = vectors.withColumn("_rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.xxhash64("embedding"))))
-    return one.filter("_rank = 1").join(keep, F.col("vec_id").eqNullSafe(F.col("_keep")), "left_semi").select(*[F.col(f"`{c}`") for c in vectors.columns])
+    """One row of each component: that with the smallest vec_id (null counts as largest), of these the first written."""
+    base = _written(vectors)
+    placed = _placed(base, THRESHOLD, TILE, PIVOTS)
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("vec_id").isNull(), "vec_id", "uid")).alias("least")).select(F.col("least.uid").alias("_kept"))
+    return base.join(kept, F.col("uid") == F.col("_kept"), "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in vectors.columns])

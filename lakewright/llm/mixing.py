@@ -61,7 +61,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: float
     seeded order of the documents, whole documents first, and the last one up to the word that meets the target. So a
     source's taken words differ from its target by less than one. Order: MD5 of seed and doc_id, then size; rows alike in
     both share what they are due by row order of equal rows, which gives the same multiset of rows on each run.
-    Null text: size 0. Null doc_id: an id like any other. Null source: a source of its own, last. Empty table: no rows.
+    Null text: size 0. Null doc_id: an id like any other. Null source: a source of its own, last. A very long text is
+    counted in one pass like any other. Empty table: no rows.
     """
     sized = docs.select(
         "doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_order")
@@ -94,8 +95,8 @@ def mixture(docs: DataFrame) -> DataFrame:
 def repeat_documents(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """docs, each row as often as its plan (doc_id, size, taken) says; a part of a document is its first words.
 
-    Rows alike in doc_id and size take their plans in turn. Documents without words stay once. The other columns stay as
-    they are. Texts are shuffled once.
+    Rows alike in doc_id and size take their plans in turn. Documents without words stay once. A part keeps the blanks and
+    line ends between its words, and n_chars follows its text; the other columns stay as they are. Texts are shuffled once.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     d = docs.select(key.alias("_key"), word_count(F.col("text")).alias("_size"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
@@ -106,5 +107,8 @@ def repeat_documents(docs: DataFrame, plan: DataFrame) -> DataFrame:
     full, rest = F.floor(F.col("_due") / F.col("_size")).cast("int"), (F.col("_due") % F.col("_size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     out = both.withColumn("_words", F.explode(F.when(F.col("_size") > 0, copies).otherwise(F.array(F.lit(-1)))))
-    text = F.when(F.col("_words") < 0, F.col("_text")).otherwise(F.array_join(F.slice(F.array_remove(F.split("_text", BLANK + "+"), ""), 1, F.greatest("_words", F.lit(0))), " "))
-    return out.select(*[(text if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    whole = F.col("_words") < 0
+    words = F.regexp_extract_all(F.col("_text"), F.lit(BLANK + "*[^" + BLANK[1:] + "+"), F.lit(0))
+    out = out.withColumn("_part", F.when(whole, F.col("_text")).otherwise(F.array_join(F.slice(words, 1, F.greatest("_words", F.lit(0))), "")))
+    new = {"text": F.col("_part"), "n_chars": F.when(whole, F.col("_row.n_chars")).otherwise(F.length("_part").cast("long")) if "n_chars" in docs.columns else None}
+    return out.select(*[(new[c] if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -151,6 +151,25 @@ def test_embeddings_whole_table(spark):
     assert sorted(map(tuple, embeddings.near_duplicates(d, tile=100).collect())) == want
 
 
+def test_embeddings_keep_one_row_of_each_component(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [0.0, 1.0]), (None, [-1.0, 0.0]), (None, [0.0, -1.0]), (3, None), (None, None), (4, [0.0, 2.0]), (1, [1.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS _keep", "2 AS _rank", "3 AS uid", "4 AS row", "5 AS root")
+    got = embeddings.deduplicate(d)
+    assert got.columns == d.columns
+    want = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [-1.0, 0.0]), (None, [0.0, -1.0]), (3, None), (None, None)]
+    assert sorted(((r[0], r[1]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert embeddings.deduplicate(d.limit(0)).collect() == []
+
+
+def test_embeddings_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", 8 * 8 * 90)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 8))
+    x = np.concatenate([base[rng.integers(0, 40, 700)] + 0.15 * rng.normal(size=(700, 8)), np.tile(base[0], (200, 1)), rng.normal(size=(100, 8))])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embeddings.near_duplicates(d, tile=30).collect()), key=repr) == brute_vectors([(i, v) for i, v in enumerate(x)])
+
+
 def test_error_bound_is_rigorous():
     rng = np.random.default_rng(4)
     u = embeddings.unit(rng.normal(size=(200, 24)))

@@ -6,6 +6,7 @@ import oracle
 import pyarrow as pa
 import pytest
 from cases import documents, nothing
+from pyspark.sql import functions as F
 
 from lakewright.llm import license_rules, mixing, quality_rules, sql
 from lakewright.session import table
@@ -122,3 +123,15 @@ def test_boilerplate_counts_documents(spark):
     copies = spark.createDataFrame([(i, "a copied line\n" + "w " * 60, "h") for i in range(40)], "doc_id long, text string, source string")
     assert {r.removed_chars for r in quality_rules.judge(copies).collect()} == {71}
     assert {r.removed_chars for r in quality_rules.judge(copies, once_per_text=True).collect()} == {0}
+
+
+def test_repeated_documents_keep_line_ends_and_lengths(spark):
+    rows = [(i, "x" if i % 3 else "y", f" one two\n{i} three\tfour  five\n", 0) for i in range(61)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long").withColumn("n_chars", F.length("text").cast("long"))
+    plan = mixing.mix(d)
+    got = mixing.repeat_documents(d, plan).collect()
+    assert all(r.n_chars == len(r.text) and f" one two\n{r.doc_id} three\tfour  five\n".startswith(r.text) for r in got)
+    due, have = {r.doc_id: r.taken for r in plan.collect()}, dict.fromkeys(range(61), 0)
+    for r in got:
+        have[r.doc_id] += len(r.text.split())
+    assert have == due and any(n % 6 for n in due.values())
