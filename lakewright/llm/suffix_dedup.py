@@ -1,4 +1,11 @@
-"""Removal of byte strings that also start in an earlier document, over all documents of a table."""
+"""Removal of byte strings that also start in an earlier document, over all documents of a table.
+
+Shards are made of what may repeat: each 50-byte string has an anchor, its first 24-byte substring of least hash, which
+equal strings share, and runs of neighbouring strings with a common anchor go to that anchor's shard if two documents have
+it. There suffixes are put in order by induced sorting, and strings with a common prefix of 50 bytes are groups, of which
+the smallest doc_id stays. Runs alike in all documents are put together before the shuffle; the runs of an anchor that
+has too many different ones for a shard are split down to single strings.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.llm.common import pick
+from lakewright.llm.induced import suffix_order
 from lakewright.session import materialize
 
 #: Length of a repeated string, and of the anchor that each such string holds.
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text in a block about, and bytes of a text that are looked at together.
 BLOCK_BYTES, PIECE = 4_000_000, 1_000_000
+#: Bytes that a shard sorts about, and different runs of one anchor beyond which it is split.
+SHARD_BYTES, HOT_RUNS = 1_000_000, 10_000
 NULL_ID = (1 << 63) - 1
 
 _rng = np.random.default_rng(20_011)
@@ -195,6 +205,47 @@ def _shared_names(docs: DataFrame, copies: DataFrame, shards: int) -> DataFrame:
     return _shared(docs.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(name_block, "block int, shard int, lows binary, several binary"))
 
 
+def repeated_strings(spans: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(span, first, last) of the stretches of strings of LENGTH bytes that also stand in a span of a smaller owner."""
+    sizes = np.array([len(x) for x in spans], np.int64)
+    # bytes of UTF-8 begin at 2; 1 ends a span, 0 ends all
+    text = np.frombuffer(b"\xff".join(spans) + b"\xff\xfe", np.uint8) + np.uint8(2)
+    start = np.cumsum(sizes + 1) - sizes - 1
+    span = np.repeat(np.arange(len(spans)), sizes + 1)
+    order, common = suffix_order(text, LENGTH)
+    order, common = order[1:], common[1:]
+    place = order - start[span[order]]
+    # a common prefix with a whole string lies before both spans' ends, so all of a group are strings
+    own = np.where(place + LENGTH <= sizes[span[order]], owner[span[order]], NULL_ID)
+    heads = np.flatnonzero(np.r_[True, common[1:] < LENGTH])
+    least = np.repeat(np.minimum.reduceat(own, heads), np.diff(np.r_[heads, len(own)]))
+    hit = np.zeros(len(text), bool)
+    hit[order[(least < own) & (place + LENGTH <= sizes[span[order]])]] = True
+    edge = np.diff(np.r_[0, hit.view(np.int8), 0])
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    return np.stack([span[first], first - start[span[first]], last - start[span[first]]], axis=1)
+
+
+def _sorted_shards(runs: DataFrame) -> DataFrame:
+    """(d, c, s, e): the stretches of these runs' bytes that a smaller document has too, shard by shard."""
+
+    def sort(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        d, c, first = (table.column(k).to_numpy() for k in ("d", "c", "first"))
+        index: dict[bytes, int] = {}
+        of = np.array([index.setdefault(x, len(index)) for x in table.column("span").to_pylist()])
+        owner = np.full(len(index), NULL_ID)
+        np.minimum.at(owner, of, d)
+        found = repeated_strings(list(index), owner)
+        # each row takes the stretches of its span
+        count = np.bincount(found[:, 0], minlength=len(index))
+        begin = np.cumsum(count) - count
+        row = np.repeat(np.arange(len(of)), count[of])
+        at = np.arange(len(row)) - np.repeat(np.cumsum(count[of]) - count[of], count[of]) + begin[of[row]]
+        return pa.Table.from_arrays([pa.array(d[row]), pa.array(c[row]), pa.array(first[row] + found[at, 1]), pa.array(first[row] + found[at, 2] + LENGTH)], ["d", "c", "s", "e"])
+
+    return runs.groupBy("shard").applyInArrow(sort, "d long, c long, s long, e long")
+
+
 def _strings_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each string of each run (its span's substrings of LENGTH), and the run's position in the table."""
     spans = table.column("span").to_pylist()
@@ -252,7 +303,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(d, c, spans): for documents with repeats the covered bytes as array of (s, e); d is doc_id (null: the largest), c the text's hash.
 
     docs: doc_id, text. Steps: texts that an earlier document has as a whole; anchors shared by documents, block by block;
-    runs alike as a whole, of which all but the first document's go; and string by string only where one anchor has several
+    runs alike as a whole, of which all but the first document's go; and by order of suffixes where one anchor has several
     different runs. Every grouping is by content, with sums before the shuffle; a passage in very many documents is one
     row for each task there, and the joins back can be split.
     """
@@ -276,9 +327,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     same = lambda other: (F.col("name") == other["_name"]) & (F.col("content") == other["_content"])
     rest = materialize(runs.join(open_, same(open_) & (F.col("d") == open_["least"])).select("d", "c", "name", "first", "last", "span"), "open-runs")
     whole = runs.select("d", "c", "name", "content", "first", "last").join(classes, same(classes)).filter("least < d").select("d", "c", F.col("first").alias("s"), (F.col("last") + LENGTH).alias("e"))
-    strings = materialize(_shared_strings(rest.withColumn("block", block), shards), "strings")
-    least = strings.groupBy(F.col("name").alias("_name"), F.col("string").alias("_string")).agg(F.min("d").alias("least"))
-    single = strings.join(least, (F.col("name") == F.col("_name")) & (F.col("string") == F.col("_string"))).filter("least < d").select("d", "c", "s", (F.col("s") + LENGTH).alias("e"))
+    each = rest.groupBy(F.col("name").alias("_hot")).agg(F.count("*").alias("runs"), F.sum(F.length("span")).alias("bytes"))
+    total = each.agg(F.sum("bytes")).first()[0] or 0
+    hot = materialize(each.filter(F.col("runs") > HOT_RUNS).select("_hot"), "hot")
+    of_shard = F.pmod(F.xxhash64("name"), F.lit(max(1, -(-total // SHARD_BYTES)))).cast("int")
+    sorted_ = materialize(_sorted_shards(rest.join(hot, F.col("name") == F.col("_hot"), "left_anti").withColumn("shard", of_shard)), "sorted")
+    single = sorted_
+    if hot.head() is not None:
+        split = rest.join(hot, F.col("name") == F.col("_hot"), "left_semi")
+        strings = materialize(_shared_strings(split.withColumn("block", block), shards), "strings")
+        least = strings.groupBy(F.col("name").alias("_name"), F.col("string").alias("_string")).agg(F.min("d").alias("least"))
+        alone = strings.join(least, (F.col("name") == F.col("_name")) & (F.col("string") == F.col("_string"))).filter("least < d")
+        single = single.unionByName(alone.select("d", "c", "s", (F.col("s") + LENGTH).alias("e")))
     all_ = whole.unionByName(single).unionByName(copied.select("d", "c", F.lit(0).cast("long").alias("s"), F.col("n").alias("e")))
     return materialize(all_.groupBy("d", "c").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
 
@@ -333,9 +393,13 @@ def without_repeats(docs: DataFrame, text: bool = False) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs with the repeats taken out of their texts; all other columns stay, n_chars follows the text."""
+    """docs with the repeats taken out of their texts; all other columns stay, n_chars follows the text.
+
+    A null text stays null; a character that is cut goes; rows are told apart by doc_id and text, as in without_repeats.
+    """
     spans = repeated_spans(pick(docs, "doc_id", "text")).select(F.col("d").alias("_d"), F.col("c").alias("_c"), "spans")
-    both = docs.join(spans, (F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("_d")) & (F.xxhash64("text") == F.col("_c")), "left")
+    own = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"))
+    both = own.join(spans, (F.coalesce("_id", F.lit(NULL_ID)) == F.col("_d")) & (F.xxhash64("_text") == F.col("_c")), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -348,7 +412,6 @@ def clean(docs: DataFrame) -> DataFrame:
             out.append(t if not stays else b"".join([*stays, data[at:]]).decode(errors="ignore"))
         return pd.Series(out, dtype=object)
 
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.col("_cut"))
-    out = both.withColumn("_cut", cut("text", "spans")).withColumn("_new", text)
-    new = {"text": F.col("_new"), "n_chars": F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("_new").cast("long")) if "n_chars" in docs.columns else None}
-    return out.select(*[(new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    both = both.withColumn("_new", F.when(F.col("spans").isNull(), F.col("_text")).otherwise(cut("_text", "spans")))
+    new = {"text": F.col("_new"), "n_chars": F.when(F.col("spans").isNull(), F.col("_row.n_chars")).otherwise(F.length("_new").cast("long")) if "n_chars" in docs.columns else None}
+    return both.select(*[(new[c] if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

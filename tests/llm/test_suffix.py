@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from cases import documents, nothing
 
-from lakewright.llm import suffix_dedup
+from lakewright.llm import induced, suffix_dedup
 from lakewright.session import table
 
 
@@ -44,11 +45,15 @@ def planted(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("which", ["planted", "cases", "nothing", "tiny", "small blocks"])
+@pytest.mark.parametrize("which", ["planted", "cases", "nothing", "tiny", "small blocks", "small shards", "hot anchors"])
 def test_removed_bytes(spark, monkeypatch, which):
     if which == "small blocks":
         monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1500)
-    d = {"planted": planted, "small blocks": planted, "cases": documents, "nothing": nothing, "tiny": lambda s: table(s, "/root/testdata/sf0.001", "documents")}[which](spark)
+    if which == "small shards":
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 900)
+    if which == "hot anchors":
+        monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 3)
+    d = {"planted": planted, "small blocks": planted, "small shards": planted, "hot anchors": planted, "cases": documents, "nothing": nothing, "tiny": lambda s: table(s, "/root/testdata/sf0.001", "documents")}[which](spark)
     rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
     got = sorted(map(tuple, suffix_dedup.without_repeats(d).collect()), key=repr)
     assert got == brute(rows)
@@ -71,3 +76,48 @@ def test_cleaned_table(spark):
     t = {r.doc_id: r.text for r in suffix_dedup.clean(table(spark, "/root/testdata/sf0.001", "documents")).collect()}
     want = {r.doc_id: r.kept for r in suffix_dedup.without_repeats(table(spark, "/root/testdata/sf0.001", "documents"), text=True).collect()}
     assert t == want
+
+
+def brute_order(t, cap):
+    order = sorted(range(len(t)), key=lambda i: t[i:])
+    common = [0]
+    for a, b in zip(order, order[1:]):
+        common.append(next((k for k in range(cap) if t[a + k] != t[b + k]), cap))
+    return order, common
+
+
+def test_induced_order_and_common_prefixes(monkeypatch):
+    rng, spilled = random.Random(1), 0
+    spill = induced.Queue.spill
+
+    def count(self):
+        nonlocal spilled
+        spilled += 1
+        spill(self)
+
+    monkeypatch.setattr(induced.Queue, "spill", count)
+    for _ in range(300):
+        monkeypatch.setattr(induced, "RANGE", rng.choice([3, 50, 1 << 14]))
+        monkeypatch.setattr(induced, "BULK", rng.choice([1, 7, 4096]))
+        k, n = rng.choice([1, 2, 3, 30, 200]), rng.randint(0, rng.choice([5, 60, 300]))
+        t = [rng.randint(1, k) for _ in range(n)]
+        t = (t[:10] * rng.randint(1, 12) if rng.random() < 0.3 else t) + [0]
+        cap = rng.choice([5, 50])
+        order, common = induced.suffix_order(np.array(t), cap, rng.choice([100, 10**7]))
+        assert (order.tolist(), common.tolist()) == brute_order(t, cap)
+    assert spilled > 100
+
+
+def test_recursion_over_names(monkeypatch):
+    monkeypatch.setattr(induced, "UNIQUE", 0.999999)  # recursion until all names differ
+    t = [1 + (i * i // 7) % 3 for i in range(60)] * 8 + [0]
+    order, common = induced.suffix_order(np.array(t), 50)
+    assert (order.tolist(), common.tolist()) == brute_order(t, 50)
+
+
+def test_null_ids_and_ids_with_several_texts(spark):
+    rng = random.Random(9)
+    p = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(30))
+    rows = [(None, p), (None, "x " + p), (5, p + " five"), (5, "other " + p), (9, p), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.without_repeats(d).collect()), key=repr) == brute(rows)
