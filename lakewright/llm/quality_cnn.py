@@ -14,8 +14,8 @@ from lakewright.llm.common import pick
 #: Bytes of a chunk, from one chunk's start to the next, bytes under a filter, places from one to the next, filters.
 CHUNK, STEP, WIDTH, STRIDE, FILTERS = 256, 240, 8, 2, 16
 FOLDS, HELD_OUT = 3, 1
-#: The network learns from about so many labelled documents, drawn by hash of their ids, and so many chunks of each, spread evenly.
-SAMPLE_DOCS, SAMPLE_CHUNKS = 2000, 8
+#: The network learns from about so many labelled rows, drawn by hash of id and text; from the whole text of each.
+SAMPLE_DOCS = 2000
 ROUNDS, BATCH, RATE, DECAY, SEED = 12, 64, 0.01, 1e-4, 7
 #: Chunks that are scored together.
 TOGETHER = 512
@@ -58,15 +58,9 @@ class Network:
 
     def pooled(self, x: np.ndarray) -> np.ndarray:
         """Each filter's largest response in each chunk. A filter's response is a sum of one table value for each byte under it."""
-        tables = (FEATURES @ self.w.reshape(WIDTH, FEATURES.shape[1], FILTERS)).astype(np.float32)
-        places = (CHUNK - WIDTH) // STRIDE + 1
         out = np.empty((len(x), FILTERS), np.float32)
         for at in range(0, len(x), TOGETHER):
-            part = x[at : at + TOGETHER]
-            z = tables[0][part[:, 0 : STRIDE * places : STRIDE]]
-            for k in range(1, WIDTH):
-                z += tables[k][part[:, k : k + STRIDE * (places - 1) + 1 : STRIDE]]
-            out[at : at + TOGETHER] = z.max(axis=1)
+            out[at : at + TOGETHER] = self.responses(x[at : at + TOGETHER])[0]
         return np.maximum(out + self.b, 0)
 
     def scores(self, docs: list[bytes]) -> np.ndarray:
@@ -78,8 +72,43 @@ class Network:
             out.append(total / len(x) + float(self.c[0]))
         return 1 / (1 + np.exp(-np.clip(np.array(out), -50, 50)))
 
+    def responses(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's largest response in each chunk, without bias, and the place of its window."""
+        tables = (FEATURES @ self.w.reshape(WIDTH, FEATURES.shape[1], FILTERS)).astype(np.float32)
+        places = (CHUNK - WIDTH) // STRIDE + 1
+        z = tables[0][x[:, 0 : STRIDE * places : STRIDE]]
+        for k in range(1, WIDTH):
+            z += tables[k][x[:, k : k + STRIDE * (places - 1) + 1 : STRIDE]]
+        top = z.argmax(axis=1)
+        return np.take_along_axis(z, top[:, None], 1)[:, 0], top * STRIDE
+
+    def gradient(self, samples: list[np.ndarray], labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean logistic loss of these documents and its gradient by w, b, v, c, through the places of the largest responses.
+
+        A document's chunks are taken some at a time, so a very long one needs no more memory than what a place each takes.
+        """
+        x = np.concatenate(samples)
+        doc = np.repeat(np.arange(len(samples)), [len(s) for s in samples])
+        weight = 1 / np.bincount(doc)[doc]
+        found = [self.responses(x[i : i + TOGETHER]) for i in range(0, len(x), TOGETHER)]
+        h = np.maximum(np.concatenate([f[0] for f in found]) + self.b, 0)
+        at = np.concatenate([f[1] for f in found])
+        logit = np.bincount(doc, weight * (h @ self.v)) + self.c[0]
+        loss = float(np.mean(np.logaddexp(0, logit) - labels * logit))
+        g = (1 / (1 + np.exp(-logit)) - labels) / len(labels)
+        gc = (g[doc] * weight)[:, None].astype(np.float32)
+        gh = gc * self.v * (h > 0)
+        gw = np.zeros((WIDTH, FEATURES.shape[1], FILTERS), np.float32)
+        rows = np.arange(len(x))[:, None]
+        for k in range(WIDTH):
+            # the gradient summed up by the byte under this place of the window
+            by_byte = np.zeros((256, FILTERS), np.float32)
+            np.add.at(by_byte, (x[rows, at + k], np.arange(FILTERS)[None, :]), gh)
+            gw[k] = FEATURES.T @ by_byte
+        return loss, [gw.reshape(self.w.shape), gh.sum(0), (gc * h).sum(0), np.array([g.sum()], np.float32)]
+
     def fit(self, samples: list[np.ndarray], labels: np.ndarray) -> None:
-        """Adam on the logistic loss; the gradient runs through the places of the largest responses."""
+        """Adam on the logistic loss."""
         params = [self.w, self.b, self.v, self.c]
         m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         rng, t = np.random.default_rng(SEED + 1), 0
@@ -87,19 +116,8 @@ class Network:
             order = rng.permutation(len(samples))
             for at in range(0, len(order), BATCH):
                 part = order[at : at + BATCH]
-                x = np.concatenate([samples[i] for i in part])
-                doc = np.repeat(np.arange(len(part)), [len(samples[i]) for i in part])
-                weight = 1 / np.bincount(doc)[doc]
-                win = self.windows(x)
-                z = win @ self.w + self.b
-                top = z.argmax(axis=1)
-                h = np.maximum(np.take_along_axis(z, top[:, None], 1)[:, 0], 0)
-                logit = np.bincount(doc, weight * (h @ self.v)) + self.c[0]
-                g = (1 / (1 + np.exp(-logit)) - labels[part]) / len(part)
-                gc = (g[doc] * weight)[:, None].astype(np.float32)
-                gh = gc * self.v * (h > 0)
-                best = win[np.arange(len(x))[:, None], top]
-                grads = [np.einsum("cfd,cf->df", best, gh) + DECAY * self.w, gh.sum(0), (gc * h).sum(0), np.array([g.sum()], np.float32)]
+                _, grads = self.gradient([samples[i] for i in part], labels[part])
+                grads[0] += DECAY * self.w
                 t += 1
                 rate = RATE * (1 - turn / ROUNDS)
                 for p, grad, a, b in zip(params, grads, m, s):
@@ -114,35 +132,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network:
-    """Trains on a bounded sample. The sample's ids are drawn from the labels; only its texts' chunks come to the driver.
+    """Trains on a bounded sample of labelled rows, each with its whole text.
 
-    A document with several labels has their mean; one with several texts counts once for each.
+    A document with several labels has their mean; rows with the same id and text count once, so that copies of a drawn
+    row don't come along. Ids and hashes of texts are counted first; only the drawn rows' texts come to the driver.
     """
-    known = pick(labels, "doc_id", "quality").filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    n = known.count()
+    known = pick(labels, "doc_id", "quality").filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("quality").alias("quality"))
+    rows = pick(docs, "doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).withColumn("hash", F.xxhash64("doc_id", "text"))
+    n = rows.select("hash").distinct().count()
     limit = (1 << 31) if n <= sample_docs else int((1 << 31) * sample_docs / n)
-    drawn = known.filter(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 31) - 1)) < limit)
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                x = chunks((text or "").encode())
-                rows.append(x[np.unique(np.linspace(0, len(x) - 1, SAMPLE_CHUNKS).round().astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["doc_id", "quality", "x"])
-
-    rows = pick(docs, "doc_id", "text").join(drawn.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality").mapInArrow(take, "doc_id long, quality double, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
+    drawn = rows.filter(F.col("hash").bitwiseAND(F.lit((1 << 31) - 1)) < limit).groupBy("doc_id", "hash").agg(F.any_value("text").alias("text"), F.any_value("quality").alias("quality"))
+    found = sorted(drawn.select("doc_id", "hash", "text", "quality").collect(), key=lambda r: (r["doc_id"], r["hash"]))
     net = Network()
-    if rows:
-        net.fit([np.frombuffer(r["x"], np.uint8).reshape(-1, CHUNK) for r in rows], np.array([r["quality"] for r in rows]))
+    if found:
+        net.fit([chunks((r["text"] or "").encode()) for r in found], np.array([r["quality"] for r in found], np.float64))
     return net
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, score, predicted, from the whole text. Nothing is shuffled.
 
-    Null texts count as empty; they have a score too. Nothing to learn from: the untrained network's scores. Empty table: no rows.
+    Null texts count as empty; they have a score too. Repeated rows each have theirs. A very long text is scored in parts,
+    whose logits are averaged over all. Nothing to learn from: the untrained network's scores. Empty table: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,6 +72,75 @@ def test_tables_are_the_convolution():
     assert np.allclose(net.pooled(x), want, atol=1e-4)
 
 
+def test_gradient_is_the_losses_slope():
+    rng, net = np.random.default_rng(3), quality_cnn.Network()
+    samples = [quality_cnn.chunks(bytes(rng.integers(1, 256, n, dtype=np.uint8))) for n in (0, 30, 700, 5000)]
+    labels = np.array([1.0, 0.0, 0.5, 1.0])
+    net.b += np.float32(0.05)  # away from the kink at an empty document
+    loss, grads = net.gradient(samples, labels)
+    for p, g in zip((net.w, net.b, net.v, net.c), grads):
+        for at in rng.integers(0, p.size, 6):
+            flat, old = p.reshape(-1), float(p.reshape(-1)[at])
+            flat[at] = old + 2e-4
+            up = net.gradient(samples, labels)[0]
+            flat[at] = old - 2e-4
+            down = net.gradient(samples, labels)[0]
+            flat[at] = old
+            assert abs((up - down) / 4e-4 - g.reshape(-1)[at]) < 2e-3 + 0.05 * abs(g.reshape(-1)[at])
+
+
+def test_scores_are_the_plain_network(spark):
+    d = documents(spark)
+    net = quality_cnn.Network()
+    for r in quality_cnn.score(d.withColumnRenamed("score", "s0"), net).join(d.select("doc_id", "text").distinct(), "doc_id").collect():
+        x = quality_cnn.chunks((r.text or "").encode())
+        total = 0.0
+        for chunk in x:
+            f = quality_cnn.FEATURES[chunk]
+            windows = np.stack([f[i : i + quality_cnn.WIDTH].reshape(-1) for i in range(0, quality_cnn.CHUNK - quality_cnn.WIDTH + 1, quality_cnn.STRIDE)])
+            total += float(np.maximum((windows @ net.w).max(axis=0) + net.b, 0) @ net.v)
+        assert abs(r.score - 1 / (1 + np.exp(-(total / len(x) + net.c[0])))) < 1e-3
+
+
+def test_repeated_rows_of_a_drawn_document_count_once(spark):
+    d = spark.createDataFrame([(1, "good text"), (2, "bad text")] + [(1, "good text")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert (quality_cnn.learn(d, labels).w == quality_cnn.learn(d.distinct(), labels).w).all()
+
+
+def plain_em(ll, rounds):
+    share = [1 / len(ll[0])] * len(ll[0])
+    for _ in range(rounds):
+        sums = [0.0] * len(share)
+        for row in ll:
+            p = [np.exp(x) * s for x, s in zip(row, share)]
+            for k, x in enumerate(p):
+                sums[k] += x / sum(p)
+        share = [x / len(ll) for x in sums]
+    return share, sum(np.log(sum(np.exp(x) * s for x, s in zip(row, share))) for row in ll)
+
+
+def test_mixture_is_plain_expectation_maximisation(spark):
+    """Segments, shares and choice of languages, written out in plain loops."""
+    d = table(spark, SMALL, "documents")
+    model = language.learn(d)
+    texts = [r.text for r in d.filter("length(text) between 300 and 1200").orderBy("doc_id").limit(12).collect()]
+    for text in texts[:6] + [a + " " + b for a, b in zip(texts[:6], texts[6:])]:
+        g = language.grams(text)
+        ll = [[language.TEMPER * sum(float(model.table[x, k]) for x in g[i : i + language.SEGMENT]) for k in range(len(model.langs))] for i in range(0, len(g), language.SEGMENT)]
+        chosen = [max(range(len(model.langs)), key=lambda k: sum(row[k] for row in ll))]
+        share, value = [1.0], sum(row[chosen[0]] for row in ll)
+        while len(chosen) < len(model.langs):
+            tries = [(k, *plain_em([[row[c] for c in [*chosen, k]] for row in ll], language.ROUNDS)) for k in range(len(model.langs)) if k not in chosen]
+            k, s, v = max(tries, key=lambda t: t[2])
+            if v - value <= language.PENALTY + 0.5 * np.log(len(ll)):
+                break
+            chosen, share, value = [*chosen, k], s, v
+        want = np.zeros(len(model.langs))
+        want[chosen] = (np.array(share) * len(ll) + 1 / len(model.langs)) / (len(ll) + 1)
+        assert np.allclose(model.mixture(text), want, atol=1e-3)
+
+
 def test_quality_edges(spark):
     d = documents(spark)
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (4, None, 0), (None, 1, 1), (6, 0, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
