@@ -60,7 +60,8 @@ def number_in(text: Column) -> Column:
 
 
 def nice_max(x: Column) -> Column:
-    """The next 1, 2, 5 or 10 times a power of ten."""
+    """The next whole number up to 5, beyond that the next 1, 2, 5 or 10 times a power of ten; 1 for what isn't above zero or finite."""
     power = F.pow(F.lit(10.0), F.floor(F.log10(x)))
     ratio = x / power
-    return F.when(x <= 0, 1.0).otherwise(power * F.when(ratio <= 1, 1.0).when(ratio <= 2, 2.0).when(ratio <= 5, 5.0).otherwise(10.0))
+    large = power * F.when(ratio <= 1, 1.0).when(ratio <= 2, 2.0).when(ratio <= 5, 5.0).otherwise(10.0)
+    return F.when(x.isNull() | F.isnan(x) | (x <= 0) | (x == float("inf")), 1.0).when(x <= 5, F.ceil(x).cast("double")).otherwise(large)

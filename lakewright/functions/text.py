@@ -10,11 +10,18 @@ TEXT_CAP, PAGE_CAP, SUMMARY = 900_000, 250_000, 180
 MAX_TERMS = 12
 
 
+#: What counts as white space in trims and collapses; the form works in Java and in RE2.
+SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def normalise(text: Column) -> Column:
     """Unix line ends, no NUL, no blanks at line ends, at most two blank lines running, trimmed."""
-    t = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\x00", "")
-    t = F.regexp_replace(t, r"[ \t]+\n", "\n")
-    return F.regexp_replace(F.regexp_replace(t, r"\n{4,}", "\n\n\n"), r"^[ \t\n]+|[ \t\n]+$", "")
+    t = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), "\x00", "")
+    return trimmed(F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n{4,}", "\n\n\n"))
 
 
 def tokens(text: Column) -> Column:
@@ -43,15 +50,15 @@ def query_terms(query: str) -> list[str]:
 
 
 def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
 def excerpt(text: Column, terms: list[str], before: int = 260, after: int = 900) -> Column:
-    """A window around the earliest hit of any term in the collapsed text; without a hit its start."""
+    """A window around the earliest hit of any term in the collapsed text, trimmed; without a hit the text's start."""
     flat = collapsed(text)
     at = F.least(*[F.when(F.instr(F.lower(flat), t) > 0, F.instr(F.lower(flat), t)) for t in terms], F.lit(None).cast("int"))
     start = F.greatest(at - before, F.lit(1))
-    return F.when(at.isNull(), F.left(flat, F.lit(after))).otherwise(F.substring(flat, start, at - start + after))
+    return F.when(at.isNull(), F.left(flat, F.lit(after))).otherwise(F.trim(F.substring(flat, start, at - start + after)))
 
 
 def strip_html(html: Column) -> Column:
@@ -67,11 +74,30 @@ def strip_html(html: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Without fragment, default port and final slash, host in lower case, query parameters sorted."""
+    """Without fragment, the scheme's own port and final slashes, host in lower case, parameters in order of their names."""
     bare = F.regexp_replace(url, r"#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z]+)://", 1))
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^[A-Za-z]+://([^/?]*)", 1)), r":(80|443)$", "")
+    host = F.lower(F.regexp_extract(bare, r"^[A-Za-z]+://([^/?]*)", 1))
+    host = F.when(scheme == "https", F.regexp_replace(host, ":443$", "")).when(scheme == "http", F.regexp_replace(host, ":80$", "")).otherwise(host)
     path = F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z]+://[^/?]*([^?]*)", 1), r"/+$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    ordered = F.array_join(F.array_sort(F.split(query, "&")), "&")
-    return F.concat(scheme, F.lit("://"), host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), ordered)))
+    pairs = F.array_sort(F.transform(F.split(query, "&"), lambda x, i: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("name"), i.alias("at"), x.alias("pair"))))
+    ordered = F.array_join(F.transform(pairs, lambda x: x["pair"]), "&")
+    return F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), ordered)))
+
+
+#: Character sequences that tell of a wrong decoding.
+MOJIBAKE = ("\ufffd", "锟", "Ã", "Â", "â€", "â€™", "â€œ", "â€\x9d", "琚", "佸", "鍦", "涓", "鏄", "寤", "骞", "鏈", "鏃", "鈥")
+
+
+def decode_score(text: Column) -> Column:
+    """20 for each marker, 10 for each control character but tab and line ends, 50 more for each replacement character."""
+    count = lambda m: (F.length(text) - F.length(F.replace(text, F.lit(m), F.lit("")))) / len(m)
+    controls = F.length(text) - F.length(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
+    return (20 * sum(count(m) for m in MOJIBAKE) + 10 * controls + 50 * count("\ufffd")).cast("long")
+
+
+def file_name(text: Column) -> Column:
+    """White space becomes _, only letters, digits, _ and Chinese characters stay, 80 at most."""
+    clean = F.regexp_replace(F.regexp_replace(text, SPACE + "+", "_"), r"[^\x{4E00}-\x{9FA5}a-zA-Z0-9_]", "")
+    return F.left(F.regexp_replace(clean, "_+", "_"), F.lit(80))

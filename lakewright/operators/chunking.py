@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,26 +9,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 2400, 260
-#: A boundary counts from this share of the size on: blank line, line end, sentence end.
+#: A boundary counts beyond this share of the size: blank line, line end, sentence end.
 PARAGRAPH, LINE, SENTENCE = 0.55, 0.65, 0.70
-_SENTENCE = re.compile(r"[.!?。！？][ \t\n]")
+MARKS = (". ", "。", "? ", "! ")
+#: What is trimmed from chunks.
+SPACE = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def cut(window: str, size: int = SIZE) -> int:
-    """Where a full window ends: after the last paragraph, else line, else sentence that is late enough, else at its end."""
-    if (at := window.rfind("\n\n")) > size * PARAGRAPH:
-        return at + 2
-    if (at := window.rfind("\n")) > size * LINE - 1:
-        return at + 1
-    ends = [m.end() for m in _SENTENCE.finditer(window)]
-    return ends[-1] if ends and ends[-1] > size * SENTENCE else len(window)
+    """Where a full window ends: before the last blank line, else line end, else behind the last sentence's mark, if late enough, else at its end."""
+    if (at := window.rfind("\n\n")) > size * PARAGRAPH or (at := window.rfind("\n")) > size * LINE:
+        return at
+    at = max(map(window.rfind, MARKS))
+    return at + 1 if at > size * SENTENCE else len(window)
 
 
 def pieces(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple[int, str]]:
+    """Where each window starts, and its trimmed text; windows of white space are left out."""
     start = 0
     while start < len(text):
         end = len(text) if start + size >= len(text) else start + cut(text[start : start + size], size)
-        yield start, text[start:end]
+        if chunk := text[start:end].strip(SPACE):
+            yield start, chunk
         if end >= len(text):
             return
         start = max(end - overlap, start + 1)

@@ -11,8 +11,10 @@ from lakewright.operators.relational import merge_by_file
 from lakewright.plans.catalog import register
 from lakewright.session import table
 
-NORMAL_SQL = r"regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g')"
-FLAT_SQL = r"trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))"
+SPACE = T.SPACE
+TRIM_SQL = f"'^{SPACE}+|{SPACE}+$', '', 'g'"
+NORMAL_SQL = rf"regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(0), ''), '[ \t]+\n', chr(10), 'g'), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), {TRIM_SQL})"
+FLAT_SQL = f"trim(regexp_replace(text, '{SPACE}+', ' ', 'g'))"
 
 
 @register("e1_normalise", f"SELECT doc_id, md5({NORMAL_SQL}) AS digest, length({NORMAL_SQL})::BIGINT AS n FROM documents")
@@ -21,9 +23,13 @@ def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("digest"), F.length(t).cast("long").alias("n"))
 
 
-@register("e2_length_cap", "SELECT doc_id, md5(left(text, 2000)) AS digest, length(text) > 2000 AS cut FROM documents")
+WARNING = f"Parsed text was capped at {T.TEXT_CAP} characters for this indexing pass."
+
+
+@register("e2_length_cap", f"SELECT doc_id, md5(left(text, {T.TEXT_CAP})) AS digest, length(text) > {T.TEXT_CAP} AS cut, CASE WHEN length(text) > {T.TEXT_CAP} THEN '{WARNING}' END AS warning FROM documents")
 def length_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.left("text", F.lit(2000))).alias("digest"), (F.length("text") > 2000).alias("cut"))
+    over = F.length("text") > T.TEXT_CAP
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.left("text", F.lit(T.TEXT_CAP))).alias("digest"), over.alias("cut"), F.when(over, F.lit(WARNING)).alias("warning"))
 
 
 @register("e3_chunks", rf"""
@@ -31,17 +37,20 @@ WITH RECURSIVE n AS (SELECT doc_id, {NORMAL_SQL} AS t FROM documents),
 c AS (
   SELECT doc_id, t, 0 AS no, 0 AS s, 0 AS e FROM n WHERE length(t) > 0
   UNION ALL
-  SELECT doc_id, t, no + 1, ns, CASE WHEN ns + 2400 >= length(t) THEN length(t) ELSE ns + coalesce(
-    CASE WHEN length(w) - strpos(reverse(w), chr(10)) > 1560 AND strpos(w, chr(10)) > 0 THEN length(w) - strpos(reverse(w), chr(10)) + 1 END,
-    CASE WHEN length(regexp_extract(w, '(?s)^.*[.!?。！？][ \t\n]')) > 1680 THEN length(regexp_extract(w, '(?s)^.*[.!?。！？][ \t\n]')) END, 2400) END
-  FROM (SELECT *, substring(t, ns + 1, 2400) AS w FROM (SELECT *, CASE WHEN no = 0 THEN 0 ELSE greatest(e - 260, s + 1) END AS ns FROM c WHERE no = 0 OR e < length(t))))
-SELECT doc_id, no::BIGINT AS no, s::BIGINT AS start, md5(substring(t, s + 1, e - s)) AS digest FROM c WHERE no > 0""")
+  SELECT doc_id, t, no + 1, ns, CASE WHEN ns + 2400 >= length(t) THEN length(t) ELSE ns + CASE
+    WHEN length(regexp_extract(w, '(?s)^(.*)\n\n', 1)) > 1320 THEN length(regexp_extract(w, '(?s)^(.*)\n\n', 1))
+    WHEN length(regexp_extract(w, '(?s)^(.*)\n', 1)) > 1560 THEN length(regexp_extract(w, '(?s)^(.*)\n', 1))
+    WHEN length(regexp_extract(w, '(?s)^(.*)(?:[.?!] |。)', 1)) > 1680 THEN length(regexp_extract(w, '(?s)^(.*)(?:[.?!] |。)', 1)) + 1
+    ELSE 2400 END END
+  FROM (SELECT *, substring(t, ns + 1, 2400) AS w FROM (SELECT *, CASE WHEN no = 0 THEN 0 ELSE greatest(e - 260, s + 1) END AS ns FROM c WHERE no = 0 OR e < length(t)))),
+k AS (SELECT doc_id, no, s, regexp_replace(substring(t, s + 1, e - s), {TRIM_SQL}) AS chunk FROM c WHERE no > 0)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS no, s::BIGINT AS start, md5(chunk) AS digest FROM k WHERE chunk <> ''""")
 def chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("text"))
     return chunks(d).select("doc_id", "no", "start", F.md5("chunk").alias("digest"))
 
 
-@register("e10_excerpt", f"SELECT doc_id, md5(CASE WHEN hit IS NULL THEN left(f, 900) ELSE substring(f, greatest(hit - 260, 1), hit - greatest(hit - 260, 1) + 900) END) AS digest FROM (SELECT doc_id, f, least(nullif(strpos(lower(f), 'license'), 0), nullif(strpos(lower(f), 'tion.'), 0)) AS hit FROM (SELECT doc_id, {FLAT_SQL} AS f FROM documents))")
+@register("e10_excerpt", f"SELECT doc_id, md5(CASE WHEN hit IS NULL THEN left(f, 900) ELSE trim(substring(f, greatest(hit - 260, 1), hit - greatest(hit - 260, 1) + 900)) END) AS digest FROM (SELECT doc_id, f, least(nullif(strpos(lower(f), 'license'), 0), nullif(strpos(lower(f), 'tion.'), 0)) AS hit FROM (SELECT doc_id, {FLAT_SQL} AS f FROM documents))")
 def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.excerpt(F.col("text"), ["license", "tion."])).alias("digest"))
 
@@ -62,8 +71,9 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_html(F.col("html"))).alias("digest"))
 
 
-URL_SQL = r"""lower(regexp_extract(b, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(b, '^[A-Za-z]+://([^/?]*)', 1)), ':(80|443)$', '') || regexp_replace(regexp_extract(b, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '')
- || CASE WHEN regexp_extract(b, '\?(.*)$', 1) = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(regexp_extract(b, '\?(.*)$', 1), '&')), '&') END"""
+SCHEME, HOST, PATH, ARGS = r"lower(regexp_extract(b, '^([A-Za-z]+)://', 1))", r"lower(regexp_extract(b, '^[A-Za-z]+://([^/?]*)', 1))", r"regexp_replace(regexp_extract(b, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '')", r"regexp_extract(b, '\?(.*)$', 1)"
+URL_SQL = rf"""{SCHEME} || '://' || CASE {SCHEME} WHEN 'https' THEN regexp_replace({HOST}, ':443$', '') WHEN 'http' THEN regexp_replace({HOST}, ':80$', '') ELSE {HOST} END || CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END
+ || CASE WHEN {ARGS} = '' THEN '' ELSE '?' || (SELECT string_agg(x, '&' ORDER BY split_part(x, '=', 1), i) FROM (SELECT unnest(string_split({ARGS}, '&')) AS x, unnest(range(1000)[:len(string_split({ARGS}, '&'))]) AS i)) END"""
 
 
 @register("e11_canonical_url", f"SELECT page_id, {URL_SQL} AS url FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages)")
@@ -71,15 +81,19 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("url"))
 
 
-@register("e29_mojibake", "SELECT doc_id, (3 * (length(text) - length(replace(text, chr(65533), ''))) + 2 * len(regexp_extract_all(text, '[ÃÂ][\\x{80}-\\x{BF}]')))::BIGINT AS score FROM documents")
+def _count_sql(m: str) -> str:
+    spelt = " || ".join(f"chr({ord(c)})" for c in m)
+    return f"(length(text) - length(replace(text, {spelt}, ''))) / {len(m)}"
+
+
+@register("e29_mojibake", f"SELECT doc_id, (20 * ({' + '.join(map(_count_sql, T.MOJIBAKE))}) + 10 * (length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'))) + 50 * {_count_sql(chr(65533))})::BIGINT AS score FROM documents")
 def mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", (3 * (F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit("")))) + 2 * F.regexp_count(t, F.lit("[ÃÂ][\\x{80}-\\x{BF}]"))).cast("long").alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.decode_score(F.col("text")).alias("score"))
 
 
-@register("e30_slug", r"SELECT page_id, left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80) AS slug FROM pages")
+@register("e30_slug", rf"SELECT conv_id, turn, left(regexp_replace(regexp_replace(regexp_replace(text, '{SPACE}+', '_', 'g'), '[^\x{{4E00}}-\x{{9FA5}}a-zA-Z0-9_]', '', 'g'), '_+', '_', 'g'), 80) AS slug FROM conversations")
 def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.left(F.regexp_replace(F.regexp_replace(F.lower("url"), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(80)).alias("slug"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.file_name(F.col("text")).alias("slug"))
 
 
 @register("e31_first_rule", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, '(?i)steel') THEN 'steel' WHEN regexp_matches(p_type, '(?i)brass|copper') THEN 'metal' ELSE 'other' END AS class FROM part")

@@ -24,14 +24,25 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.filter(F.col("o_orderkey") == o.agg(F.min("o_orderkey")).first()[0]).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-KINDS = {"pdf": "pdf", "doc": "document", "docx": "document", "ppt": "slides", "pptx": "slides", "xls": "sheet", "xlsx": "sheet", "csv": "sheet", "html": "web", "md": "text", "txt": "text"}
-
-
-@register("a4_file_kind", "SELECT page_id, CASE " + " ".join(f"WHEN ext = '{e}' THEN '{k}'" for e, k in KINDS.items()) + r" ELSE 'other' END AS kind FROM (SELECT page_id, lower(regexp_extract(url, '\.([A-Za-z0-9]+)$', 1)) AS ext FROM pages)")
+#: File kinds by extension.
+KINDS = {
+    "pdf": ("pdf",),
+    "docx": ("docx", "doc"),
+    "pptx": ("pptx", "ppt"),
+    "spreadsheet": ("xlsx", "xls", "csv", "tsv"),
+    "image": ("png", "jpg", "jpeg", "gif", "webp", "bmp", "svg"),
+    "markdown": ("md", "markdown"),
+    "code": ("ts", "tsx", "js", "jsx", "py", "java", "cpp", "c", "h", "css", "html", "json"),
+    "text": ("txt", "rtf"),
+}
+
+
+@register("a4_file_kind", "SELECT page_id, CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in es)}) THEN '{k}'" for k, es in KINDS.items()) + r" ELSE 'unknown' END AS kind FROM (SELECT page_id, lower(regexp_extract(url, '\.([A-Za-z0-9]+)$', 1)) AS ext FROM pages)")
 def file_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    ext = F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1))
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.try_element_at(kinds, ext), F.lit("other")).alias("kind"))
+    ext, kind = F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1)), F.lit("unknown")
+    for k, es in KINDS.items():
+        kind = F.when(ext.isin(*es), k).otherwise(kind)
+    return table(spark, sf_dir, "pages").select("page_id", kind.alias("kind"))
 
 
 @register("a17_ranged_read", "SELECT doc_id, substring(text, 1001, 500) AS part, least(1500, length(text))::BIGINT AS next_offset, length(text) > 1500 AS truncated FROM documents")
@@ -88,14 +99,14 @@ def visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
 
 
-@register("j1_nulls_lowest", "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment DESC NULLS LAST, c_custkey LIMIT 50")
+@register("j1_nulls_lowest", "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment DESC NULLS LAST, c_custkey")
 def nulls_lowest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").orderBy(F.col("c_mktsegment").desc_nulls_last(), "c_custkey").limit(50).select("c_custkey", "c_mktsegment")
+    return table(spark, sf_dir, "customer").orderBy(F.col("c_mktsegment").desc_nulls_last(), "c_custkey").select("c_custkey", "c_mktsegment")
 
 
-@register("j5_natural_sort", r"SELECT p_partkey, p_name FROM part ORDER BY TRY_CAST(regexp_extract(p_name, '([0-9]+)', 1) AS BIGINT) NULLS LAST, lower(p_name), p_partkey LIMIT 40")
+@register("j5_natural_sort", r"SELECT p_partkey, p_name FROM part ORDER BY TRY_CAST(regexp_extract(p_name, '([0-9]+)', 1) AS BIGINT) NULLS LAST, lower(p_name), p_partkey")
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").orderBy(F.regexp_extract("p_name", "([0-9]+)", 1).try_cast("long").asc_nulls_last(), F.lower("p_name"), "p_partkey").limit(40).select("p_partkey", "p_name")
+    return table(spark, sf_dir, "part").orderBy(F.regexp_extract("p_name", "([0-9]+)", 1).try_cast("long").asc_nulls_last(), F.lower("p_name"), "p_partkey").select("p_partkey", "p_name")
 
 
 @register("j7_page_with_total", "SELECT event_id, (SELECT count(*) FROM events WHERE event_type = 'error') AS total, (SELECT count(*) FROM events WHERE event_type = 'error') > 20 AS truncated FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 20")
@@ -105,10 +116,10 @@ def page_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.orderBy("event_id").limit(20).join(F.broadcast(total)).withColumn("truncated", F.col("total") > 20)
 
 
-@register("j9_coalesced_order", "SELECT o_orderkey FROM orders ORDER BY coalesce(CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderdate END, TIMESTAMP '1995-01-01') DESC, o_orderkey LIMIT 30")
+@register("j9_coalesced_order", "SELECT o_orderkey FROM orders ORDER BY coalesce(CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderdate END, TIMESTAMP '1995-01-01') DESC, o_orderkey")
 def coalesced_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.coalesce(F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate")), F.lit("1995-01-01").cast("timestamp_ntz"))
-    return table(spark, sf_dir, "orders").orderBy(at.desc(), "o_orderkey").limit(30).select("o_orderkey")
+    return table(spark, sf_dir, "orders").orderBy(at.desc(), "o_orderkey").select("o_orderkey")
 
 
 @register("k1_union_tree", "SELECT 'r' || r_regionkey AS id, r_name AS name, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation")
@@ -118,9 +129,9 @@ def union_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.unionByName(nations)
 
 
-@register("k2_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@register("k2_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey").distinct().join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return table(spark, sf_dir, "customer").select("c_custkey").distinct().join(table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @register("k3_distinct_union", "SELECT c_nationkey AS key FROM customer UNION SELECT s_nationkey FROM supplier")

@@ -64,9 +64,14 @@ def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("step", "v", (upto - F.col("v")).alias("bar_from"), upto.alias("bar_to"))
 
 
-@register("h5_nice_axis", "SELECT o_orderkey, pow(10.0, floor(log10(o_totalprice))) * CASE WHEN r <= 1 THEN 1 WHEN r <= 2 THEN 2 WHEN r <= 5 THEN 5 ELSE 10 END AS top FROM (SELECT *, o_totalprice / pow(10.0, floor(log10(o_totalprice))) AS r FROM orders)")
+def _nice_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) OR {x} <= 0 OR isinf({x}) THEN 1 WHEN {x} <= 5 THEN ceil({x}) ELSE pow(10.0, floor(log10({x}))) * CASE WHEN {x} / pow(10.0, floor(log10({x}))) <= 1 THEN 1 WHEN {x} / pow(10.0, floor(log10({x}))) <= 2 THEN 2 WHEN {x} / pow(10.0, floor(log10({x}))) <= 5 THEN 5 ELSE 10 END END::DOUBLE"
+
+
+@register("h5_nice_axis", f"SELECT o_orderkey, {_nice_sql('x')} AS top, {_nice_sql('(x / 100000)')} AS small_top FROM (SELECT o_orderkey, o_totalprice::DOUBLE AS x FROM orders)")
 def nice_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", S.nice_max(F.col("o_totalprice")).alias("top"))
+    x = F.col("o_totalprice").cast("double")
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.nice_max(x).alias("top"), S.nice_max(x / 100000).alias("small_top"))
 
 
 @register("h8_heat_ratio", "SELECT l_returnflag, l_linestatus, round((v - min(v) OVER ()) / nullif(max(v) OVER () - min(v) OVER (), 0), 6) AS heat FROM (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS v FROM lineitem GROUP BY ALL)")

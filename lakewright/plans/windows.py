@@ -38,10 +38,12 @@ def next_user_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.min(F.when(F.col("role") == "user", F.col("turn"))).over(w).alias("next_user"))
 
 
-@register("i9_open_runs", "SELECT user_id, max(event_id) AS run FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY user_id")
+@register("i9_open_runs", "SELECT user_id, max(event_id) AS run FROM events s WHERE event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM events t WHERE t.user_id = s.user_id AND t.event_type IN ('purchase', 'error') AND t.event_id > s.event_id) GROUP BY user_id")
 def open_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.filter("event_type = 'signup'").join(e.filter("event_type = 'purchase'"), "user_id", "left_anti").groupBy("user_id").agg(F.max("event_id").alias("run"))
+    ended = e.filter("event_type IN ('purchase', 'error')").groupBy("user_id").agg(F.max("event_id").alias("ended"))
+    last = e.filter("event_type = 'signup'").groupBy("user_id").agg(F.max("event_id").alias("run"))
+    return last.join(ended, "user_id", "left").filter("ended IS NULL OR ended < run").select("user_id", "run")
 
 
 @register("i10_carried_run", "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM events")

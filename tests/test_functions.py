@@ -37,6 +37,7 @@ def test_chunks_end_at_the_blank_line():
 
 def test_normalise(spark):
     assert one(spark, text.normalise(F.lit(" a \r\nb\x00\t\n\n\n\n\nc \n"))) == "a\nb\n\n\nc"
+    assert one(spark, text.normalise(F.lit("\u00a0a\rb\r\n\f"))) == "a\nb"
 
 
 def test_entities_are_decoded_in_order(spark):
@@ -45,6 +46,7 @@ def test_entities_are_decoded_in_order(spark):
 
 def test_canonical_url(spark):
     assert one(spark, text.canonical_url(F.lit("HTTP://Ex.com:80/a/?b=2&a=1#x"))) == "http://ex.com/a?a=1&b=2"
+    assert one(spark, text.canonical_url(F.lit("https://Ex.com:80?b=2&a=9&b=1&a=1"))) == "https://ex.com:80/?a=9&a=1&b=2&b=1"
 
 
 def test_budget_and_terms():
