@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewright.functions.text import phrase_count, query_terms, spaced
+from lakewright.session import materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF, TEXT_WEIGHT, BOTH = 60, 1.12, 0.003
@@ -41,13 +42,14 @@ def nearest(chunks: DataFrame, query: list[float], k: int, vector: str = "embedd
 def bm25(docs: DataFrame, query: str, limit: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The best documents for any of the query's terms: key and rank (negative; smaller is better).
 
-    Texts are read once: only counts for each document leave the scan, and the corpus figures are one small aggregate.
+    Texts are read once: the counts for each document are written, and the corpus figures and scores come from those.
     """
     terms = query_terms(query)
     n = clamp(limit, 1, 100)
     if not terms:
         return docs.limit(0).select(key, F.lit(0.0).alias("rank"))
     counted = docs.select(key, spaced(F.col(text)).alias("_t")).select(key, F.array(*[phrase_count(F.col("_t"), t) for t in terms]).alias("tf"), F.greatest(F.size(F.split("_t", "  ")) - 2, F.lit(0)).alias("len"))
+    counted = materialize(counted, "term-counts")
     corpus = counted.agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))]).alias("df"))
     both = counted.filter(F.exists("tf", lambda x: x > 0)).join(F.broadcast(corpus))
     score = F.lit(0.0)
@@ -88,6 +90,6 @@ def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float],
     n, wanted = budget(k)
     v = nearest(vectors, vector, wanted).select(F.col("vec_id").alias("id"), "distance", "score")
     t = bm25(docs, query, wanted).select(F.col("doc_id").alias("id"), "rank")
-    fused = fuse(v, t)
+    fused = materialize(fuse(v, t), "fused")  # 160 rows at most, used twice
     files = docs.select(F.col("doc_id").alias("_id"), F.col("source").alias("file")).join(F.broadcast(fused.select("id")), F.col("_id") == F.col("id"), "left_semi")
     return diversify(fused.join(files, F.col("id") == F.col("_id"), "left").drop("_id"), n)
