@@ -99,25 +99,154 @@ BODIES = (
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
     ("cc0", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders"),
 )
+#: Further sentences of licences and of notices that refer to one, by hand: label, pattern.
+SENTENCES = (
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("bsd", "this software is provided by the (?:copyright holders?|authors?|regents) and contributors as is and any express or implied warranties"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
+    ("bsd-3-clause", "may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-2-clause", "the views and conclusions contained in the software and documentation are those of the authors and should not be interpreted as representing official policies"),
+    ("bsd", "use of this source code is governed by a bsd(?: style)? license that can be found in the license file"),
+    ("apache-2.0", "you may obtain a copy of the license at http(?: www)? apache org licenses license 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2.0", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2.0", "you must cause any modified files to carry prominent notices stating that you changed the files"),
+    ("apache-2.0", "grant of patent license subject to the terms and conditions of this license each contributor hereby grants to you"),
+    ("apache-2.0", "work shall mean the work of authorship whether in source or object form made available under the license"),
+    ("apache-1.1", "this product includes software developed by the apache software foundation http www apache org"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this (?:program|software|file)"),
+    ("gpl-2.0", "either version 2 of the license or at your option any later version"),
+    ("gpl-3.0", "either version 3 of the license or at your option any later version"),
+    ("gpl-2.0", "gnu general public license version 2(?: june 1991)?"),
+    ("gpl-3.0", "gnu general public license version 3(?: 29 june 2007)?"),
+    ("gpl-2.0", "activities other than copying distribution and modification are not covered by this license they are outside its scope"),
+    ("gpl-2.0", "you may copy and distribute verbatim copies of the program s source code as you receive it"),
+    ("gpl-3.0", "you may convey verbatim copies of the program s source code as you receive it"),
+    ("gpl-3.0", "to propagate a work means to do anything with it that without permission would make you directly or secondarily liable"),
+    ("gpl-3.0", "no covered work shall be deemed part of an effective technological measure under any applicable law"),
+    ("gpl-3.0", "the installation information required to install and execute modified versions of a covered work"),
+    ("gpl", "as a special exception the (?:copyright holders?|author|free software foundation) (?:of this program )?gives? (?:you )?(?:unlimited )?permission to link"),
+    ("lgpl", "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license along with this (?:library|program)"),
+    ("lgpl", "a library means a collection of software functions and or data prepared so as to be conveniently linked with application programs"),
+    ("lgpl", "an application is any work that makes use of an interface provided by the library but which is not otherwise based on the library"),
+    ("lgpl", "gnu lesser general public license version (?:2 1|3)"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("agpl", "gnu affero general public license version 3"),
+    ("agpl", "the gnu affero general public license is designed specifically to ensure cooperation with the community in the case of network server software"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at http(?:s)? mozilla org mpl 2 0"),
+    ("mpl", "incompatible with secondary licenses as defined by the mozilla public license"),
+    ("mpl", "the contents of this file are subject to the mozilla public license version 1 [01]"),
+    ("mpl", "software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl", "when distributing covered code include this cddl header in each file"),
+    ("cpl", "the accompanying program is provided under the terms of this common public license"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties"),
+    ("isc", "the software is provided as is and isc disclaims all warranties with regard to this software"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "this notice may not be removed or altered from any source distribution"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("libpng", "this copyright notice may not be removed or altered from any source or altered source distribution"),
+    ("boost", "distributed under the boost software license version 1 0"),
+    ("boost", "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included"),
+    ("unlicense", "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),
+    ("unlicense", "for more information please refer to http(?:s)? unlicense org"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("beerware", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("cc0", "to the extent possible under law (?:the author|[^ ]+ [^ ]+) (?:has|have) (?:waived|dedicated) all copyright"),
+    ("cc0", "the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights"),
+    ("cc-by", "this work is licensed under (?:a|the) creative commons attribution(?: [1-4] 0)? (?:international |unported |generic )?license"),
+    ("cc-by-sa", "this work is licensed under (?:a|the) creative commons attribution share ?alike(?: [1-4] 0)? (?:international |unported |generic )?license"),
+    ("cc-by-nc", "this work is licensed under (?:a|the) creative commons attribution non ?commercial(?: [1-4] 0)? (?:international |unported |generic )?license"),
+    ("cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
+    ("cc-by-nc", "you may not use the material for commercial purposes"),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1"),
+    ("ofl", "neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
+    ("artistic", "you may distribute verbatim copies of the source form of the standard version of this package"),
+    ("artistic", "this is free software you can redistribute it and or modify it under the same terms as the perl 5 programming language system itself"),
+    ("artistic", "the artistic license 2 0"),
+    ("python", "this license agreement is between the python software foundation psf and the individual or organization"),
+    ("postgresql", "in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages"),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("openssl", "the names openssl toolkit and openssl project must not be used to endorse or promote products"),
+    ("ncsa", "to deal with the software without restriction including without limitation the rights to use copy modify"),
+    ("w3c", "permission to copy modify and distribute this software and its documentation with or without modification for any purpose and without fee or royalty is hereby granted"),
+    ("eupl", "licensed under the eupl(?: version)? 1 [012]"),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("public-domain", "this file is (?:in|placed in|released into) the public domain"),
+    ("public-domain", "this work has been (?:placed in|released into|dedicated to) the public domain"),
+    ("public-domain", "this software is (?:in|placed in|released into|dedicated to) the public domain"),
+    ("public-domain", "this code has been (?:placed in|released into) the public domain"),
+    ("public-domain", "the author disclaims copyright to this source code"),
+    ("fair", "usage of the works is permitted provided that this instrument is retained with the works"),
+    ("proprietary", "all rights reserved no part of this (?:publication|document|book|work) may be reproduced"),
+    ("proprietary", "this software is the confidential and proprietary information of"),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
+)
 BODY_PRIORITY, BODY_SURE = 3, 0.9
 
 
 def head(pattern: str) -> str:
     """The literal words that a body's pattern begins with."""
-    literal = pattern.split("?")[0].split("(")[0]
+    literal = pattern.split("?")[0].split("(")[0].split("[")[0]
     return literal if literal == pattern else literal.rpartition(" ")[0]
 
 
 #: All rules, in order (a longer label is a more specific licence and comes first): label, keyword, priority, confidence, pattern over a text of lower-case words with blanks around each.
 RULES = tuple((label, key, priority, sure, f"(?<= ){before}{name}{after}(?= )") for priority, sure, before, after in FORMS for label, key, name in sorted(FAMILIES, key=lambda f: -len(f[0]))) + tuple(
-    (label, head(body), BODY_PRIORITY, BODY_SURE, f"(?<= ){body}(?= )") for label, body in BODIES
+    (label, head(body), BODY_PRIORITY, BODY_SURE, f"(?<= ){body}(?= )") for label, body in (*BODIES, *SENTENCES)
 )
 
 #: Keywords that patterns also take as the start of a longer word (gplv2).
 JOINED = ("gpl",)
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A text is searched if it holds some family's keyword, as a word or for JOINED as a word's start, or the first words of some body.
-GATE = "(?i)(?<![A-Za-z0-9])(?:" + "|".join(sorted({key + ("" if key in JOINED else "(?![A-Za-z0-9])") for _, key, _ in FAMILIES} | {SEPARATORS.join(head(body).split(" ")[:4]) for _, body in BODIES})) + ")"
+
+
+def _gate() -> str:
+    """Alternatives are put together by their first letter, so that most words end the search at once."""
+    heads = {key + ("" if key in JOINED else "(?![A-Za-z0-9])") for _, key, _ in FAMILIES}
+    heads |= {SEPARATORS.join(head(body).split(" ")[:4]) for _, body in (*BODIES, *SENTENCES)}
+    by_letter: dict[str, list[str]] = {}
+    for h in sorted(heads):
+        by_letter.setdefault(h[0], []).append(h[1:])
+    return "(?i)(?<![A-Za-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")"
+
+
+#: A text is searched if it holds some family's keyword, as a word or for JOINED as a word's start, or the first words of some sentence.
+GATE = _gate()
+#: Items of an array that a running state passes at a time.
+PART = 256
+
+
+def _running(items: Column, zero: Column, add, combine, emit, kind: str) -> Column:
+    """emit(state before the item, item) for each item in order, in time in proportion to the array.
+
+    An array that grows with each item would be copied each time. So parts of PART items are summed up, the parts' states
+    before them follow from those sums, and only inside a part an array grows.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def inside(part: Column, before: Column) -> Column:
+        start = F.struct(before.alias("at"), none.alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x))).alias("out")))["out"]
+
+    def over(parts: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array_repeat(zero, 0).alias("out"))
+        sums = F.transform(parts, lambda p: F.aggregate(p, zero, add))
+        before = F.aggregate(sums, start, lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(parts, before, inside))
+
+    cut = lambda x: F.transform(F.sequence(F.lit(1), F.size(x), F.lit(PART)), lambda i: F.slice(x, i, PART))
+    return let(items, lambda x: F.when(F.size(x) == 0, none).otherwise(let(cut(x), over)))
 
 
 def _lower(text: Column) -> Column:
@@ -132,13 +261,16 @@ def _places(padded: Column, rule: Column) -> Column:
     """The rule's matches in padded as intervals of word numbers."""
 
     def placed(gaps: Column, found: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
         both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(_blanks(g).alias("g"), _blanks(m).alias("m")))
         # blanks before a match, less the leading one, number its first word
-        done = F.aggregate(
-            both, start, lambda acc, x: F.struct((acc["at"] + x["g"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"] - 1).alias("s"), (acc["at"] + x["g"] + x["m"] - 1).alias("e")))).alias("out"))
+        return _running(
+            both,
+            F.lit(0),
+            lambda at, x: at + x["g"] + x["m"],
+            lambda a, b: a + b,
+            lambda at, x: F.struct((at + x["g"] - 1).alias("s"), (at + x["g"] + x["m"] - 1).alias("e")),
+            "struct<s:int,e:int>",
         )
-        return done["out"]
 
     pattern = rule["pattern"]
     return let(F.regexp_extract_all(padded, pattern, F.lit(0)), lambda found: F.when(F.size(found) == 0, F.array().cast("array<struct<s:int,e:int>>")).otherwise(placed(F.split(padded, pattern, -1), found)))
@@ -162,26 +294,33 @@ def detections(padded: Column) -> Column:
         )
     )
     levels = sorted({n for _, _, n, _, _ in RULES})
-    none = F.array().cast("array<struct<s:int,e:int,priority:int,sure:double,label:string>>")
-    start = F.struct(*[F.lit(-1).alias(f"m{n}") for n in levels], none.alias("out"))
+    names = [f"m{n}" for n in levels]
 
-    def step(acc: Column, x: Column) -> Column:
-        end, own = -x["e"], -x["p"]
-        inside = F.lit(False)
-        for n in levels:
-            inside = inside | ((own <= n) & (acc[f"m{n}"] >= end))
-        kept = F.struct(x["s"].alias("s"), end.alias("e"), own.alias("priority"), x["sure"].alias("sure"), x["label"].alias("label"))
-        return F.struct(*[F.when(own == n, F.greatest(acc[f"m{n}"], end)).otherwise(acc[f"m{n}"]).alias(f"m{n}") for n in levels], F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(kept))).alias("out"))
-
-    return F.aggregate(F.sort_array(each), start, step)["out"]
+    def add(ends: Column, x: Column) -> Column:
+        return F.struct(*[F.when(-x["p"] == n, F.greatest(ends[m], -x["e"])).otherwise(ends[m]).alias(m) for n, m in zip(levels, names)])
 
+    def emit(ends: Column, x: Column) -> Column:
+        inside = F.lit(False)
+        for n, m in zip(levels, names):
+            inside = inside | ((-x["p"] <= n) & (ends[m] >= -x["e"]))
+        return F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), (-x["p"]).alias("priority"), x["sure"].alias("sure"), x["label"].alias("label"), inside.alias("inside"))
+
+    passed = _running(
+        F.sort_array(each),
+        F.struct(*[F.lit(-1).alias(m) for m in names]),
+        add,
+        lambda a, b: F.struct(*[F.greatest(a[m], b[m]).alias(m) for m in names]),
+        emit,
+        "struct<s:int,e:int,priority:int,sure:double,label:string,inside:boolean>",
+    )
+    return F.transform(F.filter(passed, lambda x: ~x["inside"]), lambda x: F.struct(*[x[c].alias(c) for c in ("s", "e", "priority", "sure", "label")]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): the contract's columns and detections.
 
     Only texts that pass the gate are searched. Null text: no words. Null doc_id, repeated rows: each row
-    its result. Empty table: no rows.
+    its result. A very long text is searched whole, in time in proportion to it and its matches. Empty table: no rows.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     apart = F.trim(F.regexp_replace(t, SEPARATORS, " "))

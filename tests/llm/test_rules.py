@@ -135,3 +135,40 @@ def test_repeated_documents_keep_line_ends_and_lengths(spark):
     for r in got:
         have[r.doc_id] += len(r.text.split())
     assert have == due and any(n % 6 for n in due.values())
+
+
+def brute_detections(text):
+    """All rules' matches in word numbers, those gone that another of no lower priority contains."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    padded = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) + " "
+    found = []
+    for no, (label, key, priority, sure, pattern) in enumerate(license_rules.RULES):
+        if key in padded:
+            for m in re.finditer(pattern, padded):
+                s = padded[: m.start()].count(" ") - 1
+                found.append((s, s + m.group().count(" "), priority, no, sure, label))
+    kept = []
+    for i, x in enumerate(found):
+        if not any(y[0] <= x[0] and y[1] >= x[1] and y[2] >= x[2] and (y[:3] != x[:3] or (y[3], j) < (x[3], i)) for j, y in enumerate(found) if j != i):
+            kept.append((x[0], x[1], x[2], x[4], x[5]))
+    return sorted(kept)
+
+
+def test_labels_priority_and_containment(spark, monkeypatch):
+    monkeypatch.setattr(license_rules, "PART", 3)
+    rng = random.Random(12)
+    pool = [s for _, samples in signatures() for s in sorted(samples)[:2]]
+    texts = [", ".join(rng.choice(pool) for _ in range(rng.randint(1, 6))) for _ in range(120)] + ["Licensed under the MIT License. See the MIT License for details.", "SPDX-License-Identifier: GPL-2.0-or-later", None, ""]
+    got = {r.doc_id: r for r in license_rules.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = brute_detections(t)
+        assert sorted(tuple(x) for x in got[i].detections) == want, t
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert got[i].labels == ",".join(sorted(base | {x[4] for x in want}))
+        assert got[i].score == max([x[3] for x in want] + [0.6 * bool(base)])
+
+
+def test_time_grows_with_the_text(spark):
+    rows = [(n, "mit license " * n) for n in (1, 2000, 64000)]
+    got = {r.doc_id: r for r in license_rules.contract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((r.n_words, r.n_base, r.first_word, r.last_word) == (2 * n, n, 0, 2 * n - 2) for n, r in got.items())
