@@ -8,6 +8,8 @@ depend on what lies outside. Texts with other white space next to a space are sp
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import compress
+from operator import not_
 
 #: Longer chunks are not kept: a text without blanks is one chunk.
 LONG = 64
@@ -41,25 +43,28 @@ class ChunkCache:
         make gets the chunks that aren't known, of all texts at once; all but a text's first begin with a blank. They are
         kept without that blank, a text's first chunk with one, so that the two don't meet.
         """
-        known, older, parts, new = self.known, self.older, [], set()
+        known, older, parts, found, new = self.known, self.older, [], [], set()
         for text in texts:
             first, *rest = text.split(" ")
             if (first and first[-1].isspace() and rest) or not all(rest):
                 parts.append(None)
+                found.append(None)
                 continue
             if first:
                 rest.insert(0, " " + first)
             parts.append(rest)
-            new |= set(rest).difference(known)
+            found.append(list(map(known.get, rest)))
+            # a value is never empty
+            new.update(compress(rest, map(not_, found[-1])))
         ask = []
-        for c in sorted(new):
+        for c in new:
             if (v := older.get(c)) is not None:
                 known[c] = v
             # next to the space that splits there must be no other white space
             elif c[0] == " " or not c[0].isspace():
                 ask.append(c)
         known.update(zip(ask, make([c[1:] if c[0] == " " else " " + c for c in ask])))
-        found = [None if rest is None else list(map(known.get, rest)) for rest in parts]
+        found = [list(map(known.get, rest)) if v is not None and None in v else v for rest, v in zip(parts, found)]
         for c in ask:
             if len(c) > LONG:
                 del known[c]

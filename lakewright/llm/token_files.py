@@ -21,7 +21,7 @@ from lakewright.session import materialize
 #: A file image starts with this; then width, documents, ids, ids a block.
 MAGIC, HEAD = b"LWTOK1\0\0", struct.Struct("<8sIIQI")
 #: Ids of one block (whole bytes at any width), ids after which an image is closed, chunks that a worker keeps.
-BLOCK, IMAGE_IDS, CHUNKS = 4096, 500_000, 800_000
+BLOCK, IMAGE_IDS, CHUNKS = 4096, 500_000, 1_000_000
 END = 0
 #: Marks that may stand behind a word, and how byte-level vocabularies spell bytes that don't print.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -147,7 +147,7 @@ class Encoder:
         others, known, older, marks = [], self.cache.known, self.cache.older, self.marks
         for c in chunks:
             blank, body = ("Ġ", c[1:]) if c[0] == " " else ("", c)
-            word = body.rstrip(MARKS)
+            word = body if body.isalpha() else body.rstrip(MARKS)
             if not (word.isalpha() and (word.isascii() or max(word) < "\u0250")):
                 # without a blank before it, a text's first chunk would run into the one before
                 out.append(b"" if blank else self._whole(c).tobytes())
@@ -192,7 +192,7 @@ def encoder(path: str) -> Encoder:
 
 
 def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """doc_id, tie (the text's hash) and ids (packed, with the end id) for each row of docs, written once; texts stay where they are."""
+    """doc_id, tie (the text's hash) and ids (packed, with the end id) for each row of docs; texts stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -205,7 +205,23 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x + last for x in own.encode(texts)], pa.binary())], ["doc_id", "tie", "ids"])
 
     d = pick(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    return materialize(d.mapInArrow(run, "doc_id long, tie long, ids binary"), "encoded")
+    return d.mapInArrow(run, "doc_id long, tie long, ids binary")
+
+
+def _in_ranges(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """rows (doc_id, tie, ...) in n partitions by ranges of doc_id and tie, in order inside.
+
+    Bounds are quantiles of the ids alone, so nothing is encoded twice. An id that fills several ranges, or none (null),
+    is spread over them by its ties.
+    """
+    key = lambda: F.coalesce("doc_id", F.lit(-(1 << 63)))
+    bounds = docs.agg(F.percentile_approx(key(), [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
+    held = F.array(*[F.lit(b).cast("long") for b in bounds or []]) if bounds else F.array().cast("array<bigint>")
+    below, upto = F.size(F.filter(held, lambda b: b < F.col("_key"))), F.size(F.filter(held, lambda b: b <= F.col("_key")))
+    share = (F.col("tie").cast("double") / float(1 << 64)) + 0.5
+    place = F.least(F.col("_a") + F.floor(share * (F.col("_b") - F.col("_a") + 1)), F.col("_b")).cast("int")
+    placed = rows.withColumn("_key", key()).withColumn("_a", below).withColumn("_b", upto).withColumn("_b", F.when(F.col("_b") - F.col("_a") > 1, F.col("_b") - 1).otherwise(F.col("_a"))).withColumn("_place", place)
+    return placed.repartitionById(n, F.col("_place")).sortWithinPartitions("_key", "tie")
 
 
 def write_tokens(docs: DataFrame, path: str, end: int = END) -> tuple[DataFrame, DataFrame]:
@@ -242,9 +258,8 @@ def write_tokens(docs: DataFrame, path: str, end: int = END) -> tuple[DataFrame,
         if keys:
             yield image()
 
-    d = encoded(docs, path, end)
-    n = max(1, d.rdd.getNumPartitions(), int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = d.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    n = max(1, docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = _in_ranges(docs, encoded(docs, path, end), n).select("doc_id", "ids")
     images = materialize(ordered.mapInArrow(run, "part int, seq int, n_ids long, n_docs long, first_id long, last_id long, image binary"), "token-images")
     sums = images.groupBy("part").agg(F.sum("n_ids").alias("_ids"))
     before = sums.select(F.col("part").alias("_part"), (F.sum("_ids").over(Window.orderBy("part")) - F.col("_ids")).alias("_before"))

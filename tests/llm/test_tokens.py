@@ -117,6 +117,15 @@ def test_files_are_read_by_place_and_by_document(spark, tokenizer, monkeypatch):
     assert token_files.read_document(images, index, 1 << 40).collect() == []
 
 
+def test_an_id_of_many_rows_is_spread(spark):
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, f"other {i}") for i in range(300)] + [(i, "x") for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    rows = token_files._in_ranges(d, token_files.encoded(d, P.path("byte_bpe_50k.json")), 8).selectExpr("doc_id", "tie", "spark_partition_id() AS part").collect()
+    assert len(rows) == 700 and len({r.part for r in rows if r.doc_id is None}) > 2 and len({r.part for r in rows if r.doc_id == 7}) > 2
+    order = [(-1 if r.doc_id is None else r.doc_id, r.tie) for r in sorted(rows, key=lambda r: r.part)]
+    assert [max(a[:1] for a in order[:i]) <= order[i][:1] for i in range(1, len(order))].count(False) == 0
+
+
 def test_token_files(spark, tokenizer):
     special = spark.createDataFrame([(1, "<|endoftext|> x"), (2, "a<|endoftext|>")], "doc_id long, text string")
     for d in (documents(spark), table(spark, TINY, "documents"), nothing(spark), special):
