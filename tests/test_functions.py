@@ -29,9 +29,12 @@ def test_criteria(spark):
 
 def test_chunks_end_at_the_blank_line():
     t = "a" * 1500 + "\n\n" + "b" * 3000
-    got = list(pieces(t))
-    assert got[0] == (0, "a" * 1500 + "\n\n") and got[1][0] == 1502 - 260
-    assert "".join(c if i == 0 else c[260:] for i, (_, c) in enumerate(got)) == t
+    assert list(pieces(t)) == [(0, "a" * 1500), (1240, "a" * 260 + "\n\n" + "b" * 2138), (3380, "b" * 1122)]
+    # a line end counts from 65 % on, a sentence's mark from 70 % on and stays; windows of white space are left out
+    assert list(pieces("a" * 1600 + "\n" + "b" * 1000))[0] == (0, "a" * 1600)
+    assert list(pieces("a" * 1700 + "。" + "b" * 1000))[0] == (0, "a" * 1700 + "。")
+    assert list(pieces("a" * 1600 + ". " + "b" * 1000))[0][1] == "a" * 1600 + ". " + "b" * 798
+    assert list(pieces(" " * 3000 + "end")) == [(2140, "end")]
     assert list(pieces("")) == []
 
 
