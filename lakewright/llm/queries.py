@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import bpe, embeddings, language, license_rules, mixing, quality_cnn, quality_rules, simhash, suffix_dedup, token_files
+from lakewright.llm import bpe, embeddings, language, license_rules, mixing, periodic_runs, quality_cnn, quality_rules, simhash, suffix_dedup, token_files
 from lakewright.llm.sql import MIXING_SQL, QUALITY_RULES_SQL
 from lakewright.session import table
 
@@ -62,6 +62,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.planted_runs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op8_token_files": op8_token_files,
         "op9_quality_cnn": op9_quality_cnn,
         "op10_quality_rules": op10_quality_rules,
+        "op11_periodic_runs": op11_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
