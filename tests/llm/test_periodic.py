@@ -56,8 +56,8 @@ def repetitive(spark):
     rng = random.Random(11)
     rows = []
     for i in range(300):
-        w = []
-        while len(w) < rng.choice([0, 5, 24, 60, 200, 400]):
+        w, n = [], rng.choice([0, 5, 24, 60, 200, 400])
+        while len(w) < n:
             w += [rng.choice(["a", "b", "é", " "]) for _ in range(rng.randint(1, 12))] * rng.choice([1, 1, 2, 3, 4, 9])
         rows.append((rng.choice([i, i, i, None]), rng.choice([" ", "\t\n", "\x0b "]).join(w)))
     return spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
