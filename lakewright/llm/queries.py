@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import bpe, embeddings, language, license_rules, mixing, periodic_runs, quality_cnn, quality_rules, simhash, suffix_dedup, token_files
+from lakewright.llm import bpe, embeddings, language, license_rules, mixing, periodic_runs, quality_cnn, quality_rules, secret_scan, simhash, suffix_dedup, token_files
 from lakewright.llm.sql import MIXING_SQL, QUALITY_RULES_SQL
 from lakewright.session import table
 
@@ -66,6 +66,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.planted_runs(table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.contract(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -79,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op9_quality_cnn": op9_quality_cnn,
         "op10_quality_rules": op10_quality_rules,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_secret_scan": op12_secret_scan,
         "pipeline": corpus_pipeline.run,
     }
 
