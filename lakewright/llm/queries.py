@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.llm import bpe, embeddings, language, license_rules, mixing, periodic_runs, quality_cnn, quality_rules, secret_scan, simhash, suffix_dedup, token_files
+from lakewright.llm import bpe, conversation_repair, embeddings, language, license_rules, mixing, periodic_runs, quality_cnn, quality_rules, secret_scan, simhash, suffix_dedup, token_files
 from lakewright.llm.sql import MIXING_SQL, QUALITY_RULES_SQL
 from lakewright.session import table
 
@@ -70,6 +70,10 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.contract(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -84,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op10_quality_rules": op10_quality_rules,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_secret_scan": op12_secret_scan,
+        "op13_conversation_repair": op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
 
