@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Limits of documents and chunks, in characters.
 TEXT_CAP, PAGE_CAP, SUMMARY = 900_000, 250_000, 180
-MAX_TERMS = 12
 
 
 #: What counts as white space in trims and collapses; the form works in Java and in RE2.
@@ -24,31 +23,6 @@ def normalise(text: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"\n{4,}", "\n\n\n"))
 
 
-def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def spaced(text: Column) -> Column:
-    """The tokens with two blanks between, one more at the ends: a phrase is found between single blanks, matches apart."""
-    return F.concat(F.lit("  "), F.array_join(tokens(text), "  "), F.lit("  "))
-
-
-def phrase_count(text_spaced: Column, phrase: str) -> Column:
-    want = " " + "  ".join(phrase.split(" ")) + " "
-    return ((F.length(text_spaced) - F.length(F.replace(text_spaced, F.lit(want), F.lit("")))) / len(want)).cast("long")
-
-
-def query_terms(query: str) -> list[str]:
-    """The first MAX_TERMS different terms of a query; a term with - or _ inside is a phrase of its parts."""
-    import re
-    import unicodedata
-
-    found = re.findall(r"[\w-]+", unicodedata.normalize("NFKC", query).lower())
-    terms = [" ".join(re.findall(r"[^\W_]+", t)) for t in found]
-    return list(dict.fromkeys(t for t in terms if t))[:MAX_TERMS]
-
-
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 

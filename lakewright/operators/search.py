@@ -1,15 +1,24 @@
-"""Hybrid retrieval: exact nearest neighbours, BM25, fused ranks, spread over files."""
+"""Hybrid retrieval for many queries: exact nearest neighbours, BM25, fused ranks, spread over files."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewright.functions.text import phrase_count, query_terms, spaced
+from lakewright.operators import text_index
+from lakewright.operators.text_index import best_of
 from lakewright.session import materialize
 
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF, TEXT_WEIGHT, BOTH = 60, 1.12, 0.003
+#: What a candidate gets for a place in its document, and for a title.
+ANCHOR, TITLE = 0.0015, 0.0012
+#: The columns that name such a place, and such a title.
+ANCHORS, TITLES = ("semantic_unit_id", "page", "slide", "sheet", "range", "source_label"), ("title", "section_title", "citation")
+#: Vectors fetched for each one wanted, before the cap of each file; and that cap's least value in a hybrid search.
+FETCH, HYBRID_CAP = 3, 4
+BLOCK = 4096
 
 
 def clamp(value: float | None, low: int, high: int) -> int:
@@ -23,73 +32,100 @@ def budget(k: float | None = 6) -> tuple[int, int]:
     return n, clamp(max(4 * n, 24), n, 80)
 
 
-def distance(vector: Column, query: list[float]) -> Column:
-    """Squared L2."""
-    return F.aggregate(F.zip_with(vector.cast("array<double>"), F.array(*[F.lit(float(x)) for x in query]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+def nearest(rows: DataFrame, probes: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", extra: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """(q, key, extra columns, distance, score, nr): the k rows at the smallest squared L2 distance from each probe (q, vector); ties by key.
 
-
-def nearest(chunks: DataFrame, query: list[float], k: int, vector: str = "embedding", key: str = "vec_id", file: str | None = None, cap: int = 2) -> DataFrame:
-    """The k rows at the smallest distance (ties by key), with distance and score; with file at most cap rows of each file.
-
-    Each task keeps its own best k (or cap rows a file), so that little is shuffled.
+    Blocks of rows meet blocks of probes, and each pair of blocks leaves k rows a probe. Vectors that are null, or that
+    hold a null or another number of components than the probe, are at no distance.
     """
-    d = chunks.withColumn("distance", distance(F.col(vector), query)).filter("distance IS NOT NULL")
-    if file:
-        d = d.withColumn("_n", F.row_number().over(Window.partitionBy(file).orderBy("distance", key))).filter(F.col("_n") <= cap).drop("_n")
-    return d.orderBy("distance", key).limit(k).withColumn("score", 1 / (1 + F.greatest("distance", F.lit(0.0))))
-
-
-def bm25(docs: DataFrame, query: str, limit: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The best documents for any of the query's terms: key and rank (negative; smaller is better).
-
-    Texts are read once: the counts for each document are written, and the corpus figures and scores come from those.
-    """
-    terms = query_terms(query)
-    n = clamp(limit, 1, 100)
-    if not terms:
-        return docs.limit(0).select(key, F.lit(0.0).alias("rank"))
-    counted = docs.select(key, spaced(F.col(text)).alias("_t")).select(key, F.array(*[phrase_count(F.col("_t"), t) for t in terms]).alias("tf"), F.greatest(F.size(F.split("_t", "  ")) - 2, F.lit(0)).alias("len"))
-    counted = materialize(counted, "term-counts")
-    corpus = counted.agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))]).alias("df"))
-    both = counted.filter(F.exists("tf", lambda x: x > 0)).join(F.broadcast(corpus))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log((F.col("N") - F.col("df")[i] + 0.5) / (F.col("df")[i] + 0.5))
-        tf = F.col("tf")[i]
-        score = score + F.greatest(idf, F.lit(LEAST_IDF)) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return both.select(key, F.round(-score, 6).alias("rank")).orderBy("rank", key).limit(n)
+    n, m = rows.count(), probes.count()
+    blocks, parts = max(1, -(-n // block)), max(1, -(-m // block))
+    to_all = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    left = rows.filter(whole(vector)).select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), to_all(parts).alias("part"), F.size(vector).alias("dim"), F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"), *extra)
+    right = probes.filter(whole("vector")).select(F.pmod(F.xxhash64("q"), F.lit(parts)).alias("part"), to_all(blocks).alias("block"), F.size("vector").alias("dim"), F.col("q").cast("long").alias("q"), F.col("vector").cast("array<double>").alias("v"))
+
+    def meet(have: pa.Table, want: pa.Table) -> pa.Table:
+        rows_, qs, ds = [], [], []
+        if have.num_rows and want.num_rows:
+            a, b = (t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (have, want))
+            keys = have["key"].to_numpy()
+            squares = (a * a).sum(axis=1)
+            for i, probe in enumerate(b):
+                at = np.arange(len(keys))
+                if len(at) > k:
+                    # what may be among the k best, by products; their distances are then taken exactly
+                    rough = squares - 2 * (a @ probe)
+                    at = np.flatnonzero(rough <= np.partition(rough, k - 1)[k - 1] + 1e-9 * (1 + squares.max() + probe @ probe))
+                d = ((a[at] - probe) ** 2).sum(axis=1)
+                best = np.lexsort((keys[at], d))[:k]
+                rows_.append(at[best])
+                ds.append(d[best])
+                qs.append(np.full(len(best), want["q"][i].as_py()))
+        joined = lambda x, t: np.concatenate(x).astype(t) if x else np.array([], t)
+        taken = have.select(["key", *extra]).take(pa.array(joined(rows_, np.int64)))
+        return taken.add_column(0, "q", pa.array(joined(qs, np.int64))).append_column("distance", pa.array(joined(ds, np.float64)))
+
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in extra)
+    found = left.groupBy("block", "part", "dim").cogroup(right.groupBy("block", "part", "dim")).applyInArrow(meet, f"q long, key long{kinds}, distance double")
+    return best_of(found, k, F.col("distance"), F.col("key")).withColumn("score", 1 / (1 + F.greatest("distance", F.lit(0.0))))
+
+
+def capped(found: DataFrame, k: int, file: str, cap: int) -> DataFrame:
+    """Of rows (q, nr, file) in order of nr: at most cap of each file, then the first k of each query, numbered anew."""
+    nth = F.row_number().over(Window.partitionBy("q", file).orderBy("nr"))
+    return best_of(found.withColumn("_n", nth).filter(F.col("_n") <= cap).drop("_n"), k, F.col("nr"))
+
+
+def anchor_bonus(row: DataFrame) -> Column:
+    """For a place in the document, and for a title, by those of the columns that row has; empty ones count as none."""
+    any_ = lambda names: F.coalesce(*[F.when(F.col(c).cast("string") != "", True) for c in names if c in row.columns], F.lit(False))
+    return F.when(any_(ANCHORS), ANCHOR).otherwise(0.0) + F.when(any_(TITLES), TITLE).otherwise(0.0)
 
 
 def fuse(vector_hits: DataFrame, text_hits: DataFrame) -> DataFrame:
-    """Joins both sides on id: vector (id, distance, score), text (id, rank); adds blended and both. A missing side counts nothing."""
-    v = vector_hits.select("id", F.col("score").alias("v_score"), F.row_number().over(Window.orderBy("distance", "id")).alias("rv"))
-    t = text_hits.select("id", F.col("rank").alias("t_rank"), F.row_number().over(Window.orderBy("rank", "id")).alias("rt"))
-    both = v.join(t, "id", "full_outer").withColumn("both", F.col("rv").isNotNull() & F.col("rt").isNotNull())
+    """Joins both sides on (q, id): vector (q, id, nr, score), text (q, id, nr, rank); adds blended and both. A missing side counts nothing."""
+    v = vector_hits.select("q", "id", F.col("score").alias("v_score"), F.col("nr").alias("rv"))
+    t = text_hits.select("q", "id", F.col("rank").alias("t_rank"), F.col("nr").alias("rt"))
+    both = v.join(t, ["q", "id"], "full_outer").withColumn("both", F.col("rv").isNotNull() & F.col("rt").isNotNull())
     blended = F.coalesce(1 / (RRF + F.col("rv")), F.lit(0.0)) + F.coalesce(TEXT_WEIGHT / (RRF + F.col("rt")), F.lit(0.0)) + F.when(F.col("both"), BOTH).otherwise(0.0)
     return both.withColumn("blended", blended)
 
 
 def diversify(candidates: DataFrame, k: int, cap: int = 2, file: str = "file") -> DataFrame:
-    """k candidates, one of each file first and then up to cap + 1, if that finds at least min(k, 2) files; else the best with cap of each file.
+    """k candidates of each query, one of each file first and then up to cap + 1, if that finds at least min(k, 2) files; else the best with cap of each file.
 
-    candidates holds id, file and the columns of fuse; at most a few hundred rows. Score: blended over the largest kept.
+    candidates holds q, id, file and the columns of fuse; at most a few hundred rows a query. Score: blended over the largest kept.
     """
     order = [F.col("blended").desc(), F.col("both").desc(), F.coalesce("v_score", F.lit(0.0)).desc(), F.coalesce("t_rank", F.lit(float("inf"))), F.col("id")]
-    all_ = Window.partitionBy()
-    d = candidates.withColumn("place", F.row_number().over(Window.orderBy(*order))).withColumn("nth", F.row_number().over(Window.partitionBy(file).orderBy("place")))
+    all_ = Window.partitionBy("q")
+    d = candidates.withColumn("place", F.row_number().over(all_.orderBy(*order))).withColumn("nth", F.row_number().over(Window.partitionBy("q", file).orderBy("place")))
     d = d.withColumn("_n", F.count("*").over(all_)).withColumn("_files", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(all_))
     two = (F.lit(cap > 1)) & (F.col("_n") > k) & (F.least("_files", F.lit(k)) >= min(k, 2))
     d = d.filter(F.col("nth") <= F.when(two, cap + 1).otherwise(cap))
-    d = d.withColumn("pos", F.row_number().over(Window.orderBy((two & (F.col("nth") > 1)).cast("int"), "place"))).filter(F.col("pos") <= k)
+    d = d.withColumn("pos", F.row_number().over(all_.orderBy((two & (F.col("nth") > 1)).cast("int"), "place"))).filter(F.col("pos") <= k)
     best = F.max("blended").over(all_)
     return d.withColumn("final_score", F.least(F.greatest(F.col("blended") / best, F.lit(0.0)), F.lit(1.0))).drop("_n", "_files")
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], k: int = 6) -> DataFrame:
-    """The k best documents by both signals. docs: doc_id, text, source; vectors: vec_id (a doc_id), embedding."""
+def candidates(rows: DataFrame, vectors: DataFrame, queries: DataFrame, k: float | None = 6, cap: int = 2) -> DataFrame:
+    """Both sides' best rows of each query with their fused ranks, bonuses and files. See hybrid."""
     n, wanted = budget(k)
-    v = nearest(vectors, vector, wanted).select(F.col("vec_id").alias("id"), "distance", "score")
-    t = bm25(docs, query, wanted).select(F.col("doc_id").alias("id"), "rank")
-    fused = materialize(fuse(v, t), "fused")  # 160 rows at most, used twice
-    files = docs.select(F.col("doc_id").alias("_id"), F.col("source").alias("file")).join(F.broadcast(fused.select("id")), F.col("_id") == F.col("id"), "left_semi")
-    return diversify(fused.join(files, F.col("id") == F.col("_id"), "left").drop("_id"), n)
+    probes = queries.filter("vector IS NOT NULL").select("q", "vector")
+    own = vectors.join(rows.select(F.col("id").alias("vec_id"), "file"), "vec_id", "left")
+    v = capped(nearest(own, probes, FETCH * wanted, extra=("file",)), wanted, "file", max(cap, HYBRID_CAP))
+    t = text_index.bm25(text_index.build(rows), queries, wanted)
+    fused = materialize(fuse(v.withColumnRenamed("key", "id"), t.withColumnRenamed("key", "id")), "fused")
+    named = rows.select("id", "file", anchor_bonus(rows).alias("bonus"))
+    d = fused.join(named, "id", "left").withColumn("bonus", F.coalesce("bonus", F.lit(0.0)))
+    # a row without a file is a file of its own
+    return d.withColumn("file", F.coalesce(F.col("file").cast("string"), F.concat(F.lit("id:"), F.col("id").cast("string")))).withColumn("blended", F.col("blended") + F.col("bonus"))
+
+
+def hybrid(rows: DataFrame, vectors: DataFrame, queries: DataFrame, k: float | None = 6, cap: int = 2) -> DataFrame:
+    """The k best rows for each query by both signals, spread over files.
+
+    rows: id, file, the index's text columns and any of the anchor columns; vectors: vec_id (an id), embedding; queries: q,
+    query (a text), vector (null: by text alone).
+    """
+    return diversify(candidates(rows, vectors, queries, k, cap), budget(k)[0], cap)

@@ -52,27 +52,8 @@ def test_canonical_url(spark):
     assert one(spark, text.canonical_url(F.lit("https://Ex.com:80?b=2&a=9&b=1&a=1"))) == "https://ex.com:80/?a=9&a=1&b=2&b=1"
 
 
-def test_budget_and_terms():
+def test_budget():
     assert search.budget(None) == (24, 80) and search.budget(0) == (1, 24) and search.budget(6) == (6, 24)
-    assert text.query_terms("Full-text ﬁle x x " + " ".join(f"t{i}" for i in range(20)))[:3] == ["full text", "file", "x"]
-
-
-def hits(spark, rows):
-    return spark.createDataFrame(rows, "id long, file string, v_score double, rv int, t_rank double, rt int, both boolean, blended double")
-
-
-def test_diversify_takes_each_file_first(spark):
-    rows = [(i, f, 1.0 - i / 10, i, None, None, False, 1.0 - i / 10) for i, f in enumerate("aaab")]
-    got = search.diversify(hits(spark, rows), 3).orderBy("pos").collect()
-    assert [r.id for r in got] == [0, 3, 1] and got[0].final_score == 1.0
-    alone = [(i, "a", 1.0, i, None, None, False, 1.0 - i / 10) for i in range(4)]
-    assert [r.id for r in search.diversify(hits(spark, alone), 6).orderBy("pos").collect()] == [0, 1]
-
-
-def test_a_missing_side(spark):
-    none = spark.createDataFrame([], "id long, distance double, score double")
-    words = spark.createDataFrame([(5, -2.0)], "id long, rank double")
-    assert [r.id for r in search.fuse(none, words).collect()] == [5]
 
 
 def test_longest_overlap(spark):
