@@ -32,8 +32,8 @@ def length_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.left("text", F.lit(T.TEXT_CAP))).alias("digest"), over.alias("cut"), F.when(over, F.lit(WARNING)).alias("warning"))
 
 
-@register("e3_chunks", rf"""
-WITH RECURSIVE n AS (SELECT doc_id, {NORMAL_SQL} AS t FROM documents),
+#: Windows of the texts t in n, as CTEs c and k.
+WINDOWS_SQL = rf"""
 c AS (
   SELECT doc_id, t, 0 AS no, 0 AS s, 0 AS e FROM n WHERE length(t) > 0
   UNION ALL
@@ -43,7 +43,11 @@ c AS (
     WHEN length(regexp_extract(w, '(?s)^(.*)(?:[.?!] |。)', 1)) > 1680 THEN length(regexp_extract(w, '(?s)^(.*)(?:[.?!] |。)', 1)) + 1
     ELSE 2400 END END
   FROM (SELECT *, substring(t, ns + 1, 2400) AS w FROM (SELECT *, CASE WHEN no = 0 THEN 0 ELSE greatest(e - 260, s + 1) END AS ns FROM c WHERE no = 0 OR e < length(t)))),
-k AS (SELECT doc_id, no, s, regexp_replace(substring(t, s + 1, e - s), {TRIM_SQL}) AS chunk FROM c WHERE no > 0)
+k AS (SELECT doc_id, no, s, regexp_replace(substring(t, s + 1, e - s), {TRIM_SQL}) AS chunk FROM c WHERE no > 0)"""
+
+
+@register("e3_chunks", rf"""
+WITH RECURSIVE n AS (SELECT doc_id, {NORMAL_SQL} AS t FROM documents), {WINDOWS_SQL}
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS no, s::BIGINT AS start, md5(chunk) AS digest FROM k WHERE chunk <> ''""")
 def chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("text"))
