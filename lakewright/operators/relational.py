@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakewright.operators.ordered import filled
+
 
 def latest_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in this order."""
@@ -14,26 +16,17 @@ def latest_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, reverse: bool = False) -> DataFrame:
     """left with value of the right row whose at is the largest that is not above by (reverse: the smallest not below).
 
-    Both sides meet in one ordered window per bucket of by, with carried values between buckets: no row pairs are made.
-    Among right rows with the same at the largest value is taken.
+    Both sides are put in one order and passed in ranges of about equal size, with the value that is open at a range's
+    start: no row pairs are made, and rows with the same by may lie in several ranges. Among right rows with the same at
+    the largest value is taken; null values are passed over.
     """
-    r = right.groupBy(F.col(at).alias("_at")).agg(F.max(value).alias("_v"))
-    both = left.withColumn("_at", F.col(by)).withColumn("_side", F.lit(1)).unionByName(r.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    # a bucket is a range partition; what is open at its start comes from the buckets before
-    way = F.col("_at").desc() if reverse else F.col("_at").asc()
-    both = both.withColumn("_b", F.floor(F.col("_at") / _width(both)))
-    last = both.filter("_side = 0").groupBy("_b").agg((F.min_by if reverse else F.max_by)("_v", "_at").alias("_last"))
-    buckets = both.select("_b").distinct().join(last, "_b", "left")
-    edge = Window.orderBy(F.col("_b").desc() if reverse else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = buckets.select("_b", F.last("_last", ignorenulls=True).over(edge).alias("_carried"))
-    w = Window.partitionBy("_b").orderBy(way, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_found", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1").join(carried, "_b")
-    return found.select(*[F.col(c) for c in left.columns], F.coalesce("_found", "_carried").alias(value))
-
-
-def _width(both: DataFrame, buckets: int = 64) -> Column:
-    low, high = both.agg(F.min("_at"), F.max("_at")).first()
-    return F.lit(max((float(high or 0) - float(low or 0)) / buckets, 1e-9))
+    r = right.groupBy(F.col(at).alias("_at0")).agg(F.max(value).alias("_v")).filter("_at0 IS NOT NULL")
+    both = left.withColumn("_at0", F.col(by)).withColumn("_side", F.lit(1)).unionByName(r.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    # left rows with the same by are told apart by all they hold
+    both = both.withColumn("_salt", F.xxhash64(*left.columns))
+    found = filled(both, [F.col("_at0").desc() if reverse else F.col("_at0").asc(), F.col("_side"), F.col("_salt")], "_v")
+    value_of = F.when(F.col("_at0").isNotNull(), F.col("found"))
+    return found.filter("_side = 1").select(*left.columns, value_of.alias(value))
 
 
 def best_overlap(items: DataFrame, spans: DataFrame, item: str, days: int) -> DataFrame:

@@ -9,6 +9,7 @@ from lakewright.functions import sheets as S
 from lakewright.plans.catalog import register
 from lakewright.plans.sheets import _nice_sql
 from lakewright.session import table
+from lakewright.streaming import frames
 
 @register("g2_counta", "SELECT user_id, count(*) FILTER (x IS NOT NULL AND x <> '') AS counta, count(*) FILTER (x IS NULL OR x = '') AS countblank FROM (SELECT user_id, CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN NULL ELSE event_type END AS x FROM events) GROUP BY user_id")
 def counta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +164,26 @@ def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_id", F.try_element_at("e", F.lit(-1)).alias("event"), F.array_join("d", "\n").alias("data"))
 
 
+#: Bytes of a piece of a stream: a prime, so that cuts fall anywhere.
+PIECE = 97
+
+
+def stream_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stream, seq, data): each conversation as an event stream, a block a turn, with line ends of both sorts, cut into pieces of bytes."""
+    end = F.when(F.col("turn") % 2 == 0, "\n").otherwise("\r\n")
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("data: "), x))
+    block = F.concat(F.lit(": turn"), end, F.lit("event:"), F.col("role"), end, F.array_join(lines, "\n"), end, end)
+    d = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("stream")).agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))).alias("blocks"))
+    whole = F.encode(F.array_join(F.transform("blocks", lambda b: b["block"]), ""), "utf-8")
+    d = d.select("stream", whole.alias("whole")).withColumn("seq", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("whole") - 1) / PIECE).cast("int"))))
+    return d.select("stream", F.col("seq").cast("long").alias("seq"), F.substring("whole", F.col("seq") * PIECE + 1, F.lit(PIECE)).alias("data"))
+
+
+@register("m2_framed_events", "SELECT conv_id AS stream, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role AS event, text AS data FROM conversations")
+def framed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.events(stream_pieces(spark, sf_dir))
+
+
 @register("m5_segments", "SELECT conv_id, turn, coalesce(sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS segment FROM conversations")
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)

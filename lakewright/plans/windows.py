@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakewright.operators.ordered import running
 from lakewright.operators.relational import latest_per
 from lakewright.plans.catalog import register
 from lakewright.session import table
-from lakewright.streaming.timeline import deltas, run_states, turns
+from lakewright.streaming.timeline import run_states, running_digests, turns
 
 
 @register("i1_latest_per_scope", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
@@ -52,10 +53,32 @@ def carried_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("run"))
 
 
-@register("i15_budgeted_eviction", "SELECT source, doc_id FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS used FROM documents WHERE doc_id >= 100) WHERE used <= 20000")
+#: What a cache may hold: days since the table's last event, and hundredths of value.
+MAX_DAYS, MAX_SIZE = 20, 500_000
+
+
+def evicted(entries: DataFrame, by: str, age_days: int, budget: int) -> DataFrame:
+    """entries (by, id, at, size) with kept: those not older than age_days, less the oldest ones until each cache is within its budget.
+
+    So the newest stay while their sizes, summed from the newest on, are within it. Caches are cut into ranges: a cache of
+    most entries is no task of its own.
+    """
+    now = entries.agg(F.max("at").alias("_now"))  # one row
+    d = entries.join(F.broadcast(now), F.lit(True)).withColumn("_old", ~F.coalesce(F.col("at") >= F.col("_now") - F.make_dt_interval(F.lit(age_days)), F.lit(False)))
+    d = d.withColumn("_size", F.when(F.col("_old"), 0).otherwise(F.col("size")))
+    d = running(d, [F.col("at").desc(), F.col("id").desc()], (by,), "_size")
+    return d.select(*entries.columns, (~F.col("_old") & (F.col("total") <= budget)).alias("kept"))
+
+
+@register(
+    "i15_budgeted_eviction",
+    f"""WITH e AS (SELECT event_type, event_id, round(value * 100)::BIGINT AS size, ts, ts < (SELECT max(ts) FROM events) - INTERVAL {MAX_DAYS} DAY AS old FROM events),
+s AS (SELECT *, sum(CASE WHEN old THEN 0 ELSE coalesce(size, 0) END) OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS total FROM e)
+SELECT event_type, event_id, NOT old AND total <= {MAX_SIZE} AS kept FROM s""",
+)
 def eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy(F.col("doc_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "documents").filter("doc_id >= 100").select("source", "doc_id", F.sum("n_chars").over(w).alias("used")).filter("used <= 20000").select("source", "doc_id")
+    entries = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("id"), F.col("ts").alias("at"), F.round(F.col("value") * 100).cast("long").alias("size"))
+    return evicted(entries, "event_type", MAX_DAYS, MAX_SIZE).select("event_type", F.col("id").alias("event_id"), "kept")
 
 
 @register("i16_offsets", "SELECT l_orderkey, l_linenumber, round(coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) AS start FROM lineitem")
@@ -67,7 +90,7 @@ def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("m4_delta_accumulation", "SELECT conv_id, turn, md5(string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS digest FROM conversations WHERE role = 'assistant'")
 def accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
-    return deltas(d, ["conv_id"], "turn", "text").select("conv_id", "turn", F.md5("running").alias("digest"))
+    return running_digests(d, "conv_id", "turn", "text").select("conv_id", "turn", "digest")
 
 
 @register("m9_run_status", "SELECT user_id, arg_max(CASE event_type WHEN 'signup' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END, event_id) FILTER (event_type IN ('signup', 'purchase', 'error')) AS status, max(event_id) FILTER (event_type IN ('signup', 'purchase', 'error')) AS seq FROM events WHERE event_type IN ('signup', 'purchase', 'error') GROUP BY user_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakewright.operators.ordered import running
 from lakewright.plans.catalog import register
 from lakewright.session import table
 
@@ -228,13 +229,13 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 VERSIONS = "SELECT p_partkey, CAST(p_size % 4 AS VARCHAR(4)) || '.' || CAST(p_partkey % 23 AS VARCHAR(4)) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '.' || CAST(p_partkey % 13 AS VARCHAR(4)) END AS version FROM part"
 
 
-@register("e41_version_order", f"SELECT p_partkey, version, row_number() OVER (ORDER BY split_part(version, '.', 1)::INT, split_part(version, '.', 2)::INT, coalesce(TRY_CAST(split_part(version, '.', 3) AS INT), 0), p_partkey) AS place FROM ({VERSIONS})")
+@register("e41_version_order", rf"SELECT p_partkey, version, row_number() OVER (ORDER BY coalesce(TRY_CAST(regexp_extract(v, '^(\d+)', 1) AS BIGINT), 0), coalesce(TRY_CAST(regexp_extract(v, '^\d+\.(\d+)', 1) AS BIGINT), 0), coalesce(TRY_CAST(regexp_extract(v, '^\d+\.\d+\.(\d+)', 1) AS BIGINT), 0), p_partkey) AS place FROM (SELECT *, trim(version) AS v FROM ({VERSIONS}))")
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions by their numbers; a part that is missing is zero."""
+    """Versions by their first three numbers; one that is missing, or not a number, is zero. Places are counted in ranges."""
     v = spark.sql(VERSIONS.replace("FROM part", "FROM {p}"), p=table(spark, sf_dir, "part"))
-    number = F.transform(F.split("version", r"\."), lambda x: x.cast("int"))
-    order = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.coalesce(F.get(number, i), F.lit(0)))
-    return v.select("p_partkey", "version", F.row_number().over(Window.orderBy(order, "p_partkey")).cast("long").alias("place"))
+    number = lambda i: F.coalesce(F.expr(f"try_cast(regexp_extract(trim(version), '^(\\\\d+)(?:\\\\.(\\\\d+))?(?:\\\\.(\\\\d+))?', {i}) AS BIGINT)"), F.lit(0))
+    v = v.withColumns({f"n{i}": number(i) for i in (1, 2, 3)})
+    return running(v, [F.col(c) for c in ("n1", "n2", "n3", "p_partkey")]).select("p_partkey", "version", "place")
 
 
 @register("e36_week_expression", r"""WITH e AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'all weeks' WHEN 1 THEN 'odd weeks' WHEN 2 THEN 'Even' WHEN 3 THEN '9-3' WHEN 4 THEN '1,4 , ' || (p_partkey % 30) ELSE 'none' END AS x FROM part),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,31 @@ def deltas(records: DataFrame, keys: list[str], order: str, text: str) -> DataFr
     return records.withColumn("running", F.array_join(F.collect_list(text).over(w), ""))
 
 
+def running_digests(records: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """(key, order, digest, length): the MD5 of all texts of the key up to each record, and their characters; null texts are empty.
+
+    A task reads its keys' records in order and holds one digest, so work is in proportion to the texts. A key's records
+    are one sequence by nature: each digest goes on from the one before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, digest, length, begun = None, hashlib.md5(), 0, False
+        for batch in batches:
+            digests, lengths = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if not begun or k != last:
+                    last, digest, length, begun = k, hashlib.md5(), 0, True
+                digest.update((t or "").encode())
+                length += len(t or "")
+                digests.append(digest.hexdigest())
+                lengths.append(length)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(lengths, pa.int64())], [key, order, "digest", "length"])
+
+    d = records.select(key, order, text).repartition(key).sortWithinPartitions(key, order)
+    kind = lambda c: d.schema[c].dataType.simpleString()
+    return d.mapInArrow(run, f"{key} {kind(key)}, {order} {kind(order)}, digest string, length long")
+
+
 def state_of(kind: F.Column) -> F.Column:
     out = F.lit(None).cast("string")
     for k, v in STATES.items():
@@ -55,3 +82,20 @@ def live_deltas(records: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["conv_id", "turn", "running"])
 
     return records.groupBy("conv_id").applyInPandasWithState(grow, "conv_id long, turn long, running string", "so_far string", "append", "NoTimeout")
+
+
+def live_digests(records: DataFrame) -> DataFrame:
+    """running_digests for a stream of (conv_id, turn, text), in order: each batch reads a conversation's text so far once, not once a record."""
+
+    def grow(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        so_far = state.get[0] if state.exists else ""
+        rows = pd.concat(frames).sort_values("turn")
+        digest, length, out = hashlib.md5(so_far.encode()), len(so_far), []
+        for turn, text in zip(rows["turn"], rows["text"]):
+            digest.update((text or "").encode())
+            length += len(text or "")
+            out.append((key[0], turn, digest.hexdigest(), length))
+        state.update((so_far + "".join(t or "" for t in rows["text"]),))
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "digest", "length"])
+
+    return records.groupBy("conv_id").applyInPandasWithState(grow, "conv_id long, turn long, digest string, length long", "so_far string", "append", "NoTimeout")
