@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakewright.functions.text import SPACE, collapsed
 from lakewright.operators.ordered import running
 from lakewright.plans.catalog import register
 from lakewright.session import table
@@ -34,15 +35,18 @@ def task_id(section: Column, path: Column) -> Column:
     return F.when(own != "", own).otherwise(F.nullif(F.regexp_extract(path, "/Task/(task-[^/]+)", 1), F.lit("")))
 
 
+#: A whole part of a path that names a week.
+WEEK_PART = r"(?i)(?:^|/)(?:week|wk|第)\s*([0-9]{1,2})\s*周?(?:/|$)"
+
+
 def lecture_week(path: Column) -> Column:
-    western = F.regexp_extract(path, r"(?i)(?:week|wk)[ _-]*([0-9]{1,2})", 1)
-    chinese = F.regexp_extract(path, r"第 *([0-9]{1,2}) *周", 1)
-    return F.coalesce(F.nullif(western, F.lit("")), F.nullif(chinese, F.lit(""))).cast("int")
+    """From the first part of the path that is nothing but a week's name; weeks count from 1."""
+    return F.nullif(F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), WEEK_PART, 1).try_cast("int"), F.lit(0))
 
 
 KIND_SQL = "CASE WHEN strpos(section_id, ':lecture') > 0 OR strpos(path, '/Lecture/') > 0 THEN 'lecture' WHEN strpos(section_id, ':task-') > 0 OR strpos(path, '/Task/') > 0 THEN 'task' WHEN strpos(section_id, ':shared') > 0 OR strpos(path, '/Course shared/') > 0 OR strpos(path, '/Semester shared/') > 0 THEN 'course_shared' END"
 TASK_SQL = "CASE WHEN regexp_extract(section_id, ':task-(.+)$', 1) <> '' THEN regexp_replace(regexp_extract(section_id, ':task-(.+)$', 1), '^task-task-', 'task-') ELSE nullif(regexp_extract(path, '/Task/(task-[^/]+)', 1), '') END"
-WEEK_SQL = "coalesce(nullif(regexp_extract(path, '(?i)(?:week|wk)[ _-]*([0-9]{1,2})', 1), ''), nullif(regexp_extract(path, '第 *([0-9]{1,2}) *周', 1), ''))::INT"
+WEEK_SQL = rf"nullif(TRY_CAST(regexp_extract(replace(path, '\', '/'), '{WEEK_PART}', 1) AS INT), 0)"
 
 
 @register("b3_soft_deleted", "SELECT o_orderkey, o_orderstatus = 'F' AS archived FROM orders WHERE CASE WHEN o_orderstatus = 'F' THEN o_orderdate END IS NULL UNION ALL SELECT o_orderkey, true FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1998-01-01'")
@@ -73,10 +77,16 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("doc_id", task_id(F.col("section_id"), F.col("path")).alias("task"))
 
 
-@register("b11_control_files", f"SELECT doc_id FROM ({FILES}) WHERE NOT (parse_filename(path) IN ('plan.pdf', 'x.txt') OR list_contains(string_split(path, '/'), 'inbox'))")
+#: Names of files and folders that a workspace's own tools keep.
+CONTROL_FILE, CONTROL_FOLDERS = "Plan.PDF", ("inbox", ".state", ".context")
+
+
+@register("b11_control_files", f"SELECT doc_id FROM ({FILES}) WHERE NOT (lower(parse_filename(path)) = lower('{CONTROL_FILE}') OR lower(parse_filename(source)) = lower('{CONTROL_FILE}') OR list_has_any(string_split(replace(path, chr(92), '/'), '/'), {list(CONTROL_FOLDERS)}))")
 def control_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.split("path", "/")
-    return files(spark, sf_dir).filter(~(F.element_at(parts, -1).isin("plan.pdf", "x.txt") | F.array_contains(parts, "inbox"))).select("doc_id")
+    """Without files of that name, whatever its case, and without those below such a folder."""
+    name = lambda c: F.lower(F.element_at(F.split(c, "/"), -1)) == CONTROL_FILE.lower()
+    below = F.arrays_overlap(F.split(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), "/"), F.array(*map(F.lit, CONTROL_FOLDERS)))
+    return files(spark, sf_dir).filter(~(name("path") | name("source") | below)).select("doc_id")
 
 
 #: Parts of messages that forbid and that allow another try.
@@ -107,19 +117,54 @@ def retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("event_id", retryable(F.col("message")).alias("retry"))
 
 
-@register("e39_clean_error", rf"SELECT event_id, trim(regexp_replace(regexp_replace(message, '^(?:Error: *)+', ''), '[ \t\n]+', ' ', 'g')) AS message FROM ({MESSAGES})")
-def clean_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, sf_dir).select("event_id", F.trim(F.regexp_replace(F.regexp_replace("message", "^(?:Error: *)+", ""), "[ \t\n]+", " ")).alias("message"))
+#: What is taken off a message's start, each once, in this order.
+ERROR_HEADS = ("Error invoking remote method '[^']+':", "Error:", "API Error:", "Provider error:", "Agent error:")
+#: Turns of conversations as messages, with such heads before them in several orders and cases.
+REPORTS = """SELECT conv_id, turn, CASE CAST(turn % 7 AS INT) WHEN 0 THEN 'Error: Error: ' WHEN 1 THEN 'error invoking remote method ''save'': API ERROR:  ' WHEN 2 THEN 'Error: api error: Provider error:' WHEN 3 THEN 'Agent Error: Error: ' WHEN 4 THEN ' Error: ' WHEN 5 THEN 'PROVIDER ERROR: agent error:' ELSE '' END || text AS message FROM conversations"""
+_BARE = "message"
+for _head in ERROR_HEADS:
+    _BARE = f"regexp_replace({_BARE}, '(?i)^{_head.replace(chr(39), chr(39) * 2)}{SPACE}*', '')"
 
 
-@register("b15_file_status", """WITH l AS (SELECT user_id, max_by(event_type, event_id) AS last, count(*) FILTER (event_type = 'purchase') AS done FROM events GROUP BY user_id)
-SELECT c_custkey, CASE last WHEN 'view' THEN 'queued' WHEN 'click' THEN 'indexing' WHEN 'error' THEN CASE WHEN done > 0 THEN 'partial' ELSE 'failed' END WHEN 'purchase' THEN 'indexed' WHEN 'signup' THEN 'cancelled' ELSE 'idle' END AS status FROM customer LEFT JOIN l ON c_custkey = user_id""")
+@register("e39_clean_error", f"SELECT conv_id, turn, md5(trim(regexp_replace({_BARE}, '{SPACE}+', ' ', 'g'))) AS digest, left(trim(regexp_replace({_BARE}, '{SPACE}+', ' ', 'g')), 20) AS head FROM ({REPORTS})")
+def clean_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.sql(REPORTS.replace("FROM conversations", "FROM {c}"), c=table(spark, sf_dir, "conversations"))
+    message = F.col("message")
+    for head in ERROR_HEADS:
+        message = F.regexp_replace(message, f"(?i)^{head}{SPACE}*", "")
+    message = collapsed(message)
+    return d.select("conv_id", "turn", F.md5(message).alias("digest"), F.left(message, F.lit(20)).alias("head"))
+
+
+@register(
+    "b15_file_status",
+    """WITH l AS (SELECT user_id, max_by(event_type, event_id) AS task, max_by(CAST(props->>'$.k' AS INT), event_id) AS k, max_by(value, event_id) AS value FROM events GROUP BY user_id)
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'idle' WHEN task = 'view' THEN 'queued' WHEN task = 'click' THEN 'indexing' WHEN task = 'error' THEN 'failed' WHEN task = 'signup' THEN 'cancelled'
+  WHEN task = 'purchase' THEN CASE WHEN k // 30 = 0 AND value > 30 THEN 'skipped' WHEN k >= 60 THEN 'partial' ELSE 'indexed' END WHEN c_acctbal > 5000 THEN 'indexed' ELSE 'idle' END AS status
+FROM customer LEFT JOIN l ON c_custkey = user_id""",
+)
 def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file's status from its latest task; files without tasks are idle."""
-    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last"), F.count_if(F.col("event_type") == "purchase").alias("done"))
-    s = F.col("last")
-    status = F.when(s == "view", "queued").when(s == "click", "indexing").when((s == "error") & (F.col("done") > 0), "partial").when(s == "error", "failed").when(s == "purchase", "indexed").when(s == "signup", "cancelled").otherwise("idle")
-    return table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("user_id"), "left").select("c_custkey", status.alias("status"))
+    """A file's status from its latest task: a failed one stays failed; of a done one, no chunks with a warning is skipped, and what its result covers decides else.
+
+    Customers are files, those in debt folders, those of some wealth indexed before; events are tasks, whose property and
+    value give chunks (k // 30), coverage (partial from 60 on) and a warning (a value above 30).
+    """
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    last = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("task"), F.max_by("k", "event_id").alias("k"), F.max_by("value", "event_id").alias("value"))
+    d = table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("user_id"), "left")
+    done = F.when((F.floor(F.col("k") / 30) == 0) & (F.col("value") > 30), "skipped").when(F.col("k") >= 60, "partial").otherwise("indexed")
+    return d.select("c_custkey", file_status_of(F.col("c_acctbal") < 0, F.col("task"), done, F.col("c_acctbal") > 5000).alias("status"))
+
+
+#: States of tasks by kind of event.
+TASK_STATES = {"view": "queued", "click": "indexing", "error": "failed", "signup": "cancelled"}
+
+
+def file_status_of(folder: Column, task: Column, done: Column, indexed_before: Column) -> Column:
+    out = F.when(folder, "idle")
+    for kind, state in TASK_STATES.items():
+        out = out.when(task == kind, state)
+    return out.when(task == "purchase", done).when(indexed_before, "indexed").otherwise("idle")
 
 
 @register("c8_excluded_hits", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
@@ -161,13 +206,6 @@ def cascading_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("q", F.coalesce("exact", "by_end", "by_base").alias("id"))
 
 
-@register("c26_same_source", "SELECT page_id, min(page_id) OVER (PARTITION BY key) AS first_page FROM (SELECT page_id, regexp_replace(regexp_replace(lower(url), '#.*$', ''), '/+$', '') AS key FROM pages)")
-def same_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.regexp_replace(F.regexp_replace(F.lower("url"), "#.*$", ""), "/+$", "")
-    p = table(spark, sf_dir, "pages").select("page_id", key.alias("key"))
-    return p.join(p.groupBy("key").agg(F.min("page_id").alias("first_page")), "key").select("page_id", "first_page")
-
-
 @register("d3_latest_version", "SELECT source, max(doc_id) AS version FROM documents GROUP BY source")
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.max("doc_id").alias("version"))
@@ -204,12 +242,25 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("kind", "task").agg(F.count("*").alias("files"), F.when(failed > 0, "failed").when(ready == F.count("*"), "ready").otherwise("indexing").alias("status"))
 
 
-@register("d21_markdown_statistics", r"""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(line, '^#{1,6} ')) AS headings, len(regexp_extract_all(any_value(text), '[^!]\[[^\]]*\]\([^)]*\)'))::BIGINT AS links, len(regexp_extract_all(any_value(text), '!\[[^\]]*\]\([^)]*\)'))::BIGINT AS images FROM l GROUP BY doc_id""")
+#: Pages as Markdown: headings, links of the navigation as rows of a table, the first address of it once more as a link, advertisements as images.
+MARKDOWN = r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<h1>', chr(10) || '# ', 'g'), '</h1>', chr(10), 'g'), '<li><a href="([^"]*)">([^<]*)</a></li>', chr(10) || '| [\2](\1) |', 'g'), '<div class="ad">([^<]*)</div>', chr(10) || '![\1](ad.png)', 'g'), '<p>', chr(10) || chr(10), 'g') AS text FROM pages"""
+
+
+@register("d21_markdown_statistics", rf"""WITH l AS (SELECT page_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM (SELECT page_id, string_split(text, chr(10)) AS lines FROM ({MARKDOWN}))),
+t AS (SELECT page_id, line, starts_with(trim(line), '|') AS row, coalesce(starts_with(trim(lag(line) OVER (PARTITION BY page_id ORDER BY i)), '|'), false) AS before FROM l),
+n AS (SELECT page_id, count(*) AS lines, count(*) FILTER (regexp_matches(line, '^#{{1,6}}\s+')) AS headings, count(*) FILTER (row AND NOT before) AS tables FROM t GROUP BY page_id)
+SELECT page_id, lines, headings, tables, len(regexp_extract_all(text, '(?:^|[^!])\[[^\]]+\]\([^)]+\)'))::BIGINT AS links, len(regexp_extract_all(text, '!\[[^\]]*\]\([^)]+\)'))::BIGINT AS images FROM n JOIN ({MARKDOWN}) USING (page_id)""")
 def markdown_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, headings, runs of table rows, links and images of each page."""
+    t = F.regexp_replace(F.regexp_replace("html", "<h1>", "\n# "), "</h1>", "\n")
+    t = F.regexp_replace(t, '<li><a href="([^"]*)">([^<]*)</a></li>', "\n| [$2]($1) |")
+    t = F.regexp_replace(F.regexp_replace(t, '<div class="ad">([^<]*)</div>', "\n![$1](ad.png)"), "<p>", "\n\n")
+    d = table(spark, sf_dir, "pages").select("page_id", t.alias("text"))
     lines = F.split("text", "\n")
+    row = lambda x: F.startswith(F.trim(x), F.lit("|"))
+    starts = F.filter(F.zip_with(lines, F.concat(F.array(F.lit("")), F.slice(lines, 1, F.size(lines) - 1)), lambda x, before: row(x) & ~row(before)), lambda x: x)
     n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: x.rlike("^#{1,6} "))).cast("long").alias("headings"), n(r"[^!]\[[^\]]*\]\([^)]*\)").alias("links"), n(r"!\[[^\]]*\]\([^)]*\)").alias("images"))
+    return d.select("page_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: x.rlike(r"^#{1,6}\s+"))).cast("long").alias("headings"), F.size(starts).cast("long").alias("tables"), n(r"(?:^|[^!])\[[^\]]+\]\([^)]+\)").alias("links"), n(r"!\[[^\]]*\]\([^)]+\)").alias("images"))
 
 
 @register("d25_sources_of_arrays", "SELECT o_orderkey, len(list_distinct([o_custkey % 3, o_custkey % 5, o_orderkey % 3] || [o_orderkey % 7] || CASE WHEN o_orderstatus = 'F' THEN [o_custkey % 3] ELSE [] END))::INT AS sources FROM orders")
@@ -238,26 +289,40 @@ def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running(v, [F.col(c) for c in ("n1", "n2", "n3", "p_partkey")]).select("p_partkey", "version", "place")
 
 
-@register("e36_week_expression", r"""WITH e AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'all weeks' WHEN 1 THEN 'odd weeks' WHEN 2 THEN 'Even' WHEN 3 THEN '9-3' WHEN 4 THEN '1,4 , ' || (p_partkey % 30) ELSE 'none' END AS x FROM part),
-w AS (SELECT unnest(range(1, 13)) AS week),
-h AS (SELECT p_partkey, week, regexp_matches(lower(x), 'all|every') AS every,
-  (regexp_matches(lower(x), 'odd|single') AND week % 2 = 1) OR (regexp_matches(lower(x), 'even|double') AND week % 2 = 0)
-  OR coalesce(week BETWEEN least(TRY_CAST(regexp_extract(x, '([0-9]{1,2})\s*-\s*([0-9]{1,2})', 1) AS INT), TRY_CAST(regexp_extract(x, '([0-9]{1,2})\s*-\s*([0-9]{1,2})', 2) AS INT)) AND greatest(TRY_CAST(regexp_extract(x, '([0-9]{1,2})\s*-\s*([0-9]{1,2})', 1) AS INT), TRY_CAST(regexp_extract(x, '([0-9]{1,2})\s*-\s*([0-9]{1,2})', 2) AS INT)), false)
-  OR list_contains(list_transform(regexp_extract_all(x, '[0-9]{1,2}'), lambda y: y::INT), week) AS hit FROM e, w),
+#: Full-width forms, which stand for ASCII ones.
+WIDE, NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+#: Words for all weeks, odd and even ones, and what stands between the ends of a range.
+ALL_WEEKS, ODD_WEEKS, EVEN_WEEKS = "all|every|全部|全周|所有|整学期", "odd|single|单周|单数周", "even|double|双周|双数周"
+WEEK_SPAN = r"([0-9]{1,2})\s*(?:-|~|–|—|to|至|到)\s*([0-9]{1,2})"
+WEEKS = 16
+#: Expressions, one for each part: its kind tells the form, its size and brand the numbers.
+WEEK_EXPRESSIONS = """SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN CASE WHEN p_size < 10 THEN 'Ａｌｌ weeks' WHEN p_size < 20 THEN '整学期' WHEN p_size < 30 THEN '' ELSE 'none' END
+ WHEN 'LARGE' THEN CASE WHEN p_size < 25 THEN 'ODD weeks' ELSE '单周' END WHEN 'MEDIUM' THEN CASE WHEN p_size < 25 THEN 'double, ' ELSE '双数周 ' END || p_size
+ WHEN 'PROMO' THEN p_size || ' 至 ' || replace(p_brand, 'Brand#', '') WHEN 'SMALL' THEN '第' || p_size || '–' || replace(p_brand, 'Brand#', '') || '周，１４' ELSE replace(p_brand, 'Brand#', '') || ',' || p_size || '; single' END AS x FROM part"""
+
+
+@register("e36_week_expression", f"""WITH e AS (SELECT p_partkey, trim(lower(translate(x, '{WIDE}', '{NARROW.replace(chr(39), chr(39) * 2)}'))) AS x FROM ({WEEK_EXPRESSIONS})),
+w AS (SELECT unnest(range(1, {WEEKS + 1})) AS week),
+h AS (SELECT p_partkey, week, x = '' OR regexp_matches(x, '{ALL_WEEKS}') AS every,
+  (regexp_matches(x, '{ODD_WEEKS}') AND week % 2 = 1) OR (regexp_matches(x, '{EVEN_WEEKS}') AND week % 2 = 0)
+  OR len(list_filter(list_zip(regexp_extract_all(x, '{WEEK_SPAN}', 1), regexp_extract_all(x, '{WEEK_SPAN}', 2)), lambda p: week BETWEEN least(p[1]::INT, p[2]::INT) AND greatest(p[1]::INT, p[2]::INT))) > 0
+  OR list_contains(list_transform(regexp_extract_all(x, '[0-9]{{1,2}}'), lambda y: y::INT), week) AS hit FROM e, w),
 s AS (SELECT *, bool_or(hit) OVER (PARTITION BY p_partkey) AS any_hit FROM h)
 SELECT p_partkey, string_agg(week::VARCHAR, ',' ORDER BY week) AS weeks FROM s WHERE every OR hit OR NOT any_hit GROUP BY p_partkey""")
 def week_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weeks 1 to 12 that an expression names: all, odd, even, ranges in either order, single numbers; all if it names none."""
-    k = F.col("p_partkey") % 6
-    x = F.when(k == 0, "all weeks").when(k == 1, "odd weeks").when(k == 2, "Even").when(k == 3, "9-3").when(k == 4, F.concat(F.lit("1,4 , "), (F.col("p_partkey") % 30).cast("string"))).otherwise("none")
-    d = table(spark, sf_dir, "part").select("p_partkey", F.lower(x).alias("x"))
-    span = r"([0-9]{1,2})\s*(?:-|~|–|—|to|至|到)\s*([0-9]{1,2})"
-    ends = F.zip_with(F.regexp_extract_all("x", F.lit(span), F.lit(1)), F.regexp_extract_all("x", F.lit(span), F.lit(2)), lambda a, b: F.struct(F.least(a.cast("int"), b.cast("int")).alias("a"), F.greatest(a.cast("int"), b.cast("int")).alias("b")))
-    numbers = F.transform(F.regexp_extract_all("x", F.lit("[0-9]{1,2}"), F.lit(0)), lambda y: y.cast("int"))
-    weeks = F.sequence(F.lit(1), F.lit(12))
-    hit = F.filter(weeks, lambda w: (F.col("x").rlike("odd|single") & (w % 2 == 1)) | (F.col("x").rlike("even|double") & (w % 2 == 0)) | F.exists(ends, lambda e: w.between(e["a"], e["b"])) | F.array_contains(numbers, w))
-    named = F.when(F.col("x").rlike("all|every") | (F.size(hit) == 0), weeks).otherwise(hit)
-    return d.select("p_partkey", F.array_join(named, ",").alias("weeks"))
+    """The weeks that an expression names: all, odd, even, ranges in either order, single numbers; all if it names none."""
+    d = spark.sql(WEEK_EXPRESSIONS.replace("FROM part", "FROM {p}"), p=table(spark, sf_dir, "part"))
+    d = d.select("p_partkey", F.trim(F.lower(F.translate("x", WIDE, NARROW))).alias("x"))
+    return d.select("p_partkey", F.array_join(named_weeks(F.col("x"), WEEKS), ",").alias("weeks"))
+
+
+def named_weeks(x: Column, last: int) -> Column:
+    """Of the weeks 1 to last; x in lower case."""
+    ends = F.zip_with(F.regexp_extract_all(x, F.lit(WEEK_SPAN), F.lit(1)), F.regexp_extract_all(x, F.lit(WEEK_SPAN), F.lit(2)), lambda a, b: F.struct(F.least(a.cast("int"), b.cast("int")).alias("a"), F.greatest(a.cast("int"), b.cast("int")).alias("b")))
+    numbers = F.transform(F.regexp_extract_all(x, F.lit("[0-9]{1,2}"), F.lit(0)), lambda y: y.cast("int"))
+    weeks = F.sequence(F.lit(1), F.lit(last))
+    hit = F.filter(weeks, lambda w: (x.rlike(ODD_WEEKS) & (w % 2 == 1)) | (x.rlike(EVEN_WEEKS) & (w % 2 == 0)) | F.exists(ends, lambda e: w.between(e["a"], e["b"])) | F.array_contains(numbers, w))
+    return F.when((x == "") | x.rlike(ALL_WEEKS) | (F.size(hit) == 0), weeks).otherwise(hit)
 
 
 @register("i4_first_warnings", f"SELECT user_id, message, place FROM (SELECT user_id, message, row_number() OVER (PARTITION BY user_id ORDER BY first) AS place FROM (SELECT user_id, message, min(event_id) AS first FROM ({MESSAGES}) GROUP BY ALL)) WHERE place <= 8")
@@ -303,10 +368,10 @@ def upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.join(new, "doc_id", "left_anti").unionByName(new)
 
 
-@register("l6_replace_scope", f"SELECT * FROM ({OLD_ROWS}) WHERE source <> 'src1' UNION ALL SELECT * FROM ({NEW_ROWS}) WHERE source = 'src1'")
+@register("l6_replace_scope", f"SELECT * FROM ({OLD_ROWS}) WHERE source <> 'src2' UNION ALL SELECT * FROM ({NEW_ROWS}) WHERE source = 'src2'")
 def replace_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _states(spark, sf_dir)
-    return old.filter("source <> 'src1'").unionByName(new.filter("source = 'src1'"))
+    return old.filter("source <> 'src2'").unionByName(new.filter("source = 'src2'"))
 
 
 @register("l13_cancel_job", "SELECT event_id, user_id, CASE WHEN user_id % 10 = 3 AND event_type IN ('view', 'click') THEN 'cancelled' ELSE event_type END AS state FROM events")
@@ -326,14 +391,6 @@ def json_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("m")["k"].cast("long").alias("k"), F.col("m")["note"].alias("note"), F.col("m")["owner"].cast("long").alias("owner"))
 
 
-@register("l16_proposals", "WITH p AS (SELECT page_id, page_id % 5 AS scope, regexp_replace(regexp_replace(lower(url), '[#?].*$', ''), '/+$', '') AS key, page_id % 4 = 0 AS failed FROM pages) SELECT scope, key, min(page_id) AS id, count(*) AS proposals, CASE WHEN arg_max(failed, page_id) THEN 'failed' ELSE 'proposed' END AS state FROM p GROUP BY scope, key")
-def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One proposal for each address in a scope; the last one's state counts, so one made again revives a failed one."""
-    key = F.regexp_replace(F.regexp_replace(F.lower("url"), "[#?].*$", ""), "/+$", "")
-    p = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 5).alias("scope"), key.alias("key"), (F.col("page_id") % 4 == 0).alias("failed"))
-    return p.groupBy("scope", "key").agg(F.min("page_id").alias("id"), F.count("*").alias("proposals"), F.when(F.max_by("failed", "page_id"), "failed").otherwise("proposed").alias("state"))
-
-
 @register("l17_stale_accepting", "SELECT event_id, CASE WHEN event_type = 'click' AND (SELECT max(ts) FROM events) - ts > INTERVAL 2 MINUTE THEN 'failed' ELSE event_type END AS state FROM events")
 def stale_accepting(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -350,9 +407,13 @@ def manual_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.when(manual, F.col("o_orderpriority")).otherwise("refreshed").alias("summary"), F.coalesce(due, F.col("o_orderdate")).alias("due"))
 
 
-@register("l19_item_ids", "SELECT c_custkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(lower(trim(c_name)), ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619::HUGEINT % 4294967296)::BIGINT) AS id FROM customer")
+ID_KINDS = "CASE WHEN c_mktsegment < 'C' THEN 'requirement' ELSE 'rubric' END"
+_DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+@register("l19_item_ids", f"WITH h AS (SELECT c_custkey, {ID_KINDS} AS kind, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(lower(trim(c_name)), ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619::HUGEINT % 4294967296)::BIGINT) AS h FROM customer) SELECT c_custkey, kind || '_' || coalesce(nullif(ltrim(array_to_string(list_transform([2176782336, 60466176, 1679616, 46656, 1296, 36, 1], lambda p: '{_DIGITS}'[(h // p % 36 + 1)::INT]), ''), '0'), ''), '0') AS id FROM h")
 def item_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FNV-1a over the characters of the normalised text, in 32 bits."""
+    """Kind, and FNV-1a over the characters of the normalised text, in 32 bits, to the base 36."""
     codes = F.transform(F.split(F.lower(F.trim("c_name")), ""), lambda c: F.ascii(c).cast("long"))
     mixed = F.aggregate(F.filter(codes, lambda c: c > 0), F.lit(2166136261).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619).cast("long"), F.lit(1 << 32).cast("long")))
-    return table(spark, sf_dir, "customer").select("c_custkey", mixed.alias("id"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.expr(ID_KINDS), F.lit("_"), F.lower(F.conv(mixed.cast("string"), 10, 36))).alias("id"))
