@@ -65,3 +65,22 @@ def nice_max(x: Column) -> Column:
     ratio = x / power
     large = power * F.when(ratio <= 1, 1.0).when(ratio <= 2, 2.0).when(ratio <= 5, 5.0).otherwise(10.0)
     return F.when(x.isNull() | F.isnan(x) | (x <= 0) | (x == float("inf")), 1.0).when(x <= 5, F.ceil(x).cast("double")).otherwise(large)
+
+
+def tick_unit(step: Column) -> Column:
+    """The least of 1, 2, 5 and 10 times a power of ten that is not below step; 1 if step is not above 0."""
+    base = F.pow(F.lit(10.0), F.floor(F.log10(step)))
+    part = step / base
+    return F.when(step > 0, base * F.when(part <= 1, 1).when(part <= 2, 2).when(part <= 5, 5).otherwise(10)).otherwise(1.0)
+
+
+def axis_ticks(low: Column, high: Column, unit: Column) -> Column:
+    """low if it is no multiple of unit, eight multiples at most up to high, high if it is none; the first seven of these. Null unit: a round one for four steps."""
+    u = F.when(unit > 0, unit).otherwise(tick_unit(F.greatest(high - low, F.lit(1e-9)) / 4))
+    first = F.ceil(low / u) * u
+    near = u * 0.001
+    own = F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: first + i * u), lambda x: x <= high + near)
+    end = F.coalesce(F.try_element_at(own, F.lit(-1)), low)
+    none = F.array().cast("array<double>")
+    ticks = F.concat(F.when(F.abs(first - low) > near, F.array(low)).otherwise(none), own, F.when(F.abs(end - high) > near, F.array(high)).otherwise(none))
+    return F.transform(F.slice(ticks, 1, 7), lambda x: F.round(x, 6) + 0)

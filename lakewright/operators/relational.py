@@ -44,6 +44,17 @@ def best_overlap(items: DataFrame, spans: DataFrame, item: str, days: int) -> Da
     return items.join(best, item, "left")
 
 
-def merge_by_file(target: DataFrame, source: DataFrame, file: str) -> DataFrame:
-    """target with all rows of the source's files replaced by the source."""
-    return target.join(source.select(file).distinct(), file, "left_anti").unionByName(source)
+def merge_by_id(target: DataFrame, source: DataFrame, key: str, file: str) -> DataFrame:
+    """The rows of both by key, with action: update and insert take the source's row, keep and delete are the target's.
+
+    Deleted are rows of the source's files that the source lacks. One full outer join; keys are each side's own and not
+    null. The merged table is what is not deleted.
+    """
+    columns = target.columns
+    t = target.select(*[F.col(c).alias(f"_t_{c}") for c in columns])
+    s = source.select(*[F.col(c).alias(f"_s_{c}") for c in columns])
+    files = source.select(F.col(file).alias("_file")).distinct()
+    d = t.join(s, F.col(f"_t_{key}") == F.col(f"_s_{key}"), "full_outer").join(files, F.col(f"_t_{file}").eqNullSafe(F.col("_file")), "left").withColumn("_hit", F.col("_file").isNotNull())
+    new, old = F.col(f"_s_{key}").isNotNull(), F.col(f"_t_{key}").isNotNull()
+    action = F.when(new & old, "update").when(new, "insert").when(F.col("_hit"), "delete").otherwise("keep")
+    return d.select(*[F.when(new, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")).alias(c) for c in columns], action.alias("action"))

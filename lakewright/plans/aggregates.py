@@ -12,15 +12,21 @@ from lakewright.session import table
 AS_OF = "2024-01-30"
 
 
-@register("d2_conditional_counts", """
-SELECT user_id, sum((event_type = 'purchase')::INT)::BIGINT AS done, sum((event_type = 'error')::INT)::BIGINT AS failed, count(*) AS total,
-  floor(100.0 * sum((event_type = 'purchase')::INT) / count(*) + 0.5)::BIGINT AS progress,
-  CASE WHEN sum((event_type = 'error')::INT) > 3 THEN 'failed' WHEN sum((event_type = 'purchase')::INT) = count(*) THEN 'indexed' ELSE 'indexing' END AS status
-FROM events GROUP BY user_id""")
+@register(
+    "d2_conditional_counts",
+    """WITH j AS (SELECT c_custkey, ts::DATE AS day, event_type AS s FROM customer LEFT JOIN events ON user_id = c_custkey),
+n AS (SELECT c_custkey, day, count(s) AS total, count(*) FILTER (s = 'purchase') AS done, count(*) FILTER (s = 'error') AS failed, count(*) FILTER (s = 'click') AS running, count(*) FILTER (s = 'view') AS queued FROM j GROUP BY c_custkey, day)
+SELECT c_custkey, day::VARCHAR AS day, done, failed, total, CASE WHEN total = 0 THEN 0 ELSE floor(100.0 * done / total + 0.5) END::BIGINT AS progress,
+  CASE WHEN total = 0 THEN 'idle' WHEN failed > 0 AND running = 0 AND queued = 0 THEN 'failed' WHEN done >= total THEN 'indexed' WHEN running > 0 THEN 'indexing' ELSE 'queued' END AS status FROM n""",
+)
 def conditional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done, failed = F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type") == "error")
-    d = table(spark, sf_dir, "events").groupBy("user_id").agg(done.alias("done"), failed.alias("failed"), F.count("*").alias("total"))
-    return d.withColumn("progress", F.floor(100.0 * F.col("done") / F.col("total") + 0.5).cast("long")).withColumn("status", F.when(F.col("failed") > 3, "failed").when(F.col("done") == F.col("total"), "indexed").otherwise("indexing"))
+    """A job is a customer's day: idle without tasks; failed once nothing runs or waits; indexed when all is done."""
+    n = lambda kind: F.count_if(F.col("event_type") == kind)
+    e = table(spark, sf_dir, "events").groupBy("user_id", F.col("ts").cast("date").cast("string").alias("day")).agg(F.count("*").alias("total"), n("purchase").alias("done"), n("error").alias("failed"), n("click").alias("running"), n("view").alias("queued"))
+    d = table(spark, sf_dir, "customer").select("c_custkey").join(e, F.col("c_custkey") == F.col("user_id"), "left").fillna(0, ["total", "done", "failed", "running", "queued"])
+    status = F.when(F.col("total") == 0, "idle").when((F.col("failed") > 0) & (F.col("running") == 0) & (F.col("queued") == 0), "failed").when(F.col("done") >= F.col("total"), "indexed").when(F.col("running") > 0, "indexing").otherwise("queued")
+    progress = F.when(F.col("total") == 0, 0).otherwise(F.floor(100.0 * F.col("done") / F.col("total") + 0.5)).cast("long")
+    return d.select("c_custkey", "day", "done", "failed", "total", progress.alias("progress"), status.alias("status"))
 
 
 @register("d1_filtered_count", "SELECT count(*) AS n, max(o_orderkey) AS top FROM orders WHERE o_orderstatus = 'O'")
@@ -84,16 +90,22 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("c_custkey", F.coalesce("no", F.lit(0)).alias("n_orders"), F.coalesce("nl", F.lit(0)).alias("n_lines"), F.greatest("lo", "ll").cast("date").cast("string").alias("last"))
 
 
+#: Weeks that a heat map shows if none are asked for, and the most that can be.
+WEEKS, MOST_WEEKS = 16, 30
+
+
 @register("d15_activity_heatmap", f"""
-WITH s AS (SELECT unnest(generate_series(date_trunc('week', DATE '{AS_OF}')::DATE - 7 * 3, date_trunc('week', DATE '{AS_OF}')::DATE + 6, INTERVAL 1 DAY))::DATE AS day),
+WITH s AS (SELECT unnest(generate_series(date_trunc('week', DATE '{AS_OF}')::DATE - 7 * {WEEKS - 1}, date_trunc('week', DATE '{AS_OF}')::DATE + 6, INTERVAL 1 DAY))::DATE AS day),
 a AS (SELECT ts::DATE AS day, sum(CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 ELSE 1 END)::BIGINT AS score FROM events GROUP BY 1)
 SELECT s.day::VARCHAR AS day, coalesce(score, 0)::BIGINT AS score, datediff('week', min(s.day) OVER (), s.day)::BIGINT AS week FROM s LEFT JOIN a USING (day)""")
-def heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def heatmap(spark: SparkSession, sf_dir: str, weeks: int = WEEKS) -> DataFrame:
+    """Every day of so many weeks, from 1 to 30, up to the week of the day asked for."""
+    back = 7 * (max(1, min(MOST_WEEKS, weeks)) - 1)
     monday = F.date_trunc("week", F.lit(AS_OF).cast("date")).cast("date")
-    spine = spark.range(1).select(monday.alias("m")).select("m", F.explode(F.sequence(F.date_sub("m", 21), F.date_add("m", 6))).alias("day"))
+    spine = spark.range(1).select(monday.alias("m")).select("m", F.explode(F.sequence(F.date_sub("m", back), F.date_add("m", 6))).alias("day"))
     score = F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "click", 2).otherwise(1)
     daily = table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.sum(score).alias("score"))
-    return spine.join(daily, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("score", F.lit(0)).alias("score"), F.floor(F.datediff("day", F.date_sub("m", 21)) / 7).cast("long").alias("week"))
+    return spine.join(daily, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("score", F.lit(0)).alias("score"), F.floor(F.datediff("day", F.date_sub("m", back)) / 7).cast("long").alias("week"))
 
 
 @register("d16_group_statistics", "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT props) AS paths, sum((value > 50)::INT)::BIGINT AS big FROM events GROUP BY event_type")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakewright.functions.text import TEXT_CAP
+from lakewright.operators.ordered import running
 from lakewright.plans.catalog import register
 from lakewright.session import table
 
@@ -103,14 +105,13 @@ def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(said, ["user_id", "request"]).groupBy("user_id", "tool").agg(F.max_by("decision", "first").alias("decision"))
 
 
-@register("e7_section_budget", "SELECT conv_id, turn, least(length(text), 900 - used)::INT AS n, md5(substring(text, 1, (900 - used)::INT)) AS digest FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM conversations) WHERE used < 900")
+@register("e7_section_budget", f"SELECT doc_id, lang, least(n, {TEXT_CAP} - used)::BIGINT AS n, md5(left(text, ({TEXT_CAP} - used)::BIGINT)) AS digest FROM (SELECT doc_id, lang, text, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM documents) WHERE used < {TEXT_CAP}")
 def section_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections are taken until the budget is used up; the last is cut."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
-    taken = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", used.alias("used")).filter("used < 900")
-    left = (F.lit(900) - F.col("used")).cast("int")
-    return taken.select("conv_id", "turn", F.least(F.length("text"), left).alias("n"), F.md5(F.substring("text", F.lit(1), left)).alias("digest"))
+    """Sections are taken until their file's budget is used up; the last is cut. The documents of a language are the sections of a file; lengths are summed up without the texts, in ranges."""
+    d = table(spark, sf_dir, "documents")
+    sums = running(d.select("doc_id", "lang", F.length("text").alias("n")), [F.col("doc_id")], ("lang",), "n")
+    taken = sums.withColumn("left", F.lit(TEXT_CAP) - (F.col("total") - F.coalesce("n", F.lit(0)))).filter("left > 0")
+    return d.select("doc_id", "text").join(taken, "doc_id").select("doc_id", "lang", F.least("n", "left").cast("long").alias("n"), F.md5(F.left("text", F.col("left").cast("int"))).alias("digest"))
 
 
 _LINKS = "SELECT page_id, CASE CAST(page_id % 5 AS INT) WHEN 0 THEN '  ' || url || '#top ' WHEN 1 THEN replace(url, 'http://', '') WHEN 2 THEN regexp_replace(url, '/[a-z]+/.*$', '') WHEN 3 THEN 'https:// bad' ELSE upper(url) END AS link FROM pages"

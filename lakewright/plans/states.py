@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakewright.operators.ordered import running
 from lakewright.plans.catalog import register
 from lakewright.session import table
 
@@ -57,8 +58,43 @@ def snapshot_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.join(new, "doc_id", "full_outer").select("doc_id", change.alias("change"))
 
 
-@register("l21_unique_names", "SELECT p_partkey, CASE WHEN n = 1 THEN lower(p_brand) ELSE lower(p_brand) || ' ' || n END AS name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS n FROM part)")
+#: Names to be given, some of which end in a number, and the names that are taken.
+WISHES = "SELECT p_partkey AS id, CASE p_type WHEN 'PROMO' THEN p_name || ' 2' WHEN 'SMALL' THEN '  ' || upper(p_name) || CASE WHEN p_size > 45 THEN ' 5' ELSE '' END ELSE replace(p_name, ' ', '  ') END AS name FROM part WHERE p_type <> 'LARGE'"
+TAKEN = "SELECT DISTINCT p_name || CASE WHEN p_size < 10 THEN '' WHEN p_size < 20 THEN ' 4' ELSE ' 3' END AS name FROM part WHERE p_type = 'LARGE' AND p_name < 'l'"
+_KEY = r"lower(regexp_replace(trim(name), '\s+', ' ', 'g'))"
+
+
+@register(
+    "l21_unique_names",
+    rf"""WITH w AS (SELECT id, trim(name) AS name, {_KEY} AS key FROM ({WISHES})), t AS (SELECT {_KEY} AS key FROM ({TAKEN})),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS r FROM w),
+own AS (SELECT key, 1 AS n FROM t UNION SELECT regexp_extract(key, '^(.*) [1-9][0-9]*$', 1), TRY_CAST(regexp_extract(key, ' ([1-9][0-9]*)$', 1) AS BIGINT) FROM (SELECT key FROM t UNION SELECT key FROM w) WHERE regexp_matches(key, ' [1-9][0-9]*$')),
+f AS (SELECT key, n, row_number() OVER (PARTITION BY key ORDER BY n) AS r FROM (SELECT key, unnest(range(1, m + 1)) AS n FROM (SELECT key, count(*) + (SELECT count(*) FROM own WHERE own.key = w.key) AS m FROM w GROUP BY key)) ANTI JOIN own USING (key, n))
+SELECT id, CASE WHEN n = 1 THEN name ELSE name || ' ' || n END AS name FROM r JOIN f USING (key, r)""",
+)
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(F.lower("p_brand")).orderBy("p_partkey"))
-    d = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("b"), n.alias("n"))
-    return d.select("p_partkey", F.when(F.col("n") == 1, F.col("b")).otherwise(F.concat("b", F.lit(" "), F.col("n").cast("string"))).alias("name"))
+    part = table(spark, sf_dir, "part")
+    ask = lambda sql: spark.sql(sql.replace("FROM part", "FROM {p}"), p=part)
+    return name_apart(ask(WISHES), ask(TAKEN))
+
+
+def name_apart(wishes: DataFrame, taken: DataFrame) -> DataFrame:
+    """(id, name): each wish (id, name) gets its name if it is free, else the smallest number from 2 on behind it that is; by id.
+
+    Names are compared without case and with single blanks. Free is what is neither taken nor another wish's own name, so
+    no two results are alike. Numbers that are used lie in one order with the wishes, in ranges: of a wish's place among
+    those of its name, and the used numbers below, its number follows; no task holds a name's rows.
+    """
+    key = F.lower(F.regexp_replace(F.trim("name"), r"\s+", " "))
+    w = wishes.select("id", F.trim("name").alias("name"), key.alias("key"))
+    w = running(w, [F.col("id")], ("key",)).select("id", "name", "key", F.col("place").alias("at"))
+    number = r" ([1-9][0-9]*)$"
+    all_ = taken.select(key.alias("key")).unionByName(w.select("key")).distinct().filter(F.col("key").rlike(number))
+    used = all_.select(F.regexp_replace("key", number, "").alias("key"), F.regexp_extract("key", number, 1).try_cast("long").alias("n")).filter("n IS NOT NULL")
+    used = used.unionByName(taken.select(key.alias("key"), F.lit(1).cast("long").alias("n"))).distinct()
+    # below the k-th used number n there are n - k free ones
+    used = running(used, [F.col("n")], ("key",)).select("key", (F.col("n") - F.col("place") + 1).alias("at"), F.lit(1).alias("used"))
+    both = w.withColumn("used", F.lit(0)).unionByName(used, allowMissingColumns=True)
+    d = running(both, [F.col("at"), F.col("used").desc(), F.col("id")], ("key",), "used").filter("used = 0")
+    n = F.col("at") + F.col("total")
+    return d.select("id", F.when(n == 1, F.col("name")).otherwise(F.concat("name", F.lit(" "), n.cast("string"))).alias("name"))

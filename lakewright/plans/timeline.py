@@ -80,13 +80,22 @@ def bar_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(S.nice_max(F.col("s")).alias("stacked"), S.nice_max(F.col("m")).alias("clustered"), F.lit(100.0).alias("percent"))
 
 
-@register("h6_axis_ticks", "SELECT p_partkey, array_to_string(list_transform(range(least(7, (p_size * 10) // u + 1)), lambda i: (i * u)::VARCHAR), ',') || CASE WHEN (p_size * 10) % u <> 0 AND (p_size * 10) // u + 1 < 7 THEN ',' || (p_size * 10) ELSE '' END AS ticks FROM (SELECT p_partkey, p_size, 5 * (1 + p_partkey % 5) AS u FROM part)")
+_AXIS = "SELECT p_partkey, (p_size - 25) * 1.5::DOUBLE AS low, (p_size - 25) * 1.5::DOUBLE + p_retailprice / (10 + p_size) AS high, CASE WHEN p_type = 'LARGE' THEN p_size::DOUBLE END AS major FROM part"
+_STEP = "(high - low) / 4 / pow(10, floor(log10((high - low) / 4)))"
+
+
+@register(
+    "h6_axis_ticks",
+    f"""WITH a AS (SELECT *, coalesce(major, pow(10, floor(log10((high - low) / 4))) * CASE WHEN {_STEP} <= 1 THEN 1 WHEN {_STEP} <= 2 THEN 2 WHEN {_STEP} <= 5 THEN 5 ELSE 10 END) AS unit FROM ({_AXIS})),
+v AS (SELECT *, ceil(low / unit) * unit AS first FROM a),
+t AS (SELECT *, list_transform(list_filter(range(8), lambda i: first + i * unit <= high + unit * 0.001), lambda i: round(first + i * unit, 6) + 0) AS own FROM v)
+SELECT p_partkey, list_transform((CASE WHEN abs(first - low) > unit * 0.001 THEN [low] ELSE [] END || own || CASE WHEN abs(coalesce(own[-1], low) - high) > unit * 0.001 THEN [high] ELSE [] END)[1:7], lambda x: round(x, 6) + 0) AS ticks FROM t""",
+)
 def axis_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multiples of the unit from 0 on, and the axis' end if it is none of them; seven at most."""
-    top, unit = (F.col("p_size") * 10).cast("long"), F.lit(5).cast("long") * (1 + F.col("p_partkey") % 5)
-    ticks = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(top / unit)), lambda i: i * unit)
-    ticks = F.when(top % unit != 0, F.array_append(ticks, top)).otherwise(ticks)
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.slice(ticks, 1, 7), ",").alias("ticks"))
+    """The axis' start, multiples of the unit from there on, and its end; seven at most. Without a unit of its own the axis has a round one for four steps."""
+    low = (F.col("p_size") - 25) * 1.5
+    d = table(spark, sf_dir, "part").select("p_partkey", low.alias("low"), (low + F.col("p_retailprice") / (10 + F.col("p_size"))).alias("high"), F.when(F.col("p_type") == "LARGE", F.col("p_size").cast("double")).alias("major"))
+    return d.select("p_partkey", S.axis_ticks(F.col("low"), F.col("high"), F.col("major")).alias("ticks"))
 
 
 TURNS_SQL = "SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM conversations"
@@ -97,13 +106,34 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumn("run", F.sum((F.col("role") == "user").cast("int")).over(w))
 
 
-@register("i7_run_summary", f"SELECT conv_id, run, CASE WHEN count(*) FILTER (role = 'assistant' AND contains(text, '?')) > 0 THEN 'asked' WHEN count(*) FILTER (role = 'assistant') > 0 THEN 'completed' ELSE 'running' END AS status, greatest(0, coalesce(max(turn) FILTER (role = 'assistant'), max(turn)) - min(turn)) AS duration FROM ({TURNS_SQL}) WHERE run > 0 GROUP BY conv_id, run")
+#: Events of users as runs: a view is an input, an error ends the run in a way that its property tells, a purchase is a result.
+RUNS_SQL = """r AS (SELECT *, CAST(props->>'$.k' AS INT) AS k, sum((event_type = 'view')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM events)"""
+_ENDED = "CASE WHEN {k} < 30 THEN 'failed' WHEN {k} < 60 THEN 'stopped' ELSE 'interrupted' END"
+_RESULT = "CASE WHEN {v} > 50 THEN 'completed' WHEN {k} < 30 THEN 'stopped' WHEN {k} < 60 THEN 'interrupted' ELSE 'failed' END"
+
+
+@register(
+    "i7_run_summary",
+    f"""WITH {RUNS_SQL},
+g AS (SELECT user_id, run, min(ts) AS started, arg_max(k, event_id) FILTER (event_type = 'error') AS lk, max(ts) FILTER (event_type = 'error') AS lts, arg_max(k, event_id) FILTER (event_type = 'purchase') AS rk, arg_max(value, event_id) FILTER (event_type = 'purchase') AS rv, max(ts) FILTER (event_type = 'purchase') AS rts,
+  arg_max(event_type, event_id) = 'click' AND run = max(run) OVER (PARTITION BY user_id) AS live FROM r WHERE run > 0 GROUP BY user_id, run)
+SELECT user_id, run, CASE WHEN lk IS NOT NULL THEN {_ENDED.format(k="lk")} WHEN rk IS NOT NULL THEN {_RESULT.format(k="rk", v="rv")} WHEN live THEN 'running' ELSE 'completed' END AS status,
+  greatest(0, (epoch_us(coalesce(lts, rts, (SELECT max(ts) FROM events))) - epoch_us(started)) // 1000) AS duration_ms FROM g""",
+)
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user input's run: a question back first, else an answer, else still running; never a negative duration."""
-    answer = F.col("role") == "assistant"
-    status = F.when(F.count_if(answer & F.contains("text", F.lit("?"))) > 0, "asked").when(F.count_if(answer) > 0, "completed").otherwise("running")
-    end = F.coalesce(F.max(F.when(answer, F.col("turn"))), F.max("turn"))
-    return _turns(spark, sf_dir).filter("run > 0").groupBy("conv_id", "run").agg(status.alias("status"), F.greatest(F.lit(0), end - F.min("turn")).alias("duration"))
+    """Each input's run: its lifecycle's end first, else its result, else still running if it is the last one and live, else completed."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("run", F.sum((F.col("event_type") == "view").cast("long")).over(w)).filter("run > 0")
+    last = lambda c, kind: F.max_by(F.when(F.col("event_type") == kind, F.col(c)), F.when(F.col("event_type") == kind, F.col("event_id")))
+    g = e.groupBy("user_id", "run").agg(F.min("ts").alias("started"), last("k", "error").alias("lk"), last("ts", "error").alias("lts"), last("k", "purchase").alias("rk"), last("value", "purchase").alias("rv"), last("ts", "purchase").alias("rts"), F.max_by("event_type", "event_id").alias("tail"))
+    g = g.withColumn("live", (F.col("tail") == "click") & (F.col("run") == F.max("run").over(Window.partitionBy("user_id"))))
+    now = table(spark, sf_dir, "events").agg(F.max("ts").alias("now"))  # one row
+    status = F.when(F.col("lk").isNotNull(), F.expr(_ENDED.format(k="lk"))).when(F.col("rk").isNotNull(), F.expr(_RESULT.format(k="rk", v="rv"))).when(F.col("live"), "running").otherwise("completed")
+    ended = F.coalesce("lts", "rts", "now")
+    micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    duration = F.greatest(F.lit(0), F.floor((micros(ended) - micros(F.col("started"))) / 1000))
+    return g.join(F.broadcast(now), F.lit(True)).select("user_id", "run", status.alias("status"), duration.alias("duration_ms"))
 
 
 @register("i8_last_retry", "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'error' GROUP BY user_id")
@@ -125,17 +155,26 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.withColumn("week", F.floor(i / 7).cast("long")).groupBy("week").agg(F.min("day").cast("string").alias("first_day"), F.sum("n").alias("n"))
 
 
-@register("i14_task_progress", """WITH r AS (SELECT user_id, max(event_id) AS reset FROM events WHERE event_type = 'signup' GROUP BY user_id),
-s AS (SELECT e.user_id, CASE WHEN event_id % 2 = 0 THEN 'todo:' ELSE 'task:' END || (event_id % 9) AS key, event_id, event_type FROM events e LEFT JOIN r USING (user_id) WHERE event_type <> 'signup' AND (event_id % 2 = 1 OR reset IS NULL OR event_id > reset))
-SELECT user_id, key, arg_max(event_type, event_id) AS state FROM s GROUP BY user_id, key HAVING arg_max(event_type, event_id) <> 'error'""")
+@register(
+    "i14_task_progress",
+    """WITH e AS (SELECT user_id || ':' || ts::DATE AS thread, event_id, event_type, CASE WHEN value > 50 THEN 'todo:' ELSE 'task:' END || (CAST(props->>'$.k' AS INT) // 25) AS key, value > 50 AS todo FROM events),
+r AS (SELECT thread, max(event_id) FILTER (event_type = 'signup') AS reset, max(event_id) FILTER (event_type = 'view') AS input, max(event_id) FILTER (event_type <> 'view') AS progress FROM e GROUP BY thread),
+s AS (SELECT thread, key, arg_max(event_type, event_id) AS state, any_value(input > progress) AS later FROM e JOIN r USING (thread) WHERE event_type IN ('click', 'purchase', 'error') AND (NOT todo OR reset IS NULL OR event_id > reset) GROUP BY thread, key),
+k AS (SELECT *, bool_and(state = 'purchase') OVER (PARTITION BY thread) AS done FROM s WHERE state <> 'error')
+SELECT thread, key, state FROM k WHERE NOT (done AND coalesce(later, false))""",
+)
 def task_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest state of each task; a full write clears all todos before it, a delete takes its task away."""
-    e = table(spark, sf_dir, "events")
-    reset = e.filter("event_type = 'signup'").groupBy("user_id").agg(F.max("event_id").alias("reset"))
-    todo = F.col("event_id") % 2 == 0
-    s = e.filter("event_type <> 'signup'").join(reset, "user_id", "left").filter(~todo | F.col("reset").isNull() | (F.col("event_id") > F.col("reset")))
-    key = F.concat(F.when(todo, "todo:").otherwise("task:"), (F.col("event_id") % 9).cast("string"))
-    return s.groupBy("user_id", key.alias("key")).agg(F.max_by("event_type", "event_id").alias("state")).filter("state <> 'error'")
+    """The latest state of each task of a thread: a full write (signup) clears the todos before it, a delete (error) takes its task away, and a list completed before the latest input (view) is gone."""
+    todo = F.col("value") > 50
+    key = F.concat(F.when(todo, "todo:").otherwise("task:"), F.floor(F.get_json_object("props", "$.k").cast("int") / 25).cast("string"))
+    e = table(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("ts").cast("date").cast("string")).alias("thread"), "event_id", "event_type", key.alias("key"), todo.alias("todo"))
+    latest = lambda kind: F.max(F.when(kind, F.col("event_id")))
+    kind = F.col("event_type")
+    r = e.groupBy("thread").agg(latest(kind == "signup").alias("reset"), latest(kind == "view").alias("input"), latest(kind != "view").alias("progress"))
+    s = e.join(r, "thread").filter(kind.isin("click", "purchase", "error") & (~F.col("todo") | F.col("reset").isNull() | (F.col("event_id") > F.col("reset"))))
+    s = s.groupBy("thread", "key").agg(F.max_by("event_type", "event_id").alias("state"), F.any_value(F.col("input") > F.col("progress")).alias("later")).filter("state <> 'error'")
+    done = F.bool_and(F.col("state") == "purchase").over(Window.partitionBy("thread"))
+    return s.withColumn("done", done).filter(~(F.col("done") & F.coalesce("later", F.lit(False)))).select("thread", "key", "state")
 
 
 @register("i18_links_of_turn", "SELECT page_id % 11 AS turn, regexp_replace(url, '[#?].*$', '') AS link, min(page_id) AS page_id FROM pages GROUP BY ALL")
