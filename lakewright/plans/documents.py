@@ -19,8 +19,8 @@ FLAT_SQL = f"trim(regexp_replace(text, '{SPACE}+', ' ', 'g'))"
 
 @register("e1_normalise", f"SELECT doc_id, md5({NORMAL_SQL}) AS digest, length({NORMAL_SQL})::BIGINT AS n FROM documents")
 def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = T.normalise(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("digest"), F.length(t).cast("long").alias("n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("t"))
+    return d.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n"))
 
 
 WARNING = f"Parsed text was capped at {T.TEXT_CAP} characters for this indexing pass."
