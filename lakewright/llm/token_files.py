@@ -191,8 +191,30 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """doc_id, tie (the text's hash) and ids (packed, with the end id) for each row of docs; texts stay where they are."""
+#: Ids that are drawn for each range, to find the ranges' bounds.
+DRAWN = 50
+
+
+def bounds_of(docs: DataFrame, n: int) -> np.ndarray:
+    """n - 1 ids that cut all of them into n ranges of about equal size, from at most some DRAWN * n drawn ones; null is the least."""
+    key = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"))
+    share = DRAWN * n / max(1, docs.count())
+    drawn = np.sort((key if share >= 1 else key.sample(share, seed=8)).toArrow()["key"].to_numpy())
+    return drawn[np.arange(1, n) * len(drawn) // n] if len(drawn) else np.array([], np.int64)
+
+
+def places(ids: pa.Array, ties: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """The range of each row. An id that fills several ranges is spread over them by its ties."""
+    key = ids.fill_null(-(1 << 63)).to_numpy()
+    low, high = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
+    high = np.where(high - low > 1, high - 1, low)
+    share = ties.to_numpy() / float(1 << 64) + 0.5
+    return np.minimum(low + np.floor(share * (high - low + 1)).astype(np.int64), high).astype(np.int32)
+
+
+def encoded(docs: DataFrame, path: str, end: int = END, n: int = 1) -> DataFrame:
+    """doc_id, tie (the text's hash), ids (packed, with the end id) and place (of n ranges of doc_id) for each row of docs; texts stay where they are."""
+    bounds = docs.sparkSession.sparkContext.broadcast(bounds_of(docs, n))  # 8 bytes for each range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -202,26 +224,20 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
             for texts in groups(text or "" for text in batch.column(1).to_pylist()):
                 part = batch.slice(at, len(texts))
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x + last for x in own.encode(texts)], pa.binary())], ["doc_id", "tie", "ids"])
+                ids = pa.array([x + last for x in own.encode(texts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), ids, pa.array(places(part.column(0), part.column(2), bounds.value))], ["doc_id", "tie", "ids", "place"])
 
-    d = pick(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    return d.mapInArrow(run, "doc_id long, tie long, ids binary")
+    d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    return d.mapInArrow(run, "doc_id long, tie long, ids binary, place int")
 
 
-def _in_ranges(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """rows (doc_id, tie, ...) in n partitions by ranges of doc_id and tie, in order inside.
+def _in_ranges(docs: DataFrame, path: str, end: int, n: int) -> DataFrame:
+    """encoded in n partitions by ranges of doc_id and tie, in order inside, null ids first.
 
-    Bounds are quantiles of the ids alone, so nothing is encoded twice. An id that fills several ranges, or none (null),
-    is spread over them by its ties.
+    Bounds come from the ids alone, so nothing is encoded twice; a row finds its range by binary search in them. An id that
+    fills several ranges, or none (null), is spread over them by its ties.
     """
-    key = lambda: F.coalesce("doc_id", F.lit(-(1 << 63)))
-    bounds = docs.agg(F.percentile_approx(key(), [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
-    held = F.array(*[F.lit(b).cast("long") for b in bounds or []]) if bounds else F.array().cast("array<bigint>")
-    below, upto = F.size(F.filter(held, lambda b: b < F.col("_key"))), F.size(F.filter(held, lambda b: b <= F.col("_key")))
-    share = (F.col("tie").cast("double") / float(1 << 64)) + 0.5
-    place = F.least(F.col("_a") + F.floor(share * (F.col("_b") - F.col("_a") + 1)), F.col("_b")).cast("int")
-    placed = rows.withColumn("_key", key()).withColumn("_a", below).withColumn("_b", upto).withColumn("_b", F.when(F.col("_b") - F.col("_a") > 1, F.col("_b") - 1).otherwise(F.col("_a"))).withColumn("_place", place)
-    return placed.repartitionById(n, F.col("_place")).sortWithinPartitions("_key", "tie")
+    return encoded(docs, path, end, n).repartitionById(n, F.col("place")).sortWithinPartitions("doc_id", "tie")
 
 
 def write_tokens(docs: DataFrame, path: str, end: int = END) -> tuple[DataFrame, DataFrame]:
@@ -259,7 +275,7 @@ def write_tokens(docs: DataFrame, path: str, end: int = END) -> tuple[DataFrame,
             yield image()
 
     n = max(1, docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = _in_ranges(docs, encoded(docs, path, end), n).select("doc_id", "ids")
+    ordered = _in_ranges(docs, path, end, n).select("doc_id", "ids")
     images = materialize(ordered.mapInArrow(run, "part int, seq int, n_ids long, n_docs long, first_id long, last_id long, image binary"), "token-images")
     sums = images.groupBy("part").agg(F.sum("n_ids").alias("_ids"))
     before = sums.select(F.col("part").alias("_part"), (F.sum("_ids").over(Window.orderBy("part")) - F.col("_ids")).alias("_before"))

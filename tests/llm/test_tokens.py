@@ -120,7 +120,7 @@ def test_files_are_read_by_place_and_by_document(spark, tokenizer, monkeypatch):
 def test_an_id_of_many_rows_is_spread(spark):
     rows = [(None, f"text {i}") for i in range(300)] + [(7, f"other {i}") for i in range(300)] + [(i, "x") for i in range(100)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    rows = token_files._in_ranges(d, token_files.encoded(d, P.path("byte_bpe_50k.json")), 8).selectExpr("doc_id", "tie", "spark_partition_id() AS part").collect()
+    rows = token_files._in_ranges(d, P.path("byte_bpe_50k.json"), token_files.END, 8).selectExpr("doc_id", "tie", "spark_partition_id() AS part").collect()
     assert len(rows) == 700 and len({r.part for r in rows if r.doc_id is None}) > 2 and len({r.part for r in rows if r.doc_id == 7}) > 2
     order = [(-1 if r.doc_id is None else r.doc_id, r.tie) for r in sorted(rows, key=lambda r: r.part)]
     assert [max(a[:1] for a in order[:i]) <= order[i][:1] for i in range(1, len(order))].count(False) == 0
@@ -137,3 +137,28 @@ def test_token_files(spark, tokenizer):
             at += len(ids)
         got = token_files.token_files(d, P.path("byte_bpe_50k.json")).collect()
         assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
+def test_ranges_are_even_and_found_as_fast_among_many(spark):
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    ids = np.random.default_rng(8).permutation(200_000)
+    d = spark.createDataFrame([(int(i) if i % 3 else None,) for i in ids], "doc_id long")
+    for n in (1, 8, 400):
+        bounds = token_files.bounds_of(d, n)
+        ties = pa.array(np.random.default_rng(n).integers(-(1 << 63), (1 << 63) - 1, len(ids)))
+        found = token_files.places(pa.array([int(i) if i % 3 else None for i in ids], pa.int64()), ties, bounds)
+        sizes = np.bincount(found, minlength=n)
+        # a third of the rows has no id: they fill a third of the ranges
+        assert len(sizes) == n and sizes.max() <= 2 * len(ids) / n
+    seconds = {}
+    for n in (8, 4000):
+        bounds = np.sort(np.random.default_rng(1).integers(0, 200_000, n - 1))
+        began = time.perf_counter()
+        for _ in range(20):
+            token_files.places(pa.array(ids), ties, bounds)
+        seconds[n] = time.perf_counter() - began
+    assert seconds[4000] < 6 * seconds[8], seconds
