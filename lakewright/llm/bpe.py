@@ -59,30 +59,31 @@ class Transducer:
                 node = to
             self.token_at[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: By a token: whether it is stable behind another one.
+        self.behind: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
         self._reset()
 
     def _reset(self) -> None:
         self.numbers: dict[tuple[int, ...], int] = {}
         self.open: list[tuple[int, ...]] = []
-        self.ends: list[tuple[tuple[int, int], ...]] = []
-        self.single: list[int] = []
-        self.move: dict[int, int] = {}
+        #: Of a state: its number, the tokens that end there with their lengths and what is known of them, and the single byte's token.
+        self.states: list[tuple[int, tuple[tuple[int, int, dict[int, bool]], ...], int]] = []
+        self.move: dict[int, tuple[int, tuple[tuple[int, int, dict[int, bool]], ...], int]] = {}
         self._intern((self.ROOT,))
 
     def _intern(self, nodes: tuple[int, ...]) -> int:
         if (no := self.numbers.get(nodes)) is None:
             no = self.numbers[nodes] = len(self.open)
             self.open.append(nodes)
-            ends = [(t, self.length[t]) for n in nodes if (t := self.token_at[n]) >= 0]
-            self.ends.append(tuple(ends[:-1]))
-            self.single.append(ends[-1][0] if ends else -1)
+            ends = [(t, self.length[t], self.behind.setdefault(t, {})) for n in nodes if (t := self.token_at[n]) >= 0]
+            self.states.append((no, tuple(ends[:-1]), ends[-1][0] if ends else -1))
         return no
 
-    def _step(self, no: int, byte: int) -> int:
+    def _step(self, no: int, byte: int) -> tuple[int, tuple[tuple[int, int, dict[int, bool]], ...], int]:
         """Nodes stand in order of where their tokens began; a token may begin anew after each byte."""
         reached = [to for n in self.open[no] if (to := self.child.get(n << 8 | byte)) is not None]
-        self.move[no << 8 | byte] = to = self._intern((*reached, self.ROOT))
+        self.move[no << 8 | byte] = to = self.states[self._intern((*reached, self.ROOT))]
         return to
 
     def _halves(self, token: int) -> tuple[int, int] | None:
@@ -101,8 +102,6 @@ class Transducer:
         They don't if, before both are complete, a part at a's end and a part at b's start would merge. The parts that
         meet at the seam are undone from the last merge on; a merge across the seam must rank below the merges undone.
         """
-        if (known := self.pairs.get((a, b))) is not None:
-            return known
         left, right, below, bytes_of, answer = a, b, 1 << 60, self.bytes_of, True
         # nothing stands before a text's first token
         while a >= 0:
@@ -118,9 +117,12 @@ class Transducer:
                 below, left = left, lh[1]
             else:
                 below, right = right + 1, rh[0]
-        if len(self.pairs) > self.pair_limit:
-            self.pairs.clear()
-        self.pairs[a, b] = answer
+        if self.n_pairs >= self.pair_limit:
+            for known in self.behind.values():
+                known.clear()
+            self.n_pairs = 0
+        self.behind.setdefault(b, {})[a] = answer
+        self.n_pairs += 1
         return answer
 
     def _agreed(self, no: int, last: list[int]) -> int:
@@ -144,25 +146,28 @@ class Transducer:
         if len(self.move) > self.limit:
             self._reset()
         no, last, out = 0, [-1], []
-        move, ends, single, known = self.move, self.ends, self.single, self.pairs.get
+        move, stable = self.move.get, self.stable
         for at in range(0, len(data), STEP):
             if at:
                 done = self._agreed(no, last)
                 out += self._trace(last, done)
                 # the token that ends there stays as the one before
                 last = last[done:]
+            add = last.append
             for byte in data[at : at + STEP]:
-                key = no << 8 | byte
-                no = move[key] if key in move else self._step(no, byte)
-                for token, length in ends[no]:
-                    before = last[-length]
-                    if (fits := known((before, token))) is None:
-                        fits = self.stable(before, token)
+                to = move(no << 8 | byte)
+                if to is None:
+                    to = self._step(no, byte)
+                no, ends, single = to
+                for token, length, known in ends:
+                    fits = known.get(last[-length])
+                    if fits is None:
+                        fits = stable(last[-length], token)
                     if fits:
-                        last.append(token)
+                        add(token)
                         break
                 else:
-                    last.append(single[no])
+                    add(single)
         return out + self._trace(last, len(last) - 1)
 
 
