@@ -129,3 +129,14 @@ def hybrid(rows: DataFrame, vectors: DataFrame, queries: DataFrame, k: float | N
     query (a text), vector (null: by text alone).
     """
     return diversify(candidates(rows, vectors, queries, k, cap), budget(k)[0], cap)
+
+
+#: Fields of every result with their types where a table lacks them, and fields that a table may have.
+BASE_FIELDS = {"id": "string", "course_id": "string", "file_id": "string", "file_name": "string", "file_path": "string", "section_id": "string", "task_file_bucket": "string", "chunk_index": "long", "chunk_count": "long", "text": "string", "title": "string", "citation": "string"}
+MORE_FIELDS = ("source_path", "source_label", "section_type", "section_title", "artifact_id", "semantic_unit_id", "element_ids", "page", "slide", "sheet", "range", "bbox")
+
+
+def result_fields(hits: DataFrame, *keep: str) -> DataFrame:
+    """Only keep, the base fields, those of the others that hits has, and distance, so that a scan reads no more columns."""
+    base = [F.col(c) if c in hits.columns else F.lit(None).cast(kind).alias(c) for c, kind in BASE_FIELDS.items()]
+    return hits.select(*keep, *base, *[c for c in MORE_FIELDS if c in hits.columns], "distance")

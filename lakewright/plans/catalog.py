@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from lakewright.plans import aggregates, dashboards, documents, intake, joins, links, matching, outlines, scans, search, sheets, states, timeline, windows, workspace  # noqa: F401
+    from lakewright.plans import aggregates, dashboards, documents, intake, joins, links, matching, outlines, scans, search, sheets, states, timeline, windows, workbooks, workspace  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
