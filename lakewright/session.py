@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_dir: str | None = None
+#: Folders that materialize has written.
+_written: list[str] = []
 
 
 def get_session(app: str = "lakewright", cores: int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -49,6 +51,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     This cuts lineage in a way that survives lost executors, and gives the planner a measured size, so that it
     broadcasts a side only below spark.sql.autoBroadcastJoinThreshold. Shuffle files of the step go as soon as it is written.
+    The table itself goes when the driver ends, or with drop_materialized.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -58,8 +61,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_DROP_SHUFFLES) if was is None else spark.conf.set(_DROP_SHUFFLES, was)
+    folder, fs = _folder(spark, path)
+    fs.deleteOnExit(folder)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    """The path as Hadoop's, and its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Deletes all tables that materialize has written so far, once the results that read them are written; how many."""
+    n = 0
+    while _written:
+        folder, fs = _folder(spark, _written.pop())
+        fs.cancelDeleteOnExit(folder)
+        n += fs.delete(folder, True)
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
