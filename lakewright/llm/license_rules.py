@@ -191,10 +191,151 @@ SENTENCES = (
     ("proprietary", "all rights reserved no part of this (?:publication|document|book|work) may be reproduced"),
     ("proprietary", "this software is the confidential and proprietary information of"),
     ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("aal", "redistributions of the code with or without modification must be accompanied by an attribution"),
+    ("afl-3.0", "licensed under the academic free license version 3 0"),
+    ("agpl", "if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("agpl", "our general public licenses are intended to guarantee your freedom to share and change all versions of a program to make sure it remains free software for all its users"),
+    ("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2.0", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-2.0", "if the work includes a notice text file as part of its distribution then any derivative works that you distribute must include a readable copy"),
+    ("apache-1.1", "the names apache and apache software foundation must not be used to endorse or promote products derived from this software"),
+    ("apsl", "this file contains original code and or modifications of original code as defined in and that are subject to the apple public source license"),
+    ("artistic", "you may make and give away verbatim copies of the source form of the standard version of this package without restriction"),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("blueoak", "each contributor licenses you to do everything with this software that would otherwise infringe that contributor s copyright in it"),
+    ("bsd-3-clause-clear", "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledg"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("bsl-1.0", "unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"),
+    ("busl-1.1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("busl-1.1", "on the change date or the fourth anniversary of the first publicly available distribution of a specific version of the licensed work"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc0", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright"),
+    ("cecill", "this software is governed by the cecill(?: [abc])? license under french law and abiding by the rules of distribution of free software"),
+    ("cecill", "ce logiciel est r(?:e|\u00e9)gi par la licence cecill soumise au droit fran(?:c|\u00e7)ais"),
+    ("commons-clause", "the software is provided to you by the licensor under the license as defined below subject to the following condition"),
+    ("cpal", "the contents of this file are subject to the common public attribution license version 1 0"),
+    ("cpl", "this program and the accompanying materials are made available under the terms of the common public license"),
+    ("curl", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ecl-2.0", "licensed under the educational community license version 2 0"),
+    ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service where the service provides users with access to any substantial set of the features"),
+    ("elastic-2.0", "you may not move change disable or circumvent the license key functionality in the software"),
+    ("epl-1.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license(?: v| version)? ?2 0"),
+    ("epl", "each contributor hereby grants recipient a non exclusive worldwide royalty free copyright license to reproduce prepare derivative works of publicly display"),
+    ("eupl", "licensed under the european union public licen[cs]e"),
+    ("eupl", "you may not use this work except in compliance with the licence"),
+    ("freetype", "portions of this software are copyright the freetype project www freetype org all rights reserved"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "with no invariant sections no front cover texts and no back cover texts"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl-2.0", "the precise terms and conditions for copying distribution and modification follow"),
+    ("gpl-3.0", "each time you convey a covered work the recipient automatically receives a license from the original licensors"),
+    ("gpl-classpath", "as a special exception the copyright holders of this library give you permission to link this library with independent modules"),
+    ("gpl-bison", "you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("gpl-gcc", "when you use gcc to compile a program gcc may combine portions of certain gcc header files and runtime libraries with the compiled program"),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("icu", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"),
+    ("ijg", "this software is based in part on the work of the independent jpeg group"),
+    ("intel", "redistribution and use in binary form without modification are permitted provided that"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("json", "the software shall be used for good not evil"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "a program that contains no derivative of any portion of the library but is designed to work with the library by being compiled or linked with it"),
+    ("libpng", "the origin of this source code must not be misrepresented"),
+    ("libtiff", "the names of sam leffler and silicon graphics may not be used in any advertising or publicity relating to the software"),
+    ("llvm", "with llvm exceptions see https llvm org license txt for license information"),
+    ("lppl", "this work may be distributed and or modified under the conditions of the latex project public license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit-0", "permission is hereby granted free of charge to any person obtaining a copy of this software to deal in the software without restriction with no conditions"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-2.0", "you may not remove or alter the substance of any license notices contained within the source code form of the covered software"),
+    ("ms-pl", "if you bring a patent claim against any contributor over patents that you claim are infringed by the software your patent license from such contributor"),
+    ("ms-rl", "for any file you distribute that contains code from the software you must provide recipients the source code to that file along with a copy of this license"),
+    ("mulan", "is licensed under (?:the )?mulan psl v2"),
+    ("nasa", "this open source agreement defines the rights of use reproduction distribution modification and redistribution of certain computer software"),
+    ("ncsa", "neither the names of (?:the )?(?:llvm team )?university of illinois at urbana champaign nor the names of its contributors"),
+    ("odbl", "this database is made available under the open database license"),
+    ("odc-by", "made available under the open data commons attribution license"),
+    ("ofl", "the font software may be modified altered or added to and in particular the designs of glyphs or characters in the fonts may be modified"),
+    ("openldap", "redistribution and use of this software and associated documentation with or without modification are permitted provided that the following conditions are met"),
+    ("osl-3.0", "licensed under the open software license version 3 0"),
+    ("parity", "contribute all software that you develop deploy monitor or run with this software"),
+    ("pddl", "this data is made available under the public domain dedication and license"),
+    ("php", "this product includes php software freely available from"),
+    ("php", "products derived from this software may not be called php nor may php appear in their name"),
+    ("polyform", "any noncommercial purpose is a permitted purpose"),
+    ("psf", "psf is making python available to licensee on an as is basis"),
+    ("qpl", "this software may be distributed under the terms of the q public license"),
+    ("ruby", "you can redistribute it and or modify it under either the terms of the 2 clause bsdl"),
+    ("sgi-b", "the contents of this file are subject to the sgi free software license b"),
+    ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code for the db software"),
+    ("sspl", "if you make the functionality of the program or a modified version available to third parties as a service you must make the service source code available"),
+    ("tcl", "the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose"),
+    ("unicode", "permission is hereby granted free of charge to any person obtaining a copy of data files and any associated documentation"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"),
+    ("upl-1.0", "subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software associated documentation and or data"),
+    ("vim", "there are no restrictions on distributing unmodified copies of vim except that they must include this license text"),
+    ("w3c", "this work is being provided by the copyright holders under the following license"),
+    ("x11", "except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("zpl", "this software is subject to the provisions of the zope public license"),
+    ("proprietary", "no license express or implied by estoppel or otherwise to any intellectual property rights is granted by this document"),
+    ("proprietary", "you may not reverse engineer decompile or disassemble the software"),
+    ("proprietary", "this source code is proprietary and confidential and may not be disclosed to third parties"),
 )
 BODY_PRIORITY, BODY_SURE = 3, 0.9
 
 
+#: Licences by their names with a version alone, where a sentence about them is missing: label, keyword, pattern.
+VERSIONED = (
+    ("gpl-1.0", "gpl", "(?:gnu )?gpl ?v?1(?: 0)?"),
+    ("gpl-2.0", "gpl", "(?:gnu )?gpl ?v?2(?: 0)?"),
+    ("gpl-3.0", "gpl", "(?:gnu )?gpl ?v?3(?: 0)?"),
+    ("lgpl-2.0", "lgpl", "(?:gnu )?lgpl ?v?2(?: 0)?"),
+    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl ?v?2 1"),
+    ("lgpl-3.0", "lgpl", "(?:gnu )?lgpl ?v?3(?: 0)?"),
+    ("agpl-3.0", "agpl", "(?:gnu )?agpl ?v?3(?: 0)?"),
+    ("apache-1.1", "apache", "apache v?1 1"),
+    ("apache-2.0", "apache", "apache(?: license)? v?2 0"),
+    ("bsd-2-clause", "bsd", "bsd 2 clause"),
+    ("bsd-3-clause", "bsd", "bsd 3 clause"),
+    ("bsd-4-clause", "bsd", "bsd 4 clause"),
+    ("bsl-1.0", "bsl", "bsl 1 0"),
+    ("cddl-1.0", "cddl", "cddl 1 0"),
+    ("epl-1.0", "epl", "epl v?1 0"),
+    ("epl-2.0", "epl", "epl v?2 0"),
+    ("eupl-1.2", "eupl", "eupl v?1 2"),
+    ("mpl-1.1", "mpl", "mpl v?1 1"),
+    ("mpl-2.0", "mpl", "mpl v?2 0"),
+    ("ofl-1.1", "ofl", "ofl 1 1"),
+    ("cc0-1.0", "cc0", "cc0 1 0"),
+)
+VERSIONED_PRIORITY, VERSIONED_SURE = 1, 0.6
+#: A permissive licence as the other choice beside a name with a version.
+CHOICES = tuple((label, label, rf"(?:apache|bsd|gpl|lgpl|agpl|mpl|epl|bsl) [0-9](?: [0-9])?(?: clause)?(?: only| or later)? (?:or|and) {label}") for label in ("mit", "isc", "zlib"))
+
+#: Identifiers of licences in the standard's list, as far as no family above has them.
+SPDX_IDS = (
+    "0BSD", "AAL", "AFL-2.1", "AFL-3.0", "AGPL-1.0", "AGPL-3.0", "APL-1.0", "APSL-2.0", "Apache-1.0", "Apache-1.1", "Apache-2.0", "Artistic-1.0", "Artistic-2.0", "BSD-1-Clause", "BSD-2-Clause", "BSD-2-Clause-Patent", "BSD-3-Clause", "BSD-3-Clause-Clear", "BSD-4-Clause", "BSL-1.0",
+    "BUSL-1.1", "Beerware", "BlueOak-1.0.0", "CAL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "CDDL-1.1", "CECILL-2.1", "CECILL-B", "CECILL-C", "CPAL-1.0", "CPL-1.0", "ECL-2.0",
+    "EFL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.1", "EUPL-1.2", "Elastic-2.0", "FSFAP", "FTL", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "HPND", "ICU", "IJG", "IPL-1.0", "ISC", "Intel", "JSON", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "LPPL-1.3c", "Libpng", "MIT-0", "MPL-1.0", "MPL-1.1", "MPL-2.0",
+    "MS-PL", "MS-RL", "MulanPSL-2.0", "NASA-1.3", "NCSA", "NPL-1.1", "NTP", "ODbL-1.0", "OFL-1.0", "OFL-1.1", "OLDAP-2.8", "OSL-3.0", "OpenSSL", "PDDL-1.0", "PHP-3.01", "PSF-2.0", "PostgreSQL", "Python-2.0", "QPL-1.0", "Ruby", "SISSL", "SSPL-1.0", "Sleepycat", "TCL", "UPL-1.0", "Unicode-DFS-2016", "Unlicense", "Vim", "W3C", "WTFPL", "X11", "ZPL-2.1", "Zlib",
+)
+SPDX_PRIORITY, SPDX_SURE = 5, 1.0
+#: What may stand behind an identifier: a plus, which is no word, and an exception.
+SPDX_TAIL = "(?: only| or later)?(?: with(?: [a-z0-9]+){1,4} exception(?: [0-9])*)?"
+
+
+def spdx_words(identifier: str) -> str:
+    """An identifier as lower-case words."""
+    return " ".join("".join(c if c.isalnum() else " " for c in identifier.lower()).split())
+
+
 def head(pattern: str) -> str:
     """The literal words that a body's pattern begins with."""
     literal = pattern.split("?")[0].split("(")[0].split("[")[0]
@@ -202,18 +343,22 @@ def head(pattern: str) -> str:
 
 
 #: All rules, in order (a longer label is a more specific licence and comes first): label, keyword, priority, confidence, pattern over a text of lower-case words with blanks around each.
-RULES = tuple((label, key, priority, sure, f"(?<= ){before}{name}{after}(?= )") for priority, sure, before, after in FORMS for label, key, name in sorted(FAMILIES, key=lambda f: -len(f[0]))) + tuple(
-    (label, head(body), BODY_PRIORITY, BODY_SURE, f"(?<= ){body}(?= )") for label, body in (*BODIES, *SENTENCES)
+RULES = (
+    *((identifier.lower(), "spdx", SPDX_PRIORITY, SPDX_SURE, f"(?<= )spdx license identifier {spdx_words(identifier)}{SPDX_TAIL}(?= )") for identifier in sorted(SPDX_IDS, key=lambda x: (-len(x), x))),
+    *((label, key, priority, sure, f"(?<= ){before}{name}{after}(?= )") for priority, sure, before, after in FORMS for label, key, name in sorted(FAMILIES, key=lambda f: -len(f[0]))),
+    *((label, head(body), BODY_PRIORITY, BODY_SURE, f"(?<= ){body}(?= )") for label, body in (*BODIES, *SENTENCES)),
+    *((label, key, VERSIONED_PRIORITY, VERSIONED_SURE, f"(?<= ){name}(?: only| or later)?(?= )") for label, key, name in VERSIONED),
+    *((label, key, VERSIONED_PRIORITY, VERSIONED_SURE, f"(?<= ){name}(?= )") for label, key, name in CHOICES),
 )
 
 #: Keywords that patterns also take as the start of a longer word (gplv2).
-JOINED = ("gpl",)
+JOINED = ("gpl", "lgpl", "agpl")
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _gate() -> str:
     """Alternatives are put together by their first letter, so that most words end the search at once."""
-    heads = {key + ("" if key in JOINED else "(?![A-Za-z0-9])") for _, key, _ in FAMILIES}
+    heads = {key + ("" if key in JOINED else "(?![A-Za-z0-9])") for _, key, _ in (*FAMILIES, *VERSIONED, *CHOICES)} | {"spdx(?![A-Za-z0-9])"}
     heads |= {SEPARATORS.join(head(body).split(" ")[:4]) for _, body in (*BODIES, *SENTENCES)}
     by_letter: dict[str, list[str]] = {}
     for h in sorted(heads):
@@ -282,7 +427,8 @@ def detections(padded: Column) -> Column:
     A match goes if an interval of no lower priority contains it (of equal intervals and priorities, the first rule's
     stays). One pass over the matches in order of start, with the furthest end of each priority so far.
     """
-    rules = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(p).alias("pattern"), F.lit(n).alias("priority"), F.lit(c).alias("sure"), F.lit(label).alias("label"), F.lit(i).alias("no")) for i, (label, k, n, c, p) in enumerate(RULES)])
+    # one expression: columns made one by one take seconds
+    rules = F.expr("array(" + ", ".join(f"named_struct('key', '{k}', 'pattern', '{p}', 'priority', {n}, 'sure', {c}D, 'label', '{label}', 'no', {i})" for i, (label, k, n, c, p) in enumerate(RULES)) + ")")
     live = F.filter(rules, lambda r: F.contains(padded, r["key"]))
     each = F.flatten(
         F.transform(

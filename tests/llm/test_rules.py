@@ -172,3 +172,25 @@ def test_time_grows_with_the_text(spark):
     rows = [(n, "mit license " * n) for n in (1, 2000, 64000)]
     got = {r.doc_id: r for r in license_rules.contract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all((r.n_words, r.n_base, r.first_word, r.last_word) == (2 * n, n, 0, 2 * n - 2) for n, r in got.items())
+
+
+NAMED = [
+    ("GNU GPLv3", {"gpl-3.0"}),
+    ("SPDX-License-Identifier: EPL-2.0", {"epl-2.0"}),
+    ("SPDX-License-Identifier: BSL-1.0", {"bsl-1.0"}),
+    ("BSD-2-Clause license", {"bsd-2-clause"}),
+    ("// SPDX-License-Identifier: (MIT OR Apache-2.0)", {"mit", "apache-2.0"}),
+    ("SPDX-License-Identifier: Apache-2.0 OR MIT", {"mit", "apache-2.0"}),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", {"gpl-2.0"}),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", {"lgpl-2.1"}),
+    ("License: LGPLv3", {"lgpl-3.0"}),
+    ("see LGPLv3 and AGPLv3", {"lgpl-3.0", "agpl-3.0"}),
+    ("The Software shall be used for Good, not Evil.", {"json"}),
+    ("the 2 apaches and 3 gnus, a bsd host, mit students", set()),
+]
+
+
+def test_identifiers_expressions_and_bare_names(spark):
+    found = {r.doc_id: r for r in license_rules.contract(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NAMED)], "doc_id long, text string")).collect()}
+    for i, (text, labels) in enumerate(NAMED):
+        assert (set(filter(None, found[i].labels.split(","))), found[i].score > 0) == (labels, bool(labels)), text
