@@ -19,7 +19,8 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 def documents(spark):
     """The rows, with further columns whose names operators use inside."""
     d = spark.createDataFrame(DOCS, SCHEMA)
-    return d.selectExpr("*", "'x' AS fp", "1 AS n", "'y' AS _key", "0 AS size", "'z' AS row", "'w' AS host")
+    names = "fp n _key size row host spans _d _c _text _row _file _source _bad block uid tie place ids part seq start length findings runs low high text_hash _id _hash digest kind".split()
+    return d.selectExpr("*", *[f"{i if i % 2 else repr('x')} AS {n}" for i, n in enumerate(names)])
 
 
 def nothing(spark):
