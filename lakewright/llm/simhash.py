@@ -157,16 +157,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(of, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """docs with the fingerprint of each row as _fp."""
-    names, at = docs.columns, docs.columns.index("text")
+def _marked(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the fingerprint of each row as fp."""
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "fp"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("fp", LongType())]))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -175,13 +175,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     It is the row with the smallest doc_id (null counts as largest), of these the one with the smallest text hash. Rows
     with the same doc_id and other texts are rows like any other. A row's key is its place in the written step.
     """
-    marked = materialize(_marked(docs), "marked")
-    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    keyed = marked.select("_fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), *place).alias("_key"))
+    # columns by their numbers meanwhile, so that none clashes with ours
+    numbers = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = (numbers[docs.columns.index(c)] for c in ("doc_id", "text"))
+    marked = materialize(_marked(docs.toDF(*numbers), text), "marked")
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+    keyed = marked.select("fp", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("hash"), *place).alias("key"))
     # the least row of each fingerprint first, so that no join has a row for each copy
-    best = materialize(keyed.groupBy(F.col("_fp").alias("fp")).agg(F.min("_key").alias("_key")), "nodes")
+    best = materialize(keyed.groupBy("fp").agg(F.min("key").alias("key")), "nodes")
     roots = components(near_pairs(best.select("fp")))
-    placed = best.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "_key")
-    kept = materialize(placed.groupBy("root").agg(F.min("_key").alias("_key")).select(F.col("_key._file").alias("_f"), F.col("_key._row").alias("_r")), "kept")
-    rows = marked.select(*[F.col(f"`{c}`") for c in docs.columns], *place)
-    return rows.join(kept, (F.col("_file") == F.col("_f")) & (F.col("_row") == F.col("_r")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = best.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "key")
+    kept = materialize(placed.groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.file").alias("file"), F.col("key.row").alias("row")), "kept")
+    return marked.select(*numbers, *place).join(kept, ["file", "row"], "left_semi").select(*numbers).toDF(*docs.columns)
