@@ -112,14 +112,15 @@ def candidates(rows: DataFrame, vectors: DataFrame, queries: DataFrame, k: float
     """Both sides' best rows of each query with their fused ranks, bonuses and files. See hybrid."""
     n, wanted = budget(k)
     probes = queries.filter("vector IS NOT NULL").select("q", "vector")
-    own = vectors.join(rows.select(F.col("id").alias("vec_id"), "file"), "vec_id", "left")
+    # a row without a file is a file of its own
+    file_of = lambda key: F.coalesce(F.col("file").cast("string"), F.concat(F.lit("id:"), F.col(key).cast("string"))).alias("file")
+    own = vectors.join(rows.select(F.col("id").alias("vec_id"), "file"), "vec_id", "left").select(*vectors.columns, file_of("vec_id"))
     v = capped(nearest(own, probes, FETCH * wanted, extra=("file",)), wanted, "file", max(cap, HYBRID_CAP))
     t = text_index.bm25(text_index.build(rows), queries, wanted)
     fused = materialize(fuse(v.withColumnRenamed("key", "id"), t.withColumnRenamed("key", "id")), "fused")
     named = rows.select("id", "file", anchor_bonus(rows).alias("bonus"))
     d = fused.join(named, "id", "left").withColumn("bonus", F.coalesce("bonus", F.lit(0.0)))
-    # a row without a file is a file of its own
-    return d.withColumn("file", F.coalesce(F.col("file").cast("string"), F.concat(F.lit("id:"), F.col("id").cast("string")))).withColumn("blended", F.col("blended") + F.col("bonus"))
+    return d.withColumns({"file": file_of("id"), "blended": F.col("blended") + F.col("bonus")})
 
 
 def hybrid(rows: DataFrame, vectors: DataFrame, queries: DataFrame, k: float | None = 6, cap: int = 2) -> DataFrame:
