@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lakewright.functions.sheets import once
+
 QUOTED = r"(?s)<quoted_{0}[^>]*>.*?</quoted_{0}>\n*"
 #: Entities of attributes, in the order in which they are decoded.
 ENTITIES = (("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&"))
@@ -59,8 +61,7 @@ def markdown_table(rows: Column, prefix: str = "Column") -> Column:
     cell = lambda x: F.replace(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), SPACE + "+", " ")), F.lit("|"), F.lit("\\|"))
     clean = F.filter(F.transform(rows, lambda r: F.transform(r, cell)), lambda r: F.exists(r, lambda x: x != ""))
 
-    def table(rs: Column) -> Column:
-        width = F.array_max(F.transform(rs, lambda r: F.size(r)))
+    def table(rs: Column, width: Column) -> Column:
         line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
         named = F.exists(rs[0], lambda x: (x != "") & ~x.rlike(NUMERIC))
         own = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.concat(F.lit(prefix + " "), column_name(i)))
@@ -69,4 +70,6 @@ def markdown_table(rows: Column, prefix: str = "Column") -> Column:
         rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
         return F.array_join(F.concat(F.array(head, rule), F.transform(body, line)), "\n")
 
-    return F.when(F.size(clean) > 0, F.transform(F.array(clean), table)[0]).otherwise("")
+    # without the widest row's size found first, each row would look for it
+    sized = lambda rs: once(F.array_max(F.transform(rs, lambda r: F.size(r))), lambda width: table(rs, width))
+    return once(clean, lambda rs: F.when(F.size(rs) > 0, sized(rs)).otherwise(""))

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), for which the value is found once a row, however often f names it, in lambdas too."""
+    return F.transform(F.array(value), f)[0]
+
+
 def criterion(cell: Column, rule: str) -> Column:
     """A criterion such as '>=10', '<>x' or 'Br*d?': numbers compare as numbers, * and ? match any case, other text exactly."""
     op, value = re.match(r"(>=|<=|<>|>|<|=)?(.*)", rule, re.S).groups()
@@ -76,11 +82,25 @@ def tick_unit(step: Column) -> Column:
 
 def axis_ticks(low: Column, high: Column, unit: Column) -> Column:
     """low if it is no multiple of unit, eight multiples at most up to high, high if it is none; the first seven of these. Null unit: a round one for four steps."""
-    u = F.when(unit > 0, unit).otherwise(tick_unit(F.greatest(high - low, F.lit(1e-9)) / 4))
-    first = F.ceil(low / u) * u
-    near = u * 0.001
-    own = F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: first + i * u), lambda x: x <= high + near)
-    end = F.coalesce(F.try_element_at(own, F.lit(-1)), low)
     none = F.array().cast("array<double>")
-    ticks = F.concat(F.when(F.abs(first - low) > near, F.array(low)).otherwise(none), own, F.when(F.abs(end - high) > near, F.array(high)).otherwise(none))
+
+    def from_first(a: Column) -> Column:
+        low, high, u, first = a["low"], a["high"], a["u"], a["first"]
+        near = u * 0.001
+        own = F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: first + i * u), lambda x: x <= high + near)
+
+        def ended(own: Column) -> Column:
+            end = F.coalesce(F.try_element_at(own, F.lit(-1)), low)
+            return F.concat(F.when(F.abs(first - low) > near, F.array(low)).otherwise(none), own, F.when(F.abs(end - high) > near, F.array(high)).otherwise(none))
+
+        return once(own, ended)
+
+    def from_unit(a: Column) -> Column:
+        first = F.ceil(a["low"] / a["u"]) * a["u"]
+        return once(F.struct(a["low"].alias("low"), a["high"].alias("high"), a["u"].alias("u"), first.alias("first")), from_first)
+
+    def from_ends(a: Column) -> Column:
+        return once(F.greatest(a["high"] - a["low"], F.lit(1e-9)) / 4, lambda step: once(F.struct(a["low"].alias("low"), a["high"].alias("high"), F.when(a["unit"] > 0, a["unit"]).otherwise(tick_unit(step)).alias("u")), from_unit))
+
+    ticks = once(F.struct(low.alias("low"), high.alias("high"), unit.alias("unit")), from_ends)
     return F.transform(F.slice(ticks, 1, 7), lambda x: F.round(x, 6) + 0)

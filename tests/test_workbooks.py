@@ -96,3 +96,11 @@ def test_each_branch_of_the_queries_has_rows(spark):
     assert audit.filter("hidden > 0 AND blank > 0 AND formulas > 0 AND errors LIKE '%N/A%REF%VALUE%'").count() > 0
     heads = plans.heads(spark, SMALL)
     assert {r[0] for r in heads.select(F.size("tags")).distinct().collect()} == {1, 2, -1} or {r[0] for r in heads.select(F.size("tags")).distinct().collect()} == {1, 2, None}
+
+
+def test_the_width_of_a_markdown_table_is_found_once(spark):
+    """Not for each row, which took time in proportion to the square of the rows."""
+    assert str(anchors.markdown_table(F.col("rows"))).lower().count("array_max") == 1
+    rows = spark.range(30000).selectExpr("collect_list(array(cast(id AS string), if(id % 2 = 0, 'x', null))) AS rows")
+    table = rows.select(anchors.markdown_table(F.col("rows"))).first()[0].split("\n")
+    assert len(table) == 30001 and table[:4] == ["| 0 | x |", "| --- | --- |", "| 1 |  |", "| 2 | x |"]
