@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakewright.functions.sheets import once
 from lakewright.functions.text import SPACE, collapsed
 from lakewright.operators.ordered import running
 from lakewright.plans.catalog import register
@@ -321,8 +322,10 @@ def named_weeks(x: Column, last: int) -> Column:
     ends = F.zip_with(F.regexp_extract_all(x, F.lit(WEEK_SPAN), F.lit(1)), F.regexp_extract_all(x, F.lit(WEEK_SPAN), F.lit(2)), lambda a, b: F.struct(F.least(a.cast("int"), b.cast("int")).alias("a"), F.greatest(a.cast("int"), b.cast("int")).alias("b")))
     numbers = F.transform(F.regexp_extract_all(x, F.lit("[0-9]{1,2}"), F.lit(0)), lambda y: y.cast("int"))
     weeks = F.sequence(F.lit(1), F.lit(last))
-    hit = F.filter(weeks, lambda w: (x.rlike(ODD_WEEKS) & (w % 2 == 1)) | (x.rlike(EVEN_WEEKS) & (w % 2 == 0)) | F.exists(ends, lambda e: w.between(e["a"], e["b"])) | F.array_contains(numbers, w))
-    return F.when((x == "") | x.rlike(ALL_WEEKS) | (F.size(hit) == 0), weeks).otherwise(hit)
+    said = F.struct(ends.alias("ends"), numbers.alias("numbers"), x.rlike(ODD_WEEKS).alias("odd"), x.rlike(EVEN_WEEKS).alias("even"))
+    # what is said is read once, not for each week
+    hit = once(said, lambda s: F.filter(weeks, lambda w: (s["odd"] & (w % 2 == 1)) | (s["even"] & (w % 2 == 0)) | F.exists(s["ends"], lambda e: w.between(e["a"], e["b"])) | F.array_contains(s["numbers"], w)))
+    return F.when((x == "") | x.rlike(ALL_WEEKS), weeks).otherwise(once(hit, lambda h: F.when(F.size(h) == 0, weeks).otherwise(h)))
 
 
 @register("i4_first_warnings", f"SELECT user_id, message, place FROM (SELECT user_id, message, row_number() OVER (PARTITION BY user_id ORDER BY first) AS place FROM (SELECT user_id, message, min(event_id) AS first FROM ({MESSAGES}) GROUP BY ALL)) WHERE place <= 8")
