@@ -105,3 +105,10 @@ def test_week_expressions(spark, x, weeks):
 def test_ticks(spark, low, high, unit, ticks):
     got = spark.range(1).select(sheets.axis_ticks(F.lit(low), F.lit(high), F.lit(unit).cast("double"))).first()[0]
     assert got == ticks
+
+
+def test_an_expression_is_read_once_a_row_not_for_each_week_or_tick(spark):
+    weeks = str(workspace.named_weeks(F.col("x"), 16)).lower()
+    assert "regexp" in weeks and not any(w in weeks[weeks.rindex("filter(") :] for w in ("regexp", "rlike"))
+    ticks = str(sheets.axis_ticks(F.col("a"), F.col("b"), F.col("c"))).lower()
+    assert ticks.count("log10") == str(sheets.tick_unit(F.col("a"))).lower().count("log10")
