@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 2400, 260
+#: Chunks are handed on once they hold so many characters, and rows are taken so many at a time.
+HELD, ROWS = 2_000_000, 256
 #: A text from so many characters up to SIZE is split if it has this many paragraphs, characters or lines: into 3, 3, 2 and 2 parts.
 SPLITTABLE, MANY_PARAGRAPHS, LONG, SOME_PARAGRAPHS, MANY_LINES = 900, 12, 1800, 6, 10
 #: A boundary counts beyond this share of the size: blank line, line end, sentence end.
@@ -84,14 +86,26 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, no, starts, out = [], [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for i, (s, c) in zip(count(1), structured_pieces(t or "") if structured else pieces(t or "", size, overlap)):
-                    keys.append(k)
-                    no.append(i)
-                    starts.append(s)
-                    out.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(no, pa.int64()), pa.array(starts, pa.int64()), pa.array(out, pa.string())], [key, "no", "start", "chunk"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                row, no, starts, out, held = [], [], [], [], 0
+
+                def made() -> pa.RecordBatch:
+                    keys = part.column(0).take(pa.array(row, pa.int64()))
+                    return pa.RecordBatch.from_arrays([keys, pa.array(no, pa.int64()), pa.array(starts, pa.int64()), pa.array(out, pa.string())], [key, "no", "start", "chunk"])
+
+                for r in range(part.num_rows):
+                    t = part.column(1)[r].as_py() or ""
+                    for i, (s, c) in zip(count(1), structured_pieces(t) if structured else pieces(t, size, overlap)):
+                        row.append(r)
+                        no.append(i)
+                        starts.append(s)
+                        out.append(c)
+                        held += len(c)
+                        if held > HELD:
+                            yield made()
+                            row, no, starts, out, held = [], [], [], [], 0
+                yield made()
 
     d = docs.select(F.col(key), F.col(text))
     return d.mapInArrow(run, f"{key} {d.schema[key].dataType.simpleString()}, no long, start long, chunk string")

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from paths import SMALL
 from pyspark.sql import functions as F
@@ -81,3 +82,17 @@ def test_each_branch_of_the_queries_has_rows(spark):
     per = {r[0] for r in outlines.balanced_chunks(spark, SMALL).groupBy("doc_id").count().select("count").distinct().collect()}
     assert {1, 2, 3} <= per
     assert {r[0] for r in chunking.section_chunks(found).select("chunks_in_section").distinct().collect()} >= {1, 2, 3}
+
+
+def test_chunks_are_handed_on_a_few_at_a_time(spark, monkeypatch):
+    """However many rows a batch has, and however long one is; keys of any type go along."""
+    docs = spark.createDataFrame([({"a": 1}, "x")], "key struct<a:long>, text string")
+    taken = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: taken.append(run))
+    chunking.chunks(docs, "key")
+    texts = ["word " * 600] * 1200 + ["z" * 5_000_000, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array([{"a": i} for i in range(len(texts))], pa.struct([("a", pa.int64())])), pa.array(texts)], ["key", "text"])
+    made = list(taken[0](iter([batch])))
+    assert max(sum(map(len, b["chunk"].to_pylist())) for b in made) <= chunking.HELD + chunking.SIZE
+    want = [(i, n, s, c) for i, t in enumerate(texts) for n, (s, c) in enumerate(chunking.pieces(t or ""), 1)]
+    assert [(r["key"]["a"], r["no"], r["start"], r["chunk"]) for b in made for r in b.to_pylist()] == want
