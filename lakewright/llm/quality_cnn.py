@@ -135,13 +135,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     """Trains on a bounded sample of labelled rows, each with its whole text.
 
     A document with several labels has their mean; rows with the same id and text count once, so that copies of a drawn
-    row don't come along. Ids and hashes of texts are counted first; only the drawn rows' texts come to the driver.
+    row don't come along. Ids and hashes of texts are counted first, and a row's text is dealt out only if it is drawn; only
+    the drawn rows' texts come to the driver.
     """
     known = pick(labels, "doc_id", "quality").filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("quality").alias("quality"))
-    rows = pick(docs, "doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).withColumn("hash", F.xxhash64("doc_id", "text"))
-    n = rows.select("hash").distinct().count()
+    rows = pick(docs, "doc_id", "text").withColumn("hash", F.xxhash64("doc_id", "text"))
+    labelled = lambda d: d.join(known, F.col("doc_id") == F.col("_id"))
+    n = labelled(rows.select("doc_id", "hash")).select("hash").distinct().count()
     limit = (1 << 31) if n <= sample_docs else int((1 << 31) * sample_docs / n)
-    drawn = rows.filter(F.col("hash").bitwiseAND(F.lit((1 << 31) - 1)) < limit).groupBy("doc_id", "hash").agg(F.any_value("text").alias("text"), F.any_value("quality").alias("quality"))
+    drawn = labelled(rows.filter(F.col("hash").bitwiseAND(F.lit((1 << 31) - 1)) < limit)).groupBy("doc_id", "hash").agg(F.any_value("text").alias("text"), F.any_value("quality").alias("quality"))
     found = sorted(drawn.select("doc_id", "hash", "text", "quality").collect(), key=lambda r: (r["doc_id"], r["hash"]))
     net = Network()
     if found:

@@ -148,3 +148,13 @@ def test_quality_edges(spark):
     assert len(got) == d.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert quality_cnn.classify(nothing(spark), labels).collect() == []
     assert len(quality_cnn.classify(d, labels.limit(0)).collect()) == d.count()
+
+
+def test_counting_labelled_rows_deals_out_no_texts(spark, monkeypatch):
+    """Texts are hashed before labels are joined to them."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    plans, count = [], type(docs).count
+    monkeypatch.setattr(type(docs), "count", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or count(self))
+    quality_cnn.learn(docs, labels)
+    assert plans and all(p.index("Join") < p.index("xxhash64(") for p in plans)
