@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewright.operators import text_index
-from lakewright.operators.text_index import best_of
+from lakewright.operators.packed import best_of_packed, first_of, pack
+from lakewright.operators.text_index import BLOCKS, MOST_ROWS, best_of, chunks_of
 from lakewright.session import materialize
 
 RRF, TEXT_WEIGHT, BOTH = 60, 1.12, 0.003
@@ -18,7 +22,9 @@ ANCHOR, TITLE = 0.0015, 0.0012
 ANCHORS, TITLES = ("semantic_unit_id", "page", "slide", "sheet", "range", "source_label"), ("title", "section_title", "citation")
 #: Vectors fetched for each one wanted, before the cap of each file; and that cap's least value in a hybrid search.
 FETCH, HYBRID_CAP = 3, 4
-BLOCK = 4096
+#: Rows of a block at least, as in text_index; probes of a block, in such blocks; rows and probes whose products are taken at once.
+BLOCK, PROBES = 4096, 8
+TILE, PROBE_TILE = 4096, 256
 
 
 def clamp(value: float | None, low: int, high: int) -> int:
@@ -35,40 +41,66 @@ def budget(k: float | None = 6) -> tuple[int, int]:
 def nearest(rows: DataFrame, probes: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", extra: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """(q, key, extra columns, distance, score, nr): the k rows at the smallest squared L2 distance from each probe (q, vector); ties by key.
 
-    Blocks of rows meet blocks of probes, and each pair of blocks leaves k rows a probe. Vectors that are null, or that
-    hold a null or another number of components than the probe, are at no distance.
+    Blocks of rows meet blocks of probes, a task for each pair, which goes over its rows a tile at a time and leaves its k best
+    rows a probe, packed. Vectors that are null, or that hold a null or another number of components than the probe, are at no
+    distance.
     """
     n, m = rows.count(), probes.count()
-    blocks, parts = max(1, -(-n // block)), max(1, -(-m // block))
-    to_all = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    blocks, parts = max(1, -(-n // max(block, MOST_ROWS)), min(BLOCKS, -(-n // block))), max(1, -(-m // (PROBES * block)))
+    chunks, tasks = max(parts, chunks_of(m)), blocks * parts
+    to_all = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
-    left = rows.filter(whole(vector)).select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), to_all(parts).alias("part"), F.size(vector).alias("dim"), F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"), *extra)
-    right = probes.filter(whole("vector")).select(F.pmod(F.xxhash64("q"), F.lit(parts)).alias("part"), to_all(blocks).alias("block"), F.size("vector").alias("dim"), F.col("q").cast("long").alias("q"), F.col("vector").cast("array<double>").alias("v"))
-
-    def meet(have: pa.Table, want: pa.Table) -> pa.Table:
-        rows_, qs, ds = [], [], []
-        if have.num_rows and want.num_rows:
-            a, b = (t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (have, want))
-            keys = have["key"].to_numpy()
-            squares = (a * a).sum(axis=1)
-            for i, probe in enumerate(b):
-                at = np.arange(len(keys))
-                if len(at) > k:
-                    # what may be among the k best, by products; their distances are then taken exactly
-                    rough = squares - 2 * (a @ probe)
-                    at = np.flatnonzero(rough <= np.partition(rough, k - 1)[k - 1] + 1e-9 * (1 + squares.max() + probe @ probe))
-                d = ((a[at] - probe) ** 2).sum(axis=1)
-                best = np.lexsort((keys[at], d))[:k]
-                rows_.append(at[best])
-                ds.append(d[best])
-                qs.append(np.full(len(best), want["q"][i].as_py()))
-        joined = lambda x, t: np.concatenate(x).astype(t) if x else np.array([], t)
-        taken = have.select(["key", *extra]).take(pa.array(joined(rows_, np.int64)))
-        return taken.add_column(0, "q", pa.array(joined(qs, np.int64))).append_column("distance", pa.array(joined(ds, np.float64)))
-
-    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in extra)
-    found = left.groupBy("block", "part", "dim").cogroup(right.groupBy("block", "part", "dim")).applyInArrow(meet, f"q long, key long{kinds}, distance double")
-    return best_of(found, k, F.col("distance"), F.col("key")).withColumn("score", 1 / (1 + F.greatest("distance", F.lit(0.0))))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in extra}
+    # floats are passed on as they are
+    narrow = {t.schema[c].dataType.simpleString() for t, c in ((rows, vector), (probes, "vector"))} == {"array<float>"}
+    v = lambda c: F.col(c).cast("array<float>" if narrow else "array<double>").alias("v")
+    left = rows.filter(whole(vector)).select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("task"), to_all(parts).alias("part"), F.lit(None).cast("int").alias("chunk"), F.col(key).cast("long").alias("key"), v(vector), *extra)
+    right = probes.filter(whole("vector")).select(F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int").alias("chunk"), to_all(blocks).alias("task"), F.col("q").cast("long").alias("key"), v("vector"))
+    right = right.select("task", (F.col("chunk") % parts).alias("part"), "chunk", "key", "v", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        all_ = pa.Table.from_batches(found) if found else None
+        for task in all_["task"].unique() if found else ():
+            own = all_.filter(pc.equal(all_["task"], task))
+            have, want = own.filter(pc.is_null(own["chunk"])), own.filter(pc.is_valid(own["chunk"]))
+            for dim in pc.list_value_length(want["v"]).unique():
+                same, asked = (t.filter(pc.equal(pc.list_value_length(t["v"]), dim)) for t in (have, want))
+                a, b = (t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, dim.as_py()) for t in (same, asked))
+                qs, keys, chunk = asked["key"].to_numpy(), same["key"].to_numpy(), asked["chunk"].to_numpy()
+                for x in np.unique(chunk):
+                    of_chunk = np.flatnonzero(chunk == x)
+                    for at in range(0, len(of_chunk), PROBE_TILE) if len(a) else ():
+                        i = of_chunk[at : at + PROBE_TILE]
+                        probe, row, d = _nearest(a, keys, b[i], k)
+                        best = same.select(["key", *extra]).take(pa.array(row)).add_column(0, "q", pa.array(qs[i][probe])).append_column("value", pa.array(d))
+                        yield pa.record_batch({"chunk": pa.array([x], pa.int32()), "found": pa.array([pack(best)], pa.binary())})
+
+    task = (F.col("task") * parts + F.col("part")).alias("task")
+    found = left.unionByName(right).select(task, "chunk", "key", "v", *extra).repartitionById(tasks, "task").mapInArrow(meet, "chunk int, found binary")
+    found = best_of_packed(found, chunks, k, "".join(f", {c} {t}" for c, t in kinds.items())).withColumnRenamed("value", "distance")
+    return found.withColumn("score", 1 / (1 + F.greatest("distance", F.lit(0.0))))
+
+
+def _nearest(a: np.ndarray, keys: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probe, row, distance) of the k rows of a nearest to each probe of b, ties by key."""
+    squares, probe_squares = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    slack = 1e-9 * (1 + squares.max() + probe_squares)
+    bound, best = np.full(len(b), np.inf), (np.array([], np.int64), np.array([], np.int64), np.array([]))
+    for s in range(0, len(a), TILE):
+        # what may be among the k best, by products; their distances are then taken exactly
+        rough = squares[s : s + TILE] - 2 * (b @ a[s : s + TILE].T)
+        if rough.shape[1] > k and np.isinf(bound).any():
+            bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1])
+        probe, row = np.nonzero(~(rough > (bound + slack)[:, None]))
+        row += s
+        d = ((a[row] - b[probe]) ** 2).sum(axis=1)
+        probe, row, d = (np.concatenate(x) for x in zip(best, (probe, row, d)))
+        at, nr = first_of(probe, d, keys[row], k)
+        best = probe, row, d = probe[at], row[at], d[at]
+        last = nr == k
+        bound[probe[last]] = d[last] - probe_squares[probe[last]]
+    return best
 
 
 def capped(found: DataFrame, k: int, file: str, cap: int) -> DataFrame:

@@ -211,3 +211,30 @@ def test_groups_of_blocks_and_chunks_of_queries(spark, monkeypatch, chunk):
     got = text_index.bm25(index, spark.createDataFrame(queries, "q long, query string"), 4, block_queries=15)
     order = [ROW.split(", ").index(f"{c} string") for c in text_index.COLUMNS]
     assert sorted((r.q, r.key, round(r["rank"], 6), r.nr) for r in got.collect()) == brute_bm25([(r[0], [r[i] for i in order]) for r in rows], queries, 4)
+
+
+def test_probes_and_their_nearest_rows_are_passed_on_packed(spark):
+    """A row for each vector, probe and block, and one for the best rows of a block's chunk of probes: not one for each of these."""
+    rng = random.Random(6)
+    point = lambda: [rng.random() for _ in range(4)]
+    rows = spark.createDataFrame([(i, point()) for i in range(400)], "vec_id long, embedding array<double>")
+    probes = spark.createDataFrame([(i, point()) for i in range(60)], "q long, vector array<double>")
+    found = search.nearest(rows, probes, 30, block=25)
+    assert exchanged(found) <= 400 + 60 * 16 + 16 and found.count() == 1800
+
+
+def test_nearest_over_tiles_and_chunks(spark, monkeypatch):
+    """More rows than a tile, and several chunks and blocks of probes, with equal distances and vectors that are not finite."""
+    rng = np.random.default_rng(7)
+    a, b, keys = rng.integers(0, 4, (9000, 5)).astype(float), rng.integers(0, 4, (9, 5)).astype(float), rng.permutation(9000)
+    probe, row, d = search._nearest(a, keys, b, 20)
+    for i in range(9):
+        all_ = ((a - b[i]) ** 2).sum(axis=1)
+        best = np.lexsort((keys, all_))[:20]
+        assert row[probe == i].tolist() == best.tolist() and d[probe == i].tolist() == all_[best].tolist()
+    monkeypatch.setattr(text_index, "CHUNK", 4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(a[:60])] + [(100, [float("inf")] * 5)]
+    probes = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([b, b[:8]]))]
+    got = search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), spark.createDataFrame(probes, "q long, vector array<double>"), 61, block=2)
+    want = [(q, k, sum((x - y) ** 2 for x, y in zip(v, p))) for q, p in probes for k, v in rows]
+    assert sorted((r.q, r.key, r.distance) for r in got.collect()) == sorted(want)
