@@ -8,6 +8,7 @@ from paths import SMALL
 from pyspark.sql import functions as F
 
 from lakewright.operators import search, text_index
+from lakewright.plans import catalog
 from lakewright.plans import search as plans
 
 ROW = "id long, file string, file_name string, file_path string, source_path string, title string, citation string, text string, source_label string, section_title string"
@@ -238,3 +239,13 @@ def test_nearest_over_tiles_and_chunks(spark, monkeypatch):
     got = search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), spark.createDataFrame(probes, "q long, vector array<double>"), 61, block=2)
     want = [(q, k, sum((x - y) ** 2 for x, y in zip(v, p))) for q, p in probes for k, v in rows]
     assert sorted((r.q, r.key, r.distance) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["f5_anchor_bonus", "f6_hybrid_search"])
+def test_both_sides_of_the_fused_queries_are_passed_on_packed(spark, monkeypatch, name):
+    """Vectors, probes and what is joined are passed on as rows, all else as a few packed ones."""
+    steps = {}
+    monkeypatch.setattr(search, "materialize", lambda df, step: steps.setdefault(step, df))
+    assert catalog.queries()[name](spark, SMALL).count() > 0
+    vectors, probes = (spark.read.parquet(f"{SMALL}/embeddings.parquet").filter(f"vec_id % {n} = 0").count() for n in (1, plans.EVERY))
+    assert vectors <= exchanged(steps["fused"]) <= vectors + probes + 100 + 2 * steps["fused"].count()
